@@ -29,8 +29,15 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op7_binary_packing)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op7_binary_packing, op9_simhash_vptree)}
 
 
 def oracle_sql() -> dict[str, str]:
