@@ -29,6 +29,14 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return found.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in counts], F.col("_kept").alias("kept"))
+
+
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.simhash import near_duplicates
 
@@ -37,7 +45,7 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op7_binary_packing, op9_simhash_vptree)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
 
 
 def oracle_sql() -> dict[str, str]:
