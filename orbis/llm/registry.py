@@ -22,6 +22,18 @@ def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path, with_ids=False)
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
+def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.licenses import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.packing import pack
 
@@ -45,7 +57,7 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
 
 
 def oracle_sql() -> dict[str, str]:
