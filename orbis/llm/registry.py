@@ -34,6 +34,19 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(scan(table(spark, sf_dir, "documents")))
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_in_block").alias("in_block"), F.col("_slot").alias("slot"), F.col("_phase").alias("phase"))
+
+
+def op5_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.packing import pack
 
@@ -57,7 +70,7 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
 
 
 def oracle_sql() -> dict[str, str]:
