@@ -47,6 +47,13 @@ def op5_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.packing import pack
 
@@ -70,7 +77,7 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op6_toxicity_kernel, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
 
 
 def oracle_sql() -> dict[str, str]:
