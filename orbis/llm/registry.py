@@ -76,8 +76,15 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbis.llm.graphs import build_index, search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(build_index(rows), rows.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op6_toxicity_kernel, op7_binary_packing, op8_quality_rules, op9_simhash_vptree)}
+    return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op6_toxicity_kernel, op7_binary_packing, op8_quality_rules, op9_simhash_vptree, op10_graph_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
