@@ -184,9 +184,8 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, beam: int = BEAM
     blocks = own.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     dealt = own.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     packed = dealt.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
-    shards = index.select("dim", "shard").withColumnRenamed("shard", "to")
-    sent = packed.join(shards, "dim").repartition("dim", "to")
-    pairs = sent.join(index, (sent["dim"] == index["dim"]) & (sent["to"] == index["shard"])).select(index["dim"], "q_ids", "q_vectors", "n", "ids", "counts", "vectors", "graph", "entry")
+    sent = packed.join(index.select("dim", "shard"), "dim")
+    pairs = sent.join(index, ["dim", "shard"]).select("dim", "q_ids", "q_vectors", "n", "ids", "counts", "vectors", "graph", "entry")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
