@@ -44,7 +44,9 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.chat import rotate
 
-    return rotate(table(spark, sf_dir, "conversations"))
+    found = rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string"))), ",")
+    return found.withColumn("mask", mask)
 
 
 def op6_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +89,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_elias_fano_tokens, op2_pii_boosting, op3_license_diagonals, op4_pfair_mixing, op5_perspective_chat, op6_toxicity_kernel, op7_binary_packing, op8_quality_rules, op9_simhash_vptree, op10_graph_ann)}
 
 
+#: Whole renderings: no conversation here has more than one part of 256 turns.
+CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
+p AS (SELECT t.conv_id, perspective, turn, t.role = perspective AS own, text,
+    CASE WHEN t.role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head
+    FROM t JOIN s ON s.conv_id = t.conv_id),
+q AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM p),
+o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn) - length(piece) AS at FROM q)
+SELECT conv_id, perspective, 0::BIGINT AS part, 0::BIGINT AS part_start, count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_own,
+    string_agg(piece, '' ORDER BY turn) AS rendered,
+    string_agg((at + length(head))::BIGINT::VARCHAR || ':' || (at + length(head) + length(text) + 7)::BIGINT::VARCHAR, ',' ORDER BY turn) FILTER (own) AS mask
+FROM o GROUP BY conv_id, perspective
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_perspective_chat": CHAT_SQL}
