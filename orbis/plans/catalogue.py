@@ -2,10 +2,680 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orbis.functions import bounds as B
+from orbis.functions import cellid as C
+from orbis.functions import points as P
+from orbis.functions import shapes as H
+from orbis.operators import density as D
+from orbis.operators import joins as J
+from orbis.operators import regions as R
+from orbis.operators import search as S
+from orbis.operators import unions as U
+from orbis.plans import sql as Q
+from orbis.session import materialize
+from orbis.sources import tables as T
+from orbis.sources import text as X
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def rd(c: Column, digits: int = 7) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three points for each event: lat/lngs al, bl, cl and points a, b, c."""
+    k = F.col("event_id").cast("long")
+    rows = T.read(spark, sf_dir, "events").select(k.alias("id"), *[P.latlng_degrees(*T.degrees_of(e)).alias(n) for n, e in (("al", k), ("bl", k * 31 + 17), ("cl", k * 57 + 101))])
+    return rows.select("*", *[P.to_point(F.col(f"{n}l")).alias(n) for n in "abc"])
+
+
+a, b, c, al, bl, cl = (F.col(n) for n in ("a", "b", "c", "al", "bl", "cl"))
+TR = f"WITH {Q.triple()}"
+va, vb, vc = Q.vec("a"), Q.vec("b"), Q.vec("c")
+PI = math.pi
+
+
+# --- Scalars: points, angles, Earth ---------------------------------------------------------------
+
+
+@query(f"{TR} SELECT id, {Q.r('ax')} AS x, {Q.r('ay')} AS y, {Q.r('az')} AS z FROM t")
+def pt_from_latlng(spark, sf):
+    return triples(spark, sf).select("id", *[rd(a[k]).alias(k) for k in "xyz"])
+
+
+@query(f"{TR} SELECT id, {Q.r('degrees(atan2(az, sqrt(ax * ax + ay * ay)))')} AS lat, {Q.r('degrees(atan2(ay, ax))')} AS lng FROM t")
+def latlng_from_pt(spark, sf):
+    ll = P.to_latlng(a)
+    return triples(spark, sf).select("id", rd(F.degrees(ll["lat"])).alias("lat"), rd(F.degrees(ll["lng"])).alias("lng"))
+
+
+@query(f"{TR} SELECT id, {Q.r('greatest(-pi() / 2, least(pi() / 2, 2 * a_lat))')} AS lat, {Q.r('3 * a_lng - round_even(3 * a_lng / (2 * pi()), 0) * 2 * pi()')} AS lng, (abs(2 * a_lat) <= pi() / 2 AND abs(3 * a_lng) <= pi()) AS valid FROM t")
+def latlng_normalize(spark, sf):
+    x = P.latlng(al["lat"] * 2, al["lng"] * 3)
+    n = P.latlng_normalized(x)
+    return triples(spark, sf).select("id", rd(n["lat"]).alias("lat"), rd(n["lng"]).alias("lng"), P.latlng_valid(x).alias("valid"))
+
+
+@query(f"{TR} SELECT id, floor(degrees(a_lat) * 1e5 + 0.5)::INT AS lat5, floor(degrees(a_lng) * 1e6 + 0.5)::INT AS lng6, {Q.r('radians(floor(degrees(a_lat) * 1e7 + 0.5) * 1e-7)', 9)} AS lat FROM t")
+def e7_roundtrip(spark, sf):
+    back = P.latlng_e(P.to_e(al["lat"], 7), P.to_e(al["lng"], 7), 7)
+    return triples(spark, sf).select("id", P.to_e(al["lat"], 5).alias("lat5"), P.to_e(al["lng"], 6).alias("lng6"), rd(back["lat"], 9).alias("lat"))
+
+
+_hav = "2 * asin(sqrt(least(1.0, pow(sin((b_lat - a_lat) / 2), 2) + pow(sin((b_lng - a_lng) / 2), 2) * cos(a_lat) * cos(b_lat))))"
+
+
+@query(f"{TR} SELECT id, {Q.r(f'{_hav} * 6371.010', 5)} AS km, {Q.r(Q.angle(va, vb) + ' * 6371010', 2)} AS m FROM t")
+def haversine_km(spark, sf):
+    return triples(spark, sf).select("id", rd(P.haversine(al, bl) * (P.EARTH_RADIUS_M / 1000), 5).alias("km"), rd(P.meters(P.angle_between(a, b)), 2).alias("m"))
+
+
+@query(f"{TR} SELECT id, {Q.r('degrees(atan2(sin(b_lng - a_lng) * cos(b_lat), cos(a_lat) * sin(b_lat) - sin(a_lat) * cos(b_lat) * cos(b_lng - a_lng)))', 6)} AS bearing FROM t")
+def bearing(spark, sf):
+    return triples(spark, sf).select("id", rd(F.degrees(P.initial_bearing(al, bl)), 6).alias("bearing"))
+
+
+@query(f"{TR}, u AS (SELECT *, {Q.l2(va, vb)} AS l FROM t) SELECT id, {Q.r('l')} AS l2, {Q.r('2 * asin(0.5 * sqrt(l))')} AS radians, {Q.r('sqrt(l * (1 - 0.25 * l))')} AS sin, {Q.r('1 - 0.5 * l')} AS cos FROM u")
+def chord_l2(spark, sf):
+    rows = triples(spark, sf).select("id", P.chord(a, b).alias("l"))
+    l = F.col("l")
+    return rows.select("id", rd(l).alias("l2"), rd(P.chord_radians(l)).alias("radians"), rd(P.chord_sin(l)).alias("sin"), rd(P.chord_cos(l)).alias("cos"))
+
+
+_add = "CASE WHEN p + q >= 4 THEN 4.0 ELSE least(4.0, p * (1 - 0.25 * q) + q * (1 - 0.25 * p) + 2 * sqrt(p * (1 - 0.25 * q) * q * (1 - 0.25 * p))) END"
+_sub = "CASE WHEN p <= q THEN 0.0 ELSE pow(sqrt(p * (1 - 0.25 * q)) - sqrt(q * (1 - 0.25 * p)), 2) END"
+
+
+@query(f"{TR}, u AS (SELECT *, {Q.l2(va, vb)} AS p, {Q.l2(vb, vc)} AS q FROM t) SELECT id, {Q.r(_add, 6)} AS plus, {Q.r(_sub, 6)} AS minus FROM u")
+def chord_add(spark, sf):
+    rows = triples(spark, sf).select("id", P.chord(a, b).alias("p"), P.chord(b, c).alias("q"))
+    return rows.select("id", rd(P.chord_add(F.col("p"), F.col("q")), 6).alias("plus"), rd(P.chord_sub(F.col("p"), F.col("q")), 6).alias("minus"))
+
+
+@query(f"{TR} SELECT id, {Q.r(Q.angle(va, vb))} AS angle, {Q.r(Q.dot(va, vb))} AS dot, {Q.r(Q.cross(va, vb)[0])} AS cx, {Q.r(Q.cross(va, vb)[2])} AS cz, {Q.r(Q.dot(va, Q.cross(vb, vc)))} AS triple FROM t")
+def cross_dot(spark, sf):
+    x = P.cross(a, b)
+    return triples(spark, sf).select("id", rd(P.angle_between(a, b)).alias("angle"), rd(P.dot(a, b)).alias("dot"), rd(x["x"]).alias("cx"), rd(x["z"]).alias("cz"), rd(P.triple(a, b, c)).alias("triple"))
+
+
+@query(f"{TR} SELECT id, {Q.r('a_lng * 180 / pi()', 6)} AS x, {Q.r('0.5 * ln((1 + sin(a_lat)) / (1 - sin(a_lat))) * 180 / pi()', 5)} AS y, {Q.r('a_lat * 180 / pi()', 6)} AS plate_y FROM t")
+def mercator(spark, sf):
+    m = P.mercator(al)
+    return triples(spark, sf).select("id", rd(m["x"], 6).alias("x"), rd(m["y"], 5).alias("y"), rd(P.plate_carree(al)["y"], 6).alias("plate_y"))
+
+
+def _rot_sql() -> str:
+    k = Q.cross(vb, va)
+    return ", ".join(f"{Q.r(f'{va[i]} * cos(0.7) + {k[i]} * sin(0.7) + {vb[i]} * {Q.dot(vb, va)} * (1 - cos(0.7))')} AS {'xyz'[i]}" for i in range(3))
+
+
+@query(f"{TR} SELECT id, {_rot_sql()} FROM t")
+def rotate_point(spark, sf):
+    p = P.rotate(a, b, 0.7)
+    return triples(spark, sf).select("id", *[rd(p[k]).alias(k) for k in "xyz"])
+
+
+# --- Intervals, rectangles, caps ------------------------------------------------------------------
+
+
+@query(
+    f"""{TR}, u AS (SELECT id, least(a_lat, b_lat) AS l, greatest(a_lat, b_lat) AS h, c_lat AS x, a_lng, b_lng, c_lng FROM t)
+    SELECT id, {Q.r('h - l')} AS length, (x BETWEEN l AND h) AS has, {Q.r('greatest(l, least(h, x))')} AS clamped, {Q.r('CASE WHEN abs(b_lng - a_lng) <= pi() THEN abs(b_lng - a_lng) ELSE 2 * pi() - abs(b_lng - a_lng) END')} AS s1_length,
+    CASE WHEN abs(b_lng - a_lng) <= pi() THEN c_lng BETWEEN least(a_lng, b_lng) AND greatest(a_lng, b_lng) ELSE c_lng >= greatest(a_lng, b_lng) OR c_lng <= least(a_lng, b_lng) END AS s1_has FROM u"""
+)
+def interval_ops(spark, sf):
+    i, s = B.r1_pair(al["lat"], bl["lat"]), B.s1_pair(al["lng"], bl["lng"])
+    return triples(spark, sf).select("id", rd(B.r1_length(i)).alias("length"), B.r1_contains(i, cl["lat"]).alias("has"), rd(B.r1_clamp(i, cl["lat"])).alias("clamped"), rd(B.s1_length(s)).alias("s1_length"), B.s1_contains(s, cl["lng"]).alias("s1_has"))
+
+
+_span = "(CASE WHEN abs(b_lng - a_lng) <= pi() THEN abs(b_lng - a_lng) ELSE 2 * pi() - abs(b_lng - a_lng) END)"
+
+
+@query(f"{TR} SELECT id, {Q.r('least(a_lat, b_lat)')} AS lat_lo, {Q.r('greatest(a_lat, b_lat)')} AS lat_hi, {Q.r(f'{_span} * (sin(greatest(a_lat, b_lat)) - sin(least(a_lat, b_lat)))')} AS area, {Q.r('CASE WHEN abs(b_lng - a_lng) <= pi() THEN least(a_lng, b_lng) ELSE greatest(a_lng, b_lng) END')} AS lng_lo FROM t")
+def rect_from_points(spark, sf):
+    r = B.rect_from_points(al, bl)
+    return triples(spark, sf).select("id", rd(r["lat_lo"]).alias("lat_lo"), rd(r["lat_hi"]).alias("lat_hi"), rd(B.rect_area(r)).alias("area"), rd(r["lng_lo"]).alias("lng_lo"))
+
+
+_RECTS = "rc AS (SELECT r_regionkey::BIGINT AS rect, radians(-60.0::DOUBLE + 20 * r_regionkey) AS la, radians(-45.0::DOUBLE + 20 * r_regionkey) AS lb, radians(-150.0::DOUBLE + 60 * r_regionkey) AS oa, radians(-100.0::DOUBLE + 60 * r_regionkey) AS ob FROM region)"
+
+
+@query(f"WITH {Q.EV}, {_RECTS} SELECT rect, id FROM ev, rc WHERE lat BETWEEN la AND lb AND lng BETWEEN oa AND ob")
+def rect_contains(spark, sf):
+    """Points in rectangles: candidates by the rectangles' coverings, then the exact test."""
+    zones = T.rects(spark, sf).withColumn("covering", R.rect_covering(F.col("r"), max_cells=16, max_level=12))
+    pairs = J.zones_join(S.with_cells(T.event_points(spark, sf)), materialize(zones, "rects"))
+    return pairs.filter(B.rect_contains(F.col("r"), F.col("ll"))).select("rect", "id")
+
+
+@query(f"WITH {Q.LOCAL} SELECT user_id, {Q.r('min(lat)')} AS lat_lo, {Q.r('max(lat)')} AS lat_hi, {Q.r('min(lng)')} AS lng_lo, {Q.r('max(lng)')} AS lng_hi FROM lo GROUP BY user_id")
+def rect_union_agg(spark, sf):
+    r = B.rect_bound(F.col("ll.lat"), F.col("ll.lng"))
+    rows = T.local_points(spark, sf).groupBy("user_id").agg(r.alias("r"))
+    return rows.select("user_id", *[rd(F.col(f"r.{k}")).alias(k) for k in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")])
+
+
+@query(f"WITH {_RECTS} SELECT rect, {Q.r('(ob - oa) * (sin(lb) - sin(la))')} AS area, {Q.r('(la + lb) / 2')} AS lat, {Q.r('(oa + ob) / 2')} AS lng FROM rc")
+def rect_area(spark, sf):
+    r = F.col("r")
+    return T.rects(spark, sf).select("rect", rd(B.rect_area(r)).alias("area"), rd(B.rect_center(r)["lat"]).alias("lat"), rd(B.rect_center(r)["lng"]).alias("lng"))
+
+
+@query(f"{TR} SELECT id, ({Q.l2(va, vb)} <= 1.5) AS has, {Q.r('2 * pi() * 0.75')} AS area, {Q.r('2 * asin(0.5 * sqrt(1.5))')} AS angle, ({Q.angle(va, vb)} <= 2 * asin(0.5 * sqrt(1.5)) + 2 * asin(0.5 * sqrt(0.1))) AS meets FROM t")
+def cap_contains(spark, sf):
+    k = B.cap(a, 1.5)
+    return triples(spark, sf).select("id", B.cap_contains(k, b).alias("has"), rd(B.cap_area(k)).alias("area"), rd(B.cap_angle(k)).alias("angle"), B.cap_intersects(k, B.cap(b, 0.1)).alias("meets"))
+
+
+# --- Triangles and edges --------------------------------------------------------------------------
+
+_girard = f"greatest(0.0, {Q.angle(Q.cross(va, vb), Q.cross(va, vc))} - {Q.angle(Q.cross(va, vb), Q.cross(vb, vc))} + {Q.angle(Q.cross(vb, vc), Q.cross(va, vc))})"
+_tri = f"""u AS (SELECT *, {Q.angle(vb, vc)} AS sa, {Q.angle(vc, va)} AS sb, {Q.angle(va, vb)} AS sc, {_girard} AS gi FROM t), w AS (SELECT *, 0.5 * (sa + sb + sc) AS s FROM u),
+    ar AS (SELECT *, CASE WHEN s >= 3e-4 AND s - greatest(sa, sb, sc) < 1e-2 * s * s * s * s * s AND s - greatest(sa, sb, sc) < 0.1 * gi THEN gi ELSE 4 * atan(sqrt(greatest(0.0, tan(0.5 * s) * tan(0.5 * (s - sa)) * tan(0.5 * (s - sb)) * tan(0.5 * (s - sc))))) END AS area FROM w)"""
+
+
+@query(f"{TR}, {_tri} SELECT id, {Q.r('area', 5)} AS area, {Q.r('gi', 5)} AS girard, sign({Q.dot(vc, Q.cross(va, vb))})::INT AS orientation FROM ar")
+def tri_area(spark, sf):
+    return triples(spark, sf).select("id", rd(P.triangle_area(a, b, c), 5).alias("area"), rd(P.girard_area(a, b, c), 5).alias("girard"), P.simple_sign(a, b, c).alias("orientation"))
+
+
+_n = Q.cross(va, vb)
+_inside = f"({Q.dot(Q.cross(_n, va), vc)} > 0 AND {Q.dot(Q.cross(vb, _n), vc)} > 0)"
+_edge = f"""u AS (SELECT *, least({Q.l2(vc, va)}, {Q.l2(vc, vb)}) AS ends, {_inside} AS inner_, {Q.dot(vc, _n)} / {Q.norm(_n)} AS s FROM t),
+    dd AS (SELECT *, CASE WHEN inner_ THEN least(ends, s * s + pow(1 - sqrt(greatest(0.0, 1 - s * s)), 2)) ELSE ends END AS l2 FROM u)"""
+
+
+@query(f"{TR}, {_edge} SELECT id, {Q.r('l2')} AS l2, inner_ AS interior FROM dd")
+def edge_point_distance(spark, sf):
+    return triples(spark, sf).select("id", rd(P.edge_distance_l2(c, a, b)).alias("l2"), P.edge_interior_closest(c, a, b).alias("interior"))
+
+
+@query(f"{TR} SELECT id, {Q.r(Q.angle(Q.cross(va, vb), Q.cross(vc, vb)))} AS vertex, {Q.r(Q.angle(Q.cross(va, vb), Q.cross(vb, vc)))} AS turn FROM t")
+def vertex_angles(spark, sf):
+    return triples(spark, sf).select("id", rd(P.vertex_angle(a, b, c)).alias("vertex"), rd(F.abs(P.turn_angle(a, b, c))).alias("turn"))
+
+
+# --- Cells ----------------------------------------------------------------------------------------
+
+L20 = f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 20)}"
+
+
+def event_cells(spark: SparkSession, sf: str, level: int | None = None) -> DataFrame:
+    rows = S.with_cells(T.event_points(spark, sf))
+    return rows if level is None else rows.withColumn("cell_id", C.parent(F.col("cell_id"), level))
+
+
+cell = F.col("cell_id")
+
+
+@query(f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 10)} SELECT cell_id, count(*)::BIGINT AS n FROM cells GROUP BY cell_id")
+def events_by_cell(spark, sf):
+    return event_cells(spark, sf, 10).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query(f"{L20} SELECT id, cell_id FROM cells")
+def cell_leaf(spark, sf):
+    return event_cells(spark, sf, 20).select("id", "cell_id")
+
+
+@query(f"{L20} SELECT id, {Q.parent('cell_id', 12)} AS p12, {Q.parent('cell_id', 3)} AS p3, {Q.parent('cell_id', 0)} AS p0 FROM cells")
+def cell_parent_level(spark, sf):
+    return event_cells(spark, sf, 20).select("id", C.parent(cell, 12).alias("p12"), C.parent(cell, 3).alias("p3"), C.parent(cell, 0).alias("p0"))
+
+
+@query(f"{L20} SELECT id, ({Q.rmin('cell_id')} - 9223372036854775808)::BIGINT AS lo, ({Q.rmax('cell_id')} - 9223372036854775808)::BIGINT AS hi FROM cells")
+def cell_range(spark, sf):
+    return event_cells(spark, sf, 20).select("id", C.key(C.range_min(cell)).alias("lo"), C.key(C.range_max(cell)).alias("hi"))
+
+
+@query(f"{L20}, p AS (SELECT id, {Q.parent('cell_id', 7)} AS c7, cell_id FROM cells) SELECT id, {Q.level('c7')} AS level, ({Q.unsigned('c7')} // 2305843009213693952)::INT AS face, (({Q.unsigned('cell_id')} // {1 << (61 - 16)}) % 4)::INT AS child8 FROM p")
+def cell_level(spark, sf):
+    rows = event_cells(spark, sf, 20).withColumn("c7", C.parent(cell, 7))
+    return rows.select("id", C.level(F.col("c7")).alias("level"), C.face(F.col("c7")).alias("face"), C.child_position(cell, 8).alias("child8"))
+
+
+@query(f"{L20} SELECT id, rtrim(lower(printf('%016x', ({Q.unsigned('cell_id')})::UBIGINT)), '0') AS token, cell_id AS back FROM cells")
+def cell_token(spark, sf):
+    return event_cells(spark, sf, 20).withColumn("token", C.to_token(cell)).select("id", "token", C.from_token(F.col("token")).alias("back"))
+
+
+def _signed(u: str) -> str:
+    return f"(CASE WHEN {u} >= 9223372036854775808 THEN {u} - 18446744073709551616 ELSE {u} END)::BIGINT"
+
+
+@query(f"{L20} SELECT id, k::INT AS k, {_signed(f'({Q.unsigned("cell_id")} + ({Q.lsb("cell_id")} // 4) * (2 * k - 3))')} AS child FROM cells, range(4) AS x(k)")
+def cell_children(spark, sf):
+    return event_cells(spark, sf, 20).select("id", F.posexplode(C.children(cell)).alias("k", "child"))
+
+
+@query(f"{L20}, p AS (SELECT DISTINCT {Q.parent('cell_id', 4)} AS q FROM cells WHERE id % 50 = 0) SELECT q, count(*)::BIGINT AS n FROM p, cells WHERE {Q.unsigned('cell_id')} BETWEEN {Q.rmin('q')} AND {Q.rmax('q')} GROUP BY q")
+def cell_contains_pairs(spark, sf):
+    cells = event_cells(spark, sf, 20)
+    some = cells.filter("id % 50 = 0").select(C.parent(cell, 4).alias("q")).distinct()
+    return J.with_ancestors(cells, [4], name="k").join(some, F.col("k") == F.col("q")).groupBy("q").agg(F.count("*").alias("n"))
+
+
+_place = f"({Q.unsigned('cell_id')} // {1 << (61 - 40)})"
+
+
+@query(f"{L20} SELECT id, ({_place})::BIGINT AS place, {_signed(f'((({_place} + id * 977) % {6 << 40}) * {1 << 21} + {1 << 20})')} AS wrapped FROM cells")
+def cell_advance(spark, sf):
+    return event_cells(spark, sf, 20).select("id", C.distance_from_begin(cell).alias("place"), C.advance_wrap(cell, F.col("id") * 977).alias("wrapped"))
+
+
+_anc = " ".join(f"WHEN {Q.parent('cell_id', l)} = {Q.parent('other', l)} THEN {l}" for l in range(20, -1, -1))
+
+
+@query(f"{L20}, p AS (SELECT a.id, a.cell_id, b.cell_id AS other FROM cells a JOIN cells b ON b.id = a.id + 1) SELECT id, (CASE {_anc} ELSE -1 END)::INT AS level FROM p")
+def cell_common_ancestor(spark, sf):
+    rows = event_cells(spark, sf, 20).select("id", "cell_id")
+    other = rows.select((F.col("id") - 1).alias("id"), cell.alias("other"))
+    return rows.join(other, "id").select("id", C.common_ancestor_level(cell, F.col("other")).alias("level"))
+
+
+@query(f"{L20} SELECT 12 AS level, {Q.r('count(DISTINCT ' + Q.parent('cell_id', 12) + f') * 4 * pi() / 6 * pow(4.0, -12)', 9)} AS area FROM cells")
+def cell_avg_area(spark, sf):
+    cells = event_cells(spark, sf, 12).select("cell_id").distinct()
+    return U.average_area(cells).select(F.lit(12).alias("level"), rd(F.col("area"), 9).alias("area"))
+
+
+@query()
+def cell_edge_neighbors(spark, sf):
+    return event_cells(spark, sf, 12).select("id", F.posexplode(C.edge_neighbors(cell)).alias("k", "neighbor"))
+
+
+@query()
+def cell_center(spark, sf):
+    rows = event_cells(spark, sf, 20).withColumn("ll", P.to_latlng(C.to_point(cell)))
+    return rows.select("id", rd(F.degrees("ll.lat")).alias("lat"), rd(F.degrees("ll.lng")).alias("lng"))
+
+
+@query()
+def cell_bounds(spark, sf):
+    rows = event_cells(spark, sf, 12).withColumn("d", C.decoded(cell))
+    return rows.select("id", "d.face", "d.i", "d.j", "d.level", "d.orientation", rd(F.col("d.u_lo"), 9).alias("u_lo"), rd(F.col("d.v_hi"), 9).alias("v_hi"))
+
+
+# --- Joins ----------------------------------------------------------------------------------------
+
+_TWO = f"""WITH RECURSIVE {Q.EV}, {Q.cells('ev', 9, 'ca')}, {Q.CUST}, {Q.cells('cu', 9, 'cb')},
+    x AS (SELECT id, CASE WHEN id % 3 = 0 THEN {Q.parent('cell_id', 6)} ELSE cell_id END AS a_cell FROM ca), y AS (SELECT id AS cust, CASE WHEN id % 2 = 0 THEN {Q.parent('cell_id', 5)} ELSE cell_id END AS b_cell FROM cb)"""
+_meets = f"({Q.rmin('a_cell')} <= {Q.rmax('b_cell')} AND {Q.rmin('b_cell')} <= {Q.rmax('a_cell')})"
+
+
+def two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    x = event_cells(spark, sf, 9).select("id", F.when(F.col("id") % 3 == 0, C.parent(cell, 6)).otherwise(cell).alias("a_cell"))
+    y = S.with_cells(T.customer_points(spark, sf)).select("cust", F.when(F.col("cust") % 2 == 0, C.parent(cell, 5)).otherwise(C.parent(cell, 9)).alias("b_cell"))
+    return materialize(x, "left"), materialize(y, "right")
+
+
+@query(f"{_TWO} SELECT id, cust, a_cell, b_cell FROM x, y WHERE {_meets}")
+def join_exact(spark, sf):
+    x, y = two_sides(spark, sf)
+    return J.overlap_join(x, y).select("id", "cust", "a_cell", "b_cell")
+
+
+@query(f"{_TWO} SELECT id, a_cell FROM x WHERE EXISTS (SELECT 1 FROM y WHERE {_meets})")
+def join_semi(spark, sf):
+    return J.semi_join(*two_sides(spark, sf))
+
+
+@query(f"{_TWO} SELECT id, a_cell FROM x WHERE NOT EXISTS (SELECT 1 FROM y WHERE {_meets})")
+def join_anti(spark, sf):
+    return J.semi_join(*two_sides(spark, sf), anti=True)
+
+
+@query(f"{_TWO}, g AS (SELECT DISTINCT b_cell FROM y) SELECT b_cell AS target, count(DISTINCT id % 10)::BIGINT AS n, min(id % 10)::BIGINT AS first FROM x, g WHERE {_meets} GROUP BY b_cell")
+def cellindex_labels(spark, sf):
+    x, y = two_sides(spark, sf)
+    found = J.label_lookup(x.select(F.col("a_cell").alias("cell_id"), (F.col("id") % 10).alias("label")), y.select(F.col("b_cell").alias("target")).distinct())
+    return found.select("target", F.size("labels").cast("long").alias("n"), F.get("labels", F.lit(0)).alias("first"))
+
+
+# --- Cell unions ----------------------------------------------------------------------------------
+
+
+def _expand_sql(name: str, source: str, column: str) -> str:
+    """Leaves at level 9 of cells of levels 5 to 9, as positions."""
+    return f"{name} AS (SELECT DISTINCT g AS pos FROM (SELECT unnest(range(({Q.rmin(column)} // {1 << 43})::BIGINT, ({Q.rmax(column)} // {1 << 43})::BIGINT + 1)) AS g FROM (SELECT DISTINCT {column} FROM {source})))"
+
+
+_UNI = f"{_TWO}, {_expand_sql('pa', 'x', 'a_cell')}, {_expand_sql('pb', 'y', 'b_cell')}"
+
+
+def at_nine(cells: DataFrame) -> DataFrame:
+    """How many level-9 cells a union covers, and a check sum of their places."""
+    nine = U.denormalize(cells, 9).select(C.distance_from_begin(F.col("cell_id")).alias("pos"))
+    return nine.agg(F.count("*").alias("n"), F.count_distinct("pos").alias("n_distinct"), F.sum("pos").alias("total"))
+
+
+_count = "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_distinct, sum(pos)::BIGINT AS total FROM"
+
+
+def sides_as_unions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    x, y = two_sides(spark, sf)
+    return x.select(F.col("a_cell").alias("cell_id")), y.select(F.col("b_cell").alias("cell_id"))
+
+
+@query(f"{_UNI} {_count} pa")
+def union_normalize(spark, sf):
+    return at_nine(U.normalize(sides_as_unions(spark, sf)[0]))
+
+
+@query(f"{_UNI} {_count} (SELECT pos FROM pa UNION SELECT pos FROM pb)")
+def union_or(spark, sf):
+    return at_nine(U.union(*sides_as_unions(spark, sf)))
+
+
+@query(f"{_UNI} {_count} (SELECT pos FROM pa INTERSECT SELECT pos FROM pb)")
+def union_and(spark, sf):
+    return at_nine(U.intersection(*sides_as_unions(spark, sf)))
+
+
+@query(f"{_UNI} {_count} (SELECT pos FROM pa EXCEPT SELECT pos FROM pb)")
+def union_except(spark, sf):
+    return at_nine(U.difference(*sides_as_unions(spark, sf)))
+
+
+@query()
+def union_expand(spark, sf):
+    return at_nine(U.expand(U.normalize(sides_as_unions(spark, sf)[1]), 7))
+
+
+# --- Terms ----------------------------------------------------------------------------------------
+
+
+def points_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return event_cells(spark, sf).select("id", "p", R.index_terms(F.array(C.parent(cell, 10)), min_level=4, max_level=10, level_mod=2, points_only=True).alias("terms"))
+
+
+@query(f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 10)} SELECT id, 'ANCESTOR' AS type, c AS term FROM (SELECT id, unnest([cell_id, {Q.parent('cell_id', 8)}, {Q.parent('cell_id', 6)}, {Q.parent('cell_id', 4)}]) AS c FROM cells)")
+def terms_index(spark, sf):
+    return points_terms(spark, sf).select("id", F.explode("terms").alias("t")).select("id", "t.type", F.col("t.cell_id").alias("term"))
+
+
+_R2 = 4 * math.sin(0.04 / 2) ** 2
+
+
+def _within(limit: float, other: str = "su") -> str:
+    return f"WITH {Q.EV}, {Q.SUPP} SELECT su.id AS supp, ev.id AS id FROM ev, su WHERE {Q.l2(('ev.x', 'ev.y', 'ev.z'), ('su.x', 'su.y', 'su.z'))} < {limit!r}"
+
+
+@query(_within(_R2))
+def terms_join(spark, sf):
+    """Points in caps: terms of the points, terms of the caps' coverings, then the exact test."""
+    caps = T.supplier_points(spark, sf).withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(_R2), min_level=4, max_level=10, level_mod=2, max_cells=16))
+    asked = materialize(caps, "caps").select("supp", F.col("p").alias("q"), R.query_terms(F.col("covering"), min_level=4, max_level=10, level_mod=2, points_only=True).alias("terms"))
+    pts = materialize(points_terms(spark, sf), "terms")
+    pairs = R.term_join(pts, asked, "id", "supp")
+    both = pairs.join(pts.select("id", "p"), "id").join(asked.select("supp", "q"), "supp")
+    return both.filter(P.chord(F.col("p"), F.col("q")) < _R2).select("supp", "id")
+
+
+# --- Distance searches ----------------------------------------------------------------------------
+
+_PAIR = Q.l2(("cu.x", "cu.y", "cu.z"), ("ev.x", "ev.y", "ev.z"))
+
+
+def _knn(condition: str = "", order: str = "l2") -> str:
+    return f"""WITH {Q.EV}, {Q.CUST}, d AS (SELECT cu.id AS cust, ev.id AS id, {_PAIR} AS l2 FROM cu, ev {condition}), k AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY {order}, id) AS rank FROM d)
+    SELECT cust, rank::INT AS rank, id, {Q.r('l2', 9)} AS l2 FROM k WHERE rank <= 3"""
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return S.with_cells(T.customer_points(spark, sf)).select("cust", "p", "cell_id"), event_cells(spark, sf).select("id", "p", "cell_id")
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("cust", "rank", "id", rd(F.col("l2"), 9).alias("l2"))
+
+
+@query(_knn())
+def knn_points(spark, sf):
+    return _ranked(S.nearest(*_sides(spark, sf), 3, "cust", "id"))
+
+
+@query(_knn("WHERE ev.id % 7 = 0"))
+def knn_filtered(spark, sf):
+    """The filter comes before the ranking."""
+    q, e = _sides(spark, sf)
+    return _ranked(S.nearest(q, e.filter("id % 7 = 0"), 3, "cust", "id"))
+
+
+@query(_knn(f"WHERE {_PAIR} < {4 * math.sin(0.01) ** 2!r}"))
+def knn_within(spark, sf):
+    return _ranked(S.nearest(*_sides(spark, sf), 3, "cust", "id", max_radians=0.02))
+
+
+@query(_knn(order="l2 DESC"))
+def furthest_points(spark, sf):
+    return _ranked(S.furthest(*_sides(spark, sf), 3, "cust", "id"))
+
+
+@query(f"WITH {Q.EV}, {Q.CUST} SELECT cu.id AS cust, {Q.r(f'min({_PAIR})', 9)} AS l2 FROM cu, ev GROUP BY cu.id")
+def closest_dist_min(spark, sf):
+    return S.nearest(*_sides(spark, sf), 1, "cust", "id").select("cust", rd(F.col("l2"), 9).alias("l2"))
+
+
+@query(f"WITH {Q.EV}, {Q.CUST} SELECT cu.id AS cust FROM cu WHERE EXISTS (SELECT 1 FROM ev WHERE {_PAIR} < {4 * math.sin(0.005) ** 2!r})")
+def within_exists(spark, sf):
+    return S.within_exists(*_sides(spark, sf), 0.01, "cust", "id")
+
+
+@query(f"WITH {Q.EV}, {Q.CUST} SELECT cu.id AS cust, ev.id AS id, {Q.r(_PAIR, 9)} AS l2 FROM cu, ev WHERE {_PAIR} < {4 * math.sin(0.01) ** 2!r}")
+def join_within_distance(spark, sf):
+    return S.pairs_within(*_sides(spark, sf), 0.02, "cust", "id").select("cust", "id", rd(F.col("l2"), 9).alias("l2"))
+
+
+@query(f"WITH {Q.EV}, {Q.CUST}, m AS (SELECT cu.id, min({_PAIR}) AS l2 FROM cu, ev GROUP BY cu.id) SELECT {Q.r('max(l2)', 9)} AS l2 FROM m")
+def hausdorff_directed(spark, sf):
+    return S.directed_hausdorff(*_sides(spark, sf), "cust", "id").select(rd(F.col("l2"), 9).alias("l2"))
+
+
+_both = f"WITH {Q.EV}, {Q.CUST}, d AS (SELECT cu.id AS c, ev.id AS e, {_PAIR} AS l2 FROM cu, ev), m AS (SELECT min(l2) AS l2 FROM d GROUP BY c UNION ALL SELECT min(l2) FROM d GROUP BY e)"
+
+
+@query(f"{_both} SELECT {Q.r('max(l2)', 9)} AS l2 FROM m")
+def hausdorff(spark, sf):
+    q, e = _sides(spark, sf)
+    both = S.directed_hausdorff(q, e, "cust", "id").union(S.directed_hausdorff(e, q, "id", "cust"))
+    return both.agg(rd(F.max("l2"), 9).alias("l2"))
+
+
+# --- Polylines, polygons --------------------------------------------------------------------------
+
+_prev = ("px", "py", "pz")
+_seg = f"WITH {Q.LOCAL}, s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM lo WINDOW w AS (PARTITION BY user_id ORDER BY ts, id))"
+
+
+@query(f"{_seg} SELECT user_id, {Q.r(f'sum({Q.angle(_prev, ("x", "y", "z"))}) * 6371.010', 4)} AS km, count(*)::BIGINT AS n FROM s GROUP BY user_id")
+def polyline_length(spark, sf):
+    rows = T.tracks(spark, sf)
+    return rows.select("user_id", rd(H.polyline_length(F.col("chain")) * (P.EARTH_RADIUS_M / 1000), 4).alias("km"), F.size("chain").cast("long").alias("n"))
+
+
+_len = Q.norm(Q.sub(_prev, ("x", "y", "z")))
+_sum = f"sqrt(pow(px + x, 2) + pow(py + y, 2) + pow(pz + z, 2))"
+
+
+@query(f"{_seg} SELECT user_id, " + ", ".join(Q.r(f"sum((p{k} + {k}) * {_len} / {_sum})", 8) + f" AS {k}" for k in "xyz") + " FROM s WHERE px IS NOT NULL GROUP BY user_id")
+def polyline_centroid(spark, sf):
+    rows = T.tracks(spark, sf).withColumn("m", H.polyline_centroid(F.col("chain")))
+    return rows.filter(F.size("chain") > 1).select("user_id", *[rd(F.col(f"m.{k}"), 8).alias(k) for k in "xyz"])
+
+
+_ZONE = f"z AS (SELECT n_nationkey::BIGINT AS zone, {Q.r('8 * 2 * atan(tan(0.5 * r8) * tan(0.5 * r8) * sin(pi() / 4) / (1 + tan(0.5 * r8) * tan(0.5 * r8) * cos(pi() / 4)))', 9)} AS area FROM (SELECT *, 500000.0 / 6371010.0 AS r8 FROM nation))"
+
+
+@query(f"WITH {_ZONE} SELECT zone, area FROM z")
+def loop_area(spark, sf):
+    return T.zones(spark, sf).select("zone", rd(H.loop_area(F.get("loops", F.lit(0))), 9).alias("area"))
+
+
+@query()
+def polygon_contains_join(spark, sf):
+    """Points in polygons: coverings as filter, exact crossing parity as refinement."""
+    zones = materialize(T.zones(spark, sf).withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
+    pairs = J.zones_join(event_cells(spark, sf).select("id", "p", "cell_id"), zones)
+    return pairs.filter(H.polygon_contains(F.col("loops"), F.col("p"))).select("zone", "id")
+
+
+@query()
+def covering_caps(spark, sf):
+    caps = T.supplier_points(spark, sf).withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(0.01), max_cells=8))
+    return materialize(caps, "caps").select("supp", F.size("covering").alias("n"), F.transform("covering", lambda x: C.to_token(x)).alias("tokens"))
+
+
+@query()
+def polygon_set_ops(spark, sf):
+    """Areas of overlays of each zone with a moved copy: union + intersection = sum of both."""
+    x = T.zones(spark, sf)
+    moved = P.let(P.ortho(F.col("center")), lambda axis: F.transform("loops", lambda l: F.transform(l, lambda p: P.rotate(p, axis, 0.04))))
+    rows = materialize(x.select("zone", F.col("loops").alias("a"), moved.alias("b")), "pairs")
+    total = lambda loops: F.aggregate(loops, F.lit(0.0), lambda s, l: s + H.loop_signed_area(l))
+    done = materialize(rows.select("zone", "a", "b", H.polygon_union("a", "b").alias("u"), H.polygon_intersection("a", "b").alias("i"), H.polygon_difference("a", "b").alias("d")), "overlays")
+    return done.select("zone", *[rd(total(F.col(k)), 9).alias(k) for k in "abuid"])
+
+
+@query()
+def polyline_simplify(spark, sf):
+    rows = materialize(T.tracks(spark, sf), "tracks").select("user_id", "chain", H.simplify(F.col("chain"), F.lit(0.002)).alias("s"))
+    return rows.select("user_id", F.size("chain").alias("n"), F.size("s").alias("kept"))
+
+
+@query()
+def polyline_interpolate(spark, sf):
+    rows = T.tracks(spark, sf).withColumn("m", P.to_latlng(H.polyline_interpolate(F.col("chain"), 0.5)))
+    return rows.select("user_id", rd(F.degrees("m.lat")).alias("lat"), rd(F.degrees("m.lng")).alias("lng"))
+
+
+_EDGES = f"{_seg}, e AS (SELECT id AS edge, px AS ax, py AS ay, pz AS az, x AS bx, y AS by, z AS bz FROM s WHERE px IS NOT NULL)"
+
+
+def track_edges(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = T.local_points(spark, sf)
+    before = F.lag("p").over(Window.partitionBy("user_id").orderBy("ts", "id"))
+    return rows.select(F.col("id").alias("edge"), before.alias("a"), F.col("p").alias("b")).filter("a is not null")
+
+
+_cc = tuple(f"lo.{k}" for k in "xyz")
+_en = Q.cross(("e.ax", "e.ay", "e.az"), ("e.bx", "e.by", "e.bz"))
+_ea, _eb = ("e.ax", "e.ay", "e.az"), ("e.bx", "e.by", "e.bz")
+_EL = f"CASE WHEN {Q.dot(_en, _en)} > 0 AND {Q.dot(Q.cross(_en, _ea), _cc)} > 0 AND {Q.dot(Q.cross(_eb, _en), _cc)} > 0 THEN least({Q.l2(_cc, _ea)}, {Q.l2(_cc, _eb)}, pow({Q.dot(_cc, _en)} / {Q.norm(_en)}, 2) + pow(1 - sqrt(greatest(0.0, 1 - pow({Q.dot(_cc, _en)} / {Q.norm(_en)}, 2))), 2)) ELSE least({Q.l2(_cc, _ea)}, {Q.l2(_cc, _eb)}) END"
+
+
+@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e WHERE lo.id % 50 = 0 AND e.edge % 20 = 0) SELECT id, edge FROM d WHERE l2 < {4 * math.sin(0.0005) ** 2!r}")
+def edges_within_distance(spark, sf):
+    pts = S.with_cells(T.local_points(spark, sf).filter("id % 50 = 0"))
+    edges = materialize(track_edges(spark, sf).filter("edge % 20 = 0"), "edges")
+    return S.edges_within(pts, edges, 0.001, "id", "edge").select("id", "edge")
+
+
+def _sgn(p, q, r) -> str:
+    return f"sign({Q.dot(r, Q.cross(p, q))})"
+
+
+_fa, _fb = ("f.ax", "f.ay", "f.az"), ("f.bx", "f.by", "f.bz")
+
+
+@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge FROM e, e AS f WHERE e.edge % 40 = 0 AND f.edge % 40 = 1 AND {_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)}")
+def edge_crossings(spark, sf):
+    edges = materialize(track_edges(spark, sf), "edges")
+    left = edges.filter("edge % 40 = 0").withColumnRenamed("edge", "left_edge")
+    right = edges.filter("edge % 40 = 1").withColumnRenamed("edge", "right_edge")
+    return S.crossing_edges(left, right, 9, "left_edge", "right_edge")
+
+
+# --- Density, clusters, hull ----------------------------------------------------------------------
+
+_TREE = f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 6)}, tree AS (SELECT c AS cell_id, count(*)::BIGINT AS weight FROM (SELECT unnest([cell_id, " + ", ".join(Q.parent("cell_id", l) for l in range(6)) + "]) AS c FROM cells) GROUP BY c)"
+
+
+@query(f"{_TREE} SELECT cell_id, weight FROM tree")
+def density_tree(spark, sf):
+    return D.density_tree(event_cells(spark, sf), 6)
+
+
+@query(f"{_TREE} SELECT cell_id, (2 * weight)::BIGINT AS weight FROM tree")
+def density_sum(spark, sf):
+    tree = materialize(D.density_tree(event_cells(spark, sf), 6), "tree")
+    return D.tree_sum(tree, tree)
+
+
+_PARENT = "CASE " + " ".join(f"WHEN {Q.level('cell_id')} = {l} THEN {Q.parent('cell_id', l - 1)}" for l in range(1, 7)) + " END"
+
+
+@query(f"{_TREE}, p AS (SELECT *, {_PARENT} AS par, {Q.level('cell_id')} AS lv FROM tree) SELECT p.cell_id, p.weight FROM p LEFT JOIN tree u ON u.cell_id = p.par WHERE (u.weight IS NULL OR u.weight > 40) AND (p.weight <= 40 OR p.lv = 6)")
+def density_partition(spark, sf):
+    return D.tree_partition(materialize(D.density_tree(event_cells(spark, sf), 6), "tree"), 40)
+
+
+@query()
+def density_dilate(spark, sf):
+    return D.tree_dilate(materialize(D.density_tree(event_cells(spark, sf), 6), "tree"), 0.03)
+
+
+@query()
+def density_clusters(spark, sf):
+    return D.clusters(materialize(D.density_tree(event_cells(spark, sf), 8), "tree"), 500)
+
+
+@query()
+def region_shards(spark, sf):
+    tree = materialize(D.density_tree(event_cells(spark, sf), 4), "tree")
+    shards = D.tree_leaves(tree).select("cell_id", (C.face(F.col("cell_id"))).alias("shard"))
+    zones = materialize(T.zones(spark, sf).withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
+    return D.best_shard(shards, zones.select(F.col("zone").alias("region"), F.explode("covering").alias("cell_id")))
+
+
+@query()
+def convex_hull(spark, sf):
+    return D.convex_hull(T.local_points(spark, sf)).select(F.posexplode("hull").alias("k", "p")).select("k", rd(F.degrees(P.latitude(F.col("p"))), 6).alias("lat"), rd(F.degrees(P.longitude(F.col("p"))), 6).alias("lng"))
+
+
+# --- Text -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {Q.EV} SELECT id, {Q.r('x')} AS x, {Q.r('y')} AS y, {Q.r('z')} AS z, false AS odd FROM ev")
+def text_points(spark, sf):
+    rows = T.event_points(spark, sf).withColumn("t", F.concat(F.col("lat_deg").cast("string"), F.lit(":"), F.col("lng_deg").cast("string")))
+    parsed = rows.withColumn("q", X.parse_point(F.col("t")))
+    return parsed.select("id", *[rd(F.col(f"q.{k}")).alias(k) for k in "xyz"], F.col("q").isNull().alias("odd"))
+
+
+@query()
+def text_index(spark, sf):
+    """The shapes of a text index and their edges."""
+    rows = spark.createDataFrame([("0:0 # 0:1, 0:2 # 0:5, 0:7, 2:6",)], "t string").select(F.posexplode(X.parse_index(F.col("t"))).alias("shape_id", "s"))
+    chains = rows.select("shape_id", "s.dimension", F.posexplode("s.chains").alias("chain_id", "chain"))
+    edges = chains.withColumn("e", F.when(F.col("dimension") == 0, F.transform("chain", lambda p: F.struct(p.alias("a"), p.alias("b")))).when(F.col("dimension") == 1, H.edges(F.col("chain"))).otherwise(H.edges(F.col("chain"), closed=True)))
+    return edges.select("shape_id", "dimension", "chain_id", F.posexplode("e").alias("edge_id", "edge")).select("shape_id", "dimension", "chain_id", "edge_id", X.format_point(F.col("edge.a")).alias("a"), X.format_point(F.col("edge.b")).alias("b"))
