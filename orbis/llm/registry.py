@@ -97,10 +97,10 @@ p AS (SELECT t.conv_id, perspective, turn, t.role = perspective AS own, text,
     CASE WHEN t.role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head
     FROM t JOIN s ON s.conv_id = t.conv_id),
 q AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM p),
-o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn) - length(piece) AS at FROM q)
+o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn) - length(piece) AS place FROM q)
 SELECT conv_id, perspective, 0::BIGINT AS part, 0::BIGINT AS part_start, count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_own,
     string_agg(piece, '' ORDER BY turn) AS rendered,
-    string_agg((at + length(head))::BIGINT::VARCHAR || ':' || (at + length(head) + length(text) + 7)::BIGINT::VARCHAR, ',' ORDER BY turn) FILTER (own) AS mask
+    string_agg((place + length(head))::BIGINT::VARCHAR || ':' || (place + length(head) + length(text) + 7)::BIGINT::VARCHAR, ',' ORDER BY turn) FILTER (own) AS mask
 FROM o GROUP BY conv_id, perspective
 """
 

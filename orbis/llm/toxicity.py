@@ -34,7 +34,7 @@ SIZE = 32**3
 #: Characters that stand in for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$!")
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][ ]){2,}[^\W_](?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][ ]){2,}[^\W_](?![^\W_])")
 
 
 def tokens_of(text: str) -> set[str]:
