@@ -91,7 +91,7 @@ def best_shard(shards: DataFrame, regions: DataFrame, region: str = "region") ->
     from orbis.operators.joins import overlap_join
 
     pairs = overlap_join(shards.select(F.col("cell_id").alias("a_cell"), "shard"), regions.select(F.col("cell_id").alias("b_cell"), region))
-    leaves = (F.shiftright(F.least(C.lsb(F.col("a_cell")), C.lsb(F.col("b_cell"))) - 1, 1) + 1).cast("decimal(38,0)")
+    leaves = F.least(C.lsb(F.col("a_cell")), C.lsb(F.col("b_cell"))).cast("decimal(38,0)")
     summed = pairs.groupBy(region, "shard").agg(F.sum(leaves).alias("n"))
     return summed.groupBy(region).agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("shard"))
 

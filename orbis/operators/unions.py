@@ -76,7 +76,7 @@ def denormalize(cells: DataFrame, min_level: int, level_mod: int = 1) -> DataFra
 
 def leaves_covered(cells: DataFrame) -> DataFrame:
     """One row: how many leaves a normalised union has, as decimal(38)."""
-    return cells.agg(F.sum((F.shiftleft(F.shiftright(C.lsb(F.col("cell_id")) - 1, 1), 0) + 1).cast("decimal(38,0)")).alias("leaves"))
+    return cells.agg(F.sum(C.lsb(F.col("cell_id")).cast("decimal(38,0)")).alias("leaves"))
 
 
 def average_area(cells: DataFrame) -> DataFrame:

@@ -29,7 +29,11 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bind_columns()
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -56,7 +60,21 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", *[P.to_point(F.col(f"{n}l")).alias(n) for n in "abc"])
 
 
-a, b, c, al, bl, cl = (F.col(n) for n in ("a", "b", "c", "al", "bl", "cl"))
+a: Column
+b: Column
+c: Column
+al: Column
+bl: Column
+cl: Column
+cell: Column
+
+
+def bind_columns() -> None:
+    """Columns can only be named once there is a session, so the names above are bound by the first query."""
+    if "cell" not in globals():
+        globals().update({n: F.col(n) for n in ("a", "b", "c", "al", "bl", "cl")} | {"cell": F.col("cell_id")})
+
+
 TR = f"WITH {Q.triple()}"
 va, vb, vc = Q.vec("a"), Q.vec("b"), Q.vec("c")
 PI = math.pi
@@ -232,9 +250,6 @@ def event_cells(spark: SparkSession, sf: str, level: int | None = None) -> DataF
     return rows if level is None else rows.withColumn("cell_id", C.parent(F.col("cell_id"), level))
 
 
-cell = F.col("cell_id")
-
-
 @query(f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 10)} SELECT cell_id, count(*)::BIGINT AS n FROM cells GROUP BY cell_id")
 def events_by_cell(spark, sf):
     return event_cells(spark, sf, 10).groupBy("cell_id").agg(F.count("*").alias("n"))

@@ -23,15 +23,15 @@ def parse_point(t: Column) -> Column:
 
 
 def _items(t: Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(t, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_points(t: Column) -> Column:
-    return F.transform(_items(t, ","), parse_point)
+    return F.transform(_items(t, ","), lambda x: parse_point(x))
 
 
 def parse_latlngs(t: Column) -> Column:
-    return F.transform(_items(t, ","), parse_latlng)
+    return F.transform(_items(t, ","), lambda x: parse_latlng(x))
 
 
 def parse_edges(t: Column) -> Column:
@@ -39,7 +39,7 @@ def parse_edges(t: Column) -> Column:
         ends = parse_points(x)
         return F.struct(F.get(ends, F.lit(0)).alias("a"), F.get(ends, F.lit(1)).alias("b"))
 
-    return F.transform(_items(t, ";"), edge)
+    return F.transform(_items(t, ";"), lambda x: edge(x))
 
 
 def parse_rect(t: Column) -> Column:
@@ -58,7 +58,7 @@ def parse_cell(t: Column) -> Column:
 
 
 def parse_cells(t: Column) -> Column:
-    return F.transform(_items(t, ","), parse_cell)
+    return F.transform(_items(t, ","), lambda x: parse_cell(x))
 
 
 def parse_loop(t: Column) -> Column:
@@ -71,7 +71,7 @@ def parse_polyline(t: Column) -> Column:
 
 
 def parse_polygon(t: Column) -> Column:
-    return F.transform(_items(t, ";"), parse_loop)
+    return F.transform(_items(t, ";"), lambda x: parse_loop(x))
 
 
 def parse_index(t: Column) -> Column:
@@ -79,7 +79,7 @@ def parse_index(t: Column) -> Column:
     parts = F.split(t, "#")
     part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
     shape = lambda d, chains: F.struct(F.lit(d).alias("dimension"), chains.alias("chains"))
-    points = F.transform(_items(part(0), r"\|"), parse_point)
+    points = F.transform(_items(part(0), r"\|"), lambda x: parse_point(x))
     zero = F.when(F.size(points) > 0, F.array(shape(0, F.array(points)))).otherwise(F.array().cast("array<struct<dimension:int,chains:array<array<struct<x:double,y:double,z:double>>>>>"))
     lines = F.transform(_items(part(1), r"\|"), lambda x: shape(1, F.array(parse_polyline(x))))
     areas = F.transform(_items(part(2), r"\|"), lambda x: shape(2, parse_polygon(x)))
