@@ -53,6 +53,11 @@ def rd(c: Column, digits: int = 7) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A few rows whose kernels take long, dealt to all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three points for each event: lat/lngs al, bl, cl and points a, b, c."""
     k = F.col("event_id").cast("long")
@@ -188,7 +193,7 @@ _RECTS = "rc AS (SELECT r_regionkey::BIGINT AS rect, radians(-60.0::DOUBLE + 20
 @query(f"WITH {Q.EV}, {_RECTS} SELECT rect, id FROM ev, rc WHERE lat BETWEEN la AND lb AND lng BETWEEN oa AND ob")
 def rect_contains(spark, sf):
     """Points in rectangles: candidates by the rectangles' coverings, then the exact test."""
-    zones = T.rects(spark, sf).withColumn("covering", R.rect_covering(F.col("r"), max_cells=16, max_level=12))
+    zones = spread(T.rects(spark, sf), "rect").withColumn("covering", R.rect_covering(F.col("r"), max_cells=16, max_level=12))
     pairs = J.zones_join(S.with_cells(T.event_points(spark, sf)), materialize(zones, "rects"))
     return pairs.filter(B.rect_contains(F.col("r"), F.col("ll"))).select("rect", "id")
 
@@ -446,7 +451,7 @@ def _within(limit: float, other: str = "su") -> str:
 @query(_within(_R2))
 def terms_join(spark, sf):
     """Points in caps: terms of the points, terms of the caps' coverings, then the exact test."""
-    caps = T.supplier_points(spark, sf).withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(_R2), min_level=4, max_level=10, level_mod=2, max_cells=16))
+    caps = spread(T.supplier_points(spark, sf), "supp").withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(_R2), min_level=4, max_level=10, level_mod=2, max_cells=16))
     asked = materialize(caps, "caps").select("supp", F.col("p").alias("q"), R.query_terms(F.col("covering"), min_level=4, max_level=10, level_mod=2, points_only=True).alias("terms"))
     pts = materialize(points_terms(spark, sf), "terms")
     pairs = R.term_join(pts, asked, "id", "supp")
@@ -557,21 +562,21 @@ def loop_area(spark, sf):
 @query()
 def polygon_contains_join(spark, sf):
     """Points in polygons: coverings as filter, exact crossing parity as refinement."""
-    zones = materialize(T.zones(spark, sf).withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
+    zones = materialize(spread(T.zones(spark, sf), "zone").withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
     pairs = J.zones_join(event_cells(spark, sf).select("id", "p", "cell_id"), zones)
     return pairs.filter(H.polygon_contains(F.col("loops"), F.col("p"))).select("zone", "id")
 
 
 @query()
 def covering_caps(spark, sf):
-    caps = T.supplier_points(spark, sf).withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(0.01), max_cells=8))
+    caps = spread(T.supplier_points(spark, sf), "supp").withColumn("covering", R.cap_covering(F.col("ll.lat"), F.col("ll.lng"), F.lit(0.01), max_cells=8))
     return materialize(caps, "caps").select("supp", F.size("covering").alias("n"), F.transform("covering", lambda x: C.to_token(x)).alias("tokens"))
 
 
 @query()
 def polygon_set_ops(spark, sf):
     """Areas of overlays of each zone with a moved copy: union + intersection = sum of both."""
-    x = T.zones(spark, sf)
+    x = spread(T.zones(spark, sf), "zone")
     moved = P.let(P.ortho(F.col("center")), lambda axis: F.transform("loops", lambda l: F.transform(l, lambda p: P.rotate(p, axis, 0.04))))
     rows = materialize(x.select("zone", F.col("loops").alias("a"), moved.alias("b")), "pairs")
     total = lambda loops: F.aggregate(loops, F.lit(0.0), lambda s, l: s + H.loop_signed_area(l))
@@ -668,7 +673,7 @@ def density_clusters(spark, sf):
 def region_shards(spark, sf):
     tree = materialize(D.density_tree(event_cells(spark, sf), 4), "tree")
     shards = D.tree_leaves(tree).select("cell_id", (C.face(F.col("cell_id"))).alias("shard"))
-    zones = materialize(T.zones(spark, sf).withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
+    zones = materialize(spread(T.zones(spark, sf), "zone").withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
     return D.best_shard(shards, zones.select(F.col("zone").alias("region"), F.explode("covering").alias("cell_id")))
 
 
