@@ -243,14 +243,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """fp, component_id (smallest doc_id that its links reach) and keep (the smallest row there), one row for each fp."""
+    """fp, n (its rows), component_id (smallest doc_id that its links reach) and keep (the smallest row there), one row for each fp."""
     key = F.struct("doc_id", "text_hash")
-    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(key).alias("first_row")), "distinct-prints")
+    each = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(key).alias("first_row")), "distinct-prints")
     roots = materialize(components(links(each.select("fp"), leaf)), "roots")
     linked = each.join(roots, each["fp"] == roots["node"])
     merged = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("keep"))
     of_node = roots.join(merged, "root").select("node", "component_id", "keep")
-    return each.join(of_node, each["fp"] == of_node["node"], "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keep", "first_row").alias("keep"))
+    return each.join(of_node, each["fp"] == of_node["node"], "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keep", "first_row").alias("keep"))
+
+
+def with_classes(prints: DataFrame, found: DataFrame, hot: int = 1024) -> DataFrame:
+    """prints with the columns of found, joined by fp.
+
+    Fingerprints of more than ``hot`` rows, and more than 1/4096 of all rows, are at most 4096: these are
+    broadcast, so that no group of copies is dealt to one task. The others are joined by a shuffle.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") > max(hot, total // 4096)
+    common = F.broadcast(found.filter(large))
+    rest = prints.join(common.select("fp"), "fp", "left_anti").join(found.filter(~large), "fp")
+    return prints.join(common, "fp").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, leaf: int = LEAF) -> DataFrame:
@@ -262,9 +275,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, leaf: int = LEAF) -> DataFr
     component's first in order of doc_id (nulls first) and text hash.
     """
     prints = materialize(fingerprints(docs, words), "prints")
-    found = classes(prints, leaf)
+    found = materialize(classes(prints, leaf), "classes")
     same = F.col("keep")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("keep")["text_hash"] == F.col("text_hash"))
-    return prints.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id", same.alias("keep"))
+    return with_classes(prints, found).select("doc_id", "text_hash", "fp", "component_id", same.alias("keep"))
 
 
 def deduplicate(docs: DataFrame, words: int = 3, leaf: int = LEAF) -> DataFrame:

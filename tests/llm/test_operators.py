@@ -387,3 +387,14 @@ def test_neighbours(spark):
     assert np.mean(hits) >= 0.9 and [k for _, k, _ in got[101]] == [100, 102, 103, 104, 105]
     assert [(k, round(x, 9)) for _, k, x in got[904]] == [(905, 1.0)] and not {900, 901, 902, 903} & set(got)
     assert search(build_index(table_.limit(0)), table_.limit(0)).count() == 0
+
+
+def test_hot_fingerprints_are_joined_whole(spark):
+    from orbis.llm.simhash import classes, with_classes
+
+    rows = [(k, 0, 0 if k % 3 else 1 << k % 50) for k in range(300)]
+    prints = spark.createDataFrame(rows, "doc_id long, text_hash long, fp long")
+    found = classes(prints).cache()
+    plain = prints.join(found, "fp").select("doc_id", "component_id")
+    for hot in (0, 5, 1000):
+        assert Counter(with_classes(prints, found, hot).select("doc_id", "component_id").collect()) == Counter(plain.collect())
