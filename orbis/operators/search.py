@@ -113,17 +113,44 @@ def edges_within(points: DataFrame, edges: DataFrame, radians: float, point_id:
     return near.join(right, "_k").select(point_id, edge_id, P.edge_distance_l2(F.col("_q"), F.col("a"), F.col("b")).alias("l2")).filter(F.col("l2") < l2_of(radians))
 
 
-def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str) -> DataFrame:
-    """a_id, b_id of all pairs of edges that cross inside, each once. Edges are entered at the cells of a level that they pass."""
+def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str, by: str | None = None) -> DataFrame:
+    """a_id, b_id of all pairs of edges that cross inside, each once: of all edges, or of those that agree in ``by``.
+
+    Edges are entered at the cells of a level that they pass.
+    """
+    own = [by] if by else []
 
     def keyed(edges: DataFrame, name: str) -> DataFrame:
         step = C.metric_value("min_width", level)
         n = F.greatest(F.lit(1), F.ceil(P.angle_between(F.col("a"), F.col("b")) / step)).cast("int")
         stops = F.transform(F.sequence(F.lit(0), n), lambda k: P.interpolate(F.col("a"), F.col("b"), k / n))
-        at = edges.select(name, F.col("a"), F.col("b"), F.explode(stops).alias("_s")).select(name, "a", "b", C.parent(C.from_point(F.col("_s")), level).alias("_c"))
+        at = edges.select(name, *own, F.col("a"), F.col("b"), F.explode(stops).alias("_s")).select(name, *own, "a", "b", C.parent(C.from_point(F.col("_s")), level).alias("_c"))
         return at.distinct()
 
-    left = expanded(keyed(a, a_id), "_c", level, "_k").select(a_id, "a", "b", "_k").distinct()
-    right = keyed(b, b_id).select(b_id, F.col("a").alias("c"), F.col("b").alias("d"), F.col("_c").alias("_k"))
-    hit = left.join(right, "_k").filter(P.edges_cross(F.col("a"), F.col("b"), F.col("c"), F.col("d")) == 1)
+    left = expanded(keyed(a, a_id), "_c", level, "_k").select(a_id, *own, "a", "b", "_k").distinct()
+    right = keyed(b, b_id).select(b_id, *own, F.col("a").alias("c"), F.col("b").alias("d"), F.col("_c").alias("_k"))
+    hit = left.join(right, ["_k", *own]).filter(P.edges_cross(F.col("a"), F.col("b"), F.col("c"), F.col("d")) == 1)
     return hit.select(a_id, b_id).distinct()
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, k: int, point_id: str, edge_id: str, *, max_radians: float, start_radians: float | None = None) -> DataFrame:
+    """point_id, rank, edge_id, l2: the k nearest edges (struct a, b) of each point below a distance, ties to the smaller id.
+
+    Discs grow by a factor of four, up to the limit, for the points that don't have k edges yet: what lies
+    in a disc is found whole, so a point with k edges is settled.
+    """
+    top = Window.partitionBy(point_id).orderBy("l2", edge_id)
+    radius, left, out = min(start_radians or max_radians, max_radians), points, None
+    while True:
+        pairs = edges_within(left, edges, radius, point_id, edge_id).distinct()
+        found = pairs.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select(point_id, "rank", edge_id, "l2")
+        if radius >= max_radians:
+            return found if out is None else out.unionByName(found)
+        found = materialize(found, "nearest-edges")
+        settled = found.filter(F.col("rank") == k).select(point_id)
+        sure = found.join(settled, point_id, "left_semi")
+        out = sure if out is None else out.unionByName(sure)
+        left = materialize(left.join(settled, point_id, "left_anti"), "unsettled")
+        if left.isEmpty():
+            return out
+        radius = min(4 * radius, max_radians)

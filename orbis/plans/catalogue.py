@@ -295,10 +295,10 @@ def cell_children(spark, sf):
     return event_cells(spark, sf, 20).select("id", F.posexplode(C.children(cell)).alias("k", "child"))
 
 
-@query(f"{L20}, p AS (SELECT DISTINCT {Q.parent('cell_id', 4)} AS q FROM cells WHERE id % 50 = 0) SELECT q, count(*)::BIGINT AS n FROM p, cells WHERE {Q.unsigned('cell_id')} BETWEEN {Q.rmin('q')} AND {Q.rmax('q')} GROUP BY q")
+@query(f"{L20}, p AS (SELECT DISTINCT {Q.parent('cell_id', 4)} AS q FROM cells) SELECT q, count(*)::BIGINT AS n FROM p, cells WHERE {Q.unsigned('cell_id')} BETWEEN {Q.rmin('q')} AND {Q.rmax('q')} GROUP BY q")
 def cell_contains_pairs(spark, sf):
     cells = event_cells(spark, sf, 20)
-    some = cells.filter("id % 50 = 0").select(C.parent(cell, 4).alias("q")).distinct()
+    some = cells.select(C.parent(cell, 4).alias("q")).distinct()
     return J.with_ancestors(cells, [4], name="k").join(some, F.col("k") == F.col("q")).groupBy("q").agg(F.count("*").alias("n"))
 
 
@@ -482,11 +482,11 @@ def knn_points(spark, sf):
     return _ranked(S.nearest(*_sides(spark, sf), 3, "cust", "id"))
 
 
-@query(_knn("WHERE ev.id % 7 = 0"))
+@query(_knn("WHERE ev.z > 0"))
 def knn_filtered(spark, sf):
-    """The filter comes before the ranking."""
+    """The filter, here the northern hemisphere, comes before the ranking."""
     q, e = _sides(spark, sf)
-    return _ranked(S.nearest(q, e.filter("id % 7 = 0"), 3, "cust", "id"))
+    return _ranked(S.nearest(q, e.filter("p.z > 0"), 3, "cust", "id"))
 
 
 @query(_knn(f"WHERE {_PAIR} < {4 * math.sin(0.01) ** 2!r}"))
@@ -596,7 +596,7 @@ def polyline_interpolate(spark, sf):
     return rows.select("user_id", rd(F.degrees("m.lat")).alias("lat"), rd(F.degrees("m.lng")).alias("lng"))
 
 
-_EDGES = f"{_seg}, e AS (SELECT id AS edge, px AS ax, py AS ay, pz AS az, x AS bx, y AS by, z AS bz FROM s WHERE px IS NOT NULL)"
+_EDGES = f"{_seg}, e AS (SELECT id AS edge, user_id, px AS ax, py AS ay, pz AS az, x AS bx, y AS by, z AS bz FROM s WHERE px IS NOT NULL)"
 
 
 def track_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -604,7 +604,7 @@ def track_edges(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = T.local_points(spark, sf)
     before = F.lag("p").over(Window.partitionBy("user_id").orderBy("ts", "id"))
-    return rows.select(F.col("id").alias("edge"), before.alias("a"), F.col("p").alias("b")).filter("a is not null")
+    return rows.select(F.col("id").alias("edge"), "user_id", before.alias("a"), F.col("p").alias("b")).filter("a is not null")
 
 
 _cc = tuple(f"lo.{k}" for k in "xyz")
@@ -613,11 +613,10 @@ _ea, _eb = ("e.ax", "e.ay", "e.az"), ("e.bx", "e.by", "e.bz")
 _EL = f"CASE WHEN {Q.dot(_en, _en)} > 0 AND {Q.dot(Q.cross(_en, _ea), _cc)} > 0 AND {Q.dot(Q.cross(_eb, _en), _cc)} > 0 THEN least({Q.l2(_cc, _ea)}, {Q.l2(_cc, _eb)}, pow({Q.dot(_cc, _en)} / {Q.norm(_en)}, 2) + pow(1 - sqrt(greatest(0.0, 1 - pow({Q.dot(_cc, _en)} / {Q.norm(_en)}, 2))), 2)) ELSE least({Q.l2(_cc, _ea)}, {Q.l2(_cc, _eb)}) END"
 
 
-@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e WHERE lo.id % 50 = 0 AND e.edge % 20 = 0) SELECT id, edge FROM d WHERE l2 < {4 * math.sin(0.0005) ** 2!r}")
+@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e) SELECT id, edge FROM d WHERE l2 < {4 * math.sin(0.00005) ** 2!r}")
 def edges_within_distance(spark, sf):
-    pts = S.with_cells(T.local_points(spark, sf).filter("id % 50 = 0"))
-    edges = materialize(track_edges(spark, sf).filter("edge % 20 = 0"), "edges")
-    return S.edges_within(pts, edges, 0.001, "id", "edge").select("id", "edge")
+    pts, edges = S.with_cells(T.local_points(spark, sf)), materialize(track_edges(spark, sf), "edges")
+    return S.edges_within(pts, edges, 0.0001, "id", "edge").select("id", "edge")
 
 
 def _sgn(p, q, r) -> str:
@@ -627,12 +626,12 @@ def _sgn(p, q, r) -> str:
 _fa, _fb = ("f.ax", "f.ay", "f.az"), ("f.bx", "f.by", "f.bz")
 
 
-@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge FROM e, e AS f WHERE e.edge % 40 = 0 AND f.edge % 40 = 1 AND {_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)}")
+@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge FROM e, e AS f WHERE e.user_id = f.user_id AND e.edge < f.edge AND {_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)}")
 def edge_crossings(spark, sf):
+    """All pairs of edges of a track that cross inside."""
     edges = materialize(track_edges(spark, sf), "edges")
-    left = edges.filter("edge % 40 = 0").withColumnRenamed("edge", "left_edge")
-    right = edges.filter("edge % 40 = 1").withColumnRenamed("edge", "right_edge")
-    return S.crossing_edges(left, right, 9, "left_edge", "right_edge")
+    left, right = (edges.withColumnRenamed("edge", n) for n in ("left_edge", "right_edge"))
+    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id").filter("left_edge < right_edge")
 
 
 # --- Density, clusters, hull ----------------------------------------------------------------------
