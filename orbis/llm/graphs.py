@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbis.session import materialize
+from orbis.session import checked_broadcast, materialize
 
 SHARD = 4096
 DEGREE = 28
@@ -155,7 +155,7 @@ def build_index(rows: DataFrame, *, k: int = 5, shard: int = SHARD, degree: int
     few = vectors.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)  # the others of equal vectors can't be among the k nearest
     nodes = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
     sizes = nodes.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
-    dealt = nodes.withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("ids"), F.col("shards")))
+    dealt = nodes.withColumn("dim", F.size("v")).join(checked_broadcast(sizes, sizes.count()), "dim").withColumn("shard", F.pmod(F.xxhash64("ids"), F.col("shards")))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda c: c.map(lambda i: i[0])).reset_index(drop=True)
@@ -182,9 +182,12 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, beam: int = BEAM
     own = valid_vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     own = materialize(own, "queries")
     blocks = own.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    dealt = own.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    dealt = own.join(checked_broadcast(blocks, blocks.count()), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     packed = dealt.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
-    sent = packed.join(index.select("dim", "shard"), "dim")
+    # A row for each length of vectors; a block names its shards by itself, as a join by length would have one key.
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("shard")
+    sent = packed.join(checked_broadcast(shards, shards.count()), "dim").select("dim", "q_ids", "q_vectors", numbers)
     pairs = sent.join(index, ["dim", "shard"]).select("dim", "q_ids", "q_vectors", "n", "ids", "counts", "vectors", "graph", "entry")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
