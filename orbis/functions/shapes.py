@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orbis.functions import points as P
 from orbis.functions import types
 from orbis.functions.points import let
+from orbis.operators import areas as A
 from orbis.operators import kernels as K
 
 
@@ -169,3 +170,71 @@ def _boolean(kind: str):
 
 
 polygon_union, polygon_intersection, polygon_difference, polygon_symmetric_difference = (_boolean(k) for k in ("union", "intersection", "difference", "symmetric"))
+
+
+@F.pandas_udf(types.LOOPS)
+def polygons_union(polygons: pd.Series) -> pd.Series:
+    """Union of an array of polygons."""
+    return pd.Series([[_points(l) for l in A.union_all([_loops(p) for p in ps])] for ps in polygons])
+
+
+def buffer(chains: Column, radius, dimension: int, segments: int = 16, flat: bool = False) -> Column:
+    """Polygon within an angle of points (dimension 0), polylines (1) or loops (2); see areas.buffered()."""
+
+    @F.pandas_udf(types.LOOPS)
+    def run(c: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([[_points(l) for l in A.buffered(_loops(x), float(y), dimension, segments, flat)] for x, y in zip(c, r)])
+
+    return run(chains, P.lit(radius))
+
+
+def _related(kind: str):
+    @F.pandas_udf(types.T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([A.relation(_loops(x), _loops(y), kind) for x, y in zip(a, b)])
+
+    return run
+
+
+polygon_contains_polygon, polygon_intersects, polygon_equals = (_related(k) for k in ("contains", "intersects", "equals"))
+
+
+def _parts(inside: bool):
+    @F.pandas_udf(types.LOOPS)
+    def run(chain: pd.Series, loops: pd.Series) -> pd.Series:
+        return pd.Series([[_points(c) for c in A.polyline_parts(_chain(x), _loops(y), inside)] for x, y in zip(chain, loops)])
+
+    return run
+
+
+polyline_inside, polyline_outside = _parts(True), _parts(False)
+
+
+@F.pandas_udf(types.LOOPS)
+def link_edges(edges: pd.Series) -> pd.Series:
+    """Polylines of an array of directed edges (struct a, b)."""
+    keys = [[tuple(tuple(e[n][k] for k in "xyz") for n in "ab") for e in es] for es in edges]
+    return pd.Series([[_points(c) for c in A.linked(e)] for e in keys])
+
+
+def _snapped(move, at: int, closed: bool):
+    @F.pandas_udf(types.POINTS)
+    def run(chain: pd.Series) -> pd.Series:
+        return pd.Series([_points(move(_chain(c), at, closed)) for c in chain])
+
+    return run
+
+
+def snap_to_cells(chain: Column, level: int, closed: bool = False) -> Column:
+    """A chain with its vertices at cell centres, without repeats; no vertex moves by more than areas.cell_snap_radius()."""
+    return _snapped(A.snapped_to_cells, level, closed)(chain)
+
+
+def snap_to_degrees(chain: Column, exponent: int, closed: bool = False) -> Column:
+    """A chain with its vertices at so many decimal digits of degrees, without repeats."""
+    return _snapped(A.snapped_to_degrees, exponent, closed)(chain)
+
+
+def polygon_complement(loops: Column) -> Column:
+    """Everything else: the loops the other way round. An empty polygon, having no edges, stays empty."""
+    return F.transform(loops, F.reverse)
