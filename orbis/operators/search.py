@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbis.functions import cellid as C
 from orbis.functions import points as P
+from orbis.functions import types
+from orbis.operators import kernels as K
 from orbis.operators.joins import expanded
 from orbis.session import materialize
 
@@ -96,21 +99,27 @@ def directed_hausdorff(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> Data
     return nearest(a, b, 1, a_id, b_id).agg(F.max("l2").alias("l2"))
 
 
+@F.pandas_udf(types.D)
+def _point_edge_l2(p: pd.DataFrame, a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    return pd.Series(K.point_edge_l2(*(x.to_numpy(float) for x in (p, a, b))))
+
+
 def edges_within(points: DataFrame, edges: DataFrame, radians: float, point_id: str, edge_id: str) -> DataFrame:
     """point_id, edge_id, l2 of all points nearer to an edge (struct a, b) than an angle.
 
-    An edge is entered at the cells of a level around points along it, no farther apart than the limit.
+    An edge is entered at the cells of a level around points along it, at most twice the limit apart, so
+    that a point within the limit of the edge is within twice the limit of one of them.
     """
-    reach = 1.5 * radians
+    reach = 2 * radians
     level = level_for(reach)
     length = P.angle_between(F.col("a"), F.col("b"))
-    n = F.greatest(F.lit(1), F.ceil(length / radians)).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(length / (2 * radians))).cast("int")
     stops = F.transform(F.sequence(F.lit(0), n), lambda k: P.interpolate(F.col("a"), F.col("b"), k / n))
     along = edges.select(edge_id, "a", "b", F.explode(stops).alias("_s"))
     keyed = along.select(edge_id, "a", "b", C.parent(C.from_point(F.col("_s")), level).alias("_c"))
     near = expanded(keyed.distinct(), "_c", level, "_k").select(edge_id, "a", "b", "_k").distinct()
     right = points.select(point_id, F.col("p").alias("_q"), C.parent(F.col("cell_id"), level).alias("_k"))
-    return near.join(right, "_k").select(point_id, edge_id, P.edge_distance_l2(F.col("_q"), F.col("a"), F.col("b")).alias("l2")).filter(F.col("l2") < l2_of(radians))
+    return near.join(right, "_k").select(point_id, edge_id, _point_edge_l2("_q", "a", "b").alias("l2")).filter(F.col("l2") < l2_of(radians))
 
 
 def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str, by: str | None = None) -> DataFrame:

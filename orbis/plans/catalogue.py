@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbis.functions import bounds as B
 from orbis.functions import cellid as C
+from orbis.functions import clipping as L
 from orbis.functions import points as P
 from orbis.functions import shapes as H
 from orbis.operators import density as D
@@ -19,6 +20,7 @@ from orbis.operators import search as S
 from orbis.operators import unions as U
 from orbis.plans import sql as Q
 from orbis.session import materialize
+from orbis.sources import codecs as Z
 from orbis.sources import tables as T
 from orbis.sources import text as X
 
@@ -698,3 +700,114 @@ def text_index(spark, sf):
     chains = rows.select("shape_id", "s.dimension", F.posexplode("s.chains").alias("chain_id", "chain"))
     edges = chains.withColumn("e", F.when(F.col("dimension") == 0, F.transform("chain", lambda p: F.struct(p.alias("a"), p.alias("b")))).when(F.col("dimension") == 1, H.edges(F.col("chain"))).otherwise(H.edges(F.col("chain"), closed=True)))
     return edges.select("shape_id", "dimension", "chain_id", F.posexplode("e").alias("edge_id", "edge")).select("shape_id", "dimension", "chain_id", "edge_id", X.format_point(F.col("edge.a")).alias("a"), X.format_point(F.col("edge.b")).alias("b"))
+
+
+# --- Clipping, projected chains ---------------------------------------------------------------------
+
+_box = {"x": ("a_lng", "b_lng", 1.0), "y": ("a_lat", "b_lat", 0.5)}
+_sides = [(f"({p} + {m})", f"({q} + {m})") for p, q, m in _box.values()] + [(f"({m} - {p})", f"({m} - {q})") for p, q, m in _box.values()]
+_lo = "greatest(0.0, " + ", ".join(f"CASE WHEN {f} < 0 THEN CASE WHEN {g} < 0 THEN 2.0 ELSE {f} / ({f} - {g}) END ELSE 0.0 END" for f, g in _sides) + ")"
+_hi = "least(1.0, " + ", ".join(f"CASE WHEN {g} < 0 THEN CASE WHEN {f} < 0 THEN -1.0 ELSE {f} / ({f} - {g}) END ELSE 1.0 END" for f, g in _sides) + ")"
+
+
+@query(f"{TR}, u AS (SELECT *, {_lo} AS lo, {_hi} AS hi FROM t) SELECT id, {Q.r('a_lng + lo * (b_lng - a_lng)')} AS x0, {Q.r('a_lat + lo * (b_lat - a_lat)')} AS y0, {Q.r('a_lng + hi * (b_lng - a_lng)')} AS x1, {Q.r('a_lat + hi * (b_lat - a_lat)')} AS y1 FROM u WHERE lo <= hi")
+def clip_rect(spark, sf):
+    """The parts of planar edges (longitude, latitude) inside a rectangle."""
+    cut = L.clip_planar(al["lng"], al["lat"], bl["lng"], bl["lat"], -1.0, 1.0, -0.5, 0.5)
+    rows = triples(spark, sf).select("id", F.explode(F.array(cut)).alias("s")).filter("s is not null")
+    return rows.select("id", *[rd(F.col(f"s.{k}")).alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+@query()
+def edge_faces(spark, sf):
+    """The parts of edges on the faces of the cube."""
+    rows = triples(spark, sf).select("id", F.explode(L.face_segments(a, b)).alias("f"))
+    return rows.select("id", "f.face", *[rd(F.col(f"f.s.{k}")).alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+@query()
+def edge_tessellate(spark, sf):
+    """Planar chains of geodesic edges in both projections, and back."""
+    out = None
+    for name in ("plate_carree", "mercator"):
+        project, unproject = L.tessellator(name)
+        rows = materialize(triples(spark, sf).select("id", project(F.array(a, b), F.lit(0.01)).alias("q")), "planar")
+        part = rows.select("id", F.lit(name).alias("projection"), F.size("q").alias("n_planar"), F.size(unproject("q", F.lit(0.01))).alias("n_back"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- Nearest edges, constructions -------------------------------------------------------------------
+
+
+@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e), k AS (SELECT id, edge, l2, row_number() OVER (PARTITION BY id ORDER BY l2, edge) AS rank FROM d WHERE l2 < {4 * math.sin(0.00005) ** 2!r}) SELECT id, edge, {Q.r('l2', 12)} AS l2 FROM k WHERE rank <= 3")
+def knn_edges(spark, sf):
+    """The three nearest edges of each point below a distance; those that end in it are at 0, but for rounding, so ranks are left out."""
+    pts, edges = S.with_cells(T.local_points(spark, sf)), materialize(track_edges(spark, sf), "edges")
+    return S.nearest_edges(pts, edges, 3, "id", "edge", max_radians=0.0001, start_radians=0.00005).select("id", "edge", rd(F.col("l2"), 12).alias("l2"))
+
+
+@query()
+def buffer_zones(spark, sf):
+    """Areas of zones, of the zones grown and shrunk by 100 km, and of discs of 100 km around their centres."""
+    x = spread(T.zones(spark, sf), "zone")
+    r = 100000.0 / P.EARTH_RADIUS_M
+    done = materialize(x.select("zone", "loops", H.buffer(F.col("loops"), r, 2).alias("grown"), H.buffer(F.col("loops"), -r, 2).alias("shrunk"), H.buffer(F.array(F.array("center")), r, 0).alias("disc")), "buffers")
+    total = lambda loops: F.aggregate(loops, F.lit(0.0), lambda s, l: s + H.loop_signed_area(l))
+    return done.select("zone", *[rd(P.square_km(total(F.col(k))), 3).alias(k) for k in ("loops", "grown", "shrunk", "disc")])
+
+
+@query()
+def polygon_relations(spark, sf):
+    """Zones against themselves moved a little, shrunk and moved far away."""
+    x = spread(T.zones(spark, sf), "zone")
+    moved = lambda by: P.let(P.ortho(F.col("center")), lambda axis: F.transform("loops", lambda l: F.transform(l, lambda p: P.rotate(p, axis, by))))
+    rows = materialize(x.select("zone", "loops", moved(0.04).alias("near"), moved(0.5).alias("far"), H.buffer(F.col("loops"), -0.01, 2).alias("small")), "relations")
+    return rows.select("zone", H.polygon_contains_polygon("loops", "small").alias("holds_small"), H.polygon_contains_polygon("loops", "near").alias("holds_near"), H.polygon_intersects("loops", "near").alias("meets_near"), H.polygon_intersects("loops", "far").alias("meets_far"), H.polygon_equals("loops", "loops").alias("same"))
+
+
+@query()
+def polyline_in_polygon(spark, sf):
+    """Lengths of tracks inside and outside a quadrilateral."""
+    corners = [(40.25, -73.75), (40.25, -73.25), (40.75, -73.25), (40.75, -73.75)]
+    quad = F.array(F.array(*[P.point_degrees(F.lit(x), F.lit(y)) for x, y in corners]))
+    rows = materialize(T.tracks(spark, sf), "tracks").withColumn("quad", quad)
+    cut = materialize(rows.select("user_id", "chain", H.polyline_inside("chain", "quad").alias("inside"), H.polyline_outside("chain", "quad").alias("outside")), "parts")
+    km = lambda chains: rd(F.aggregate(chains, F.lit(0.0), lambda s, c: s + H.polyline_length(c)) * (P.EARTH_RADIUS_M / 1000), 4)
+    return cut.select("user_id", F.size("inside").alias("n_inside"), km(F.col("inside")).alias("inside_km"), km(F.col("outside")).alias("outside_km"), km(F.array("chain")).alias("all_km"))
+
+
+@query()
+def snap_tracks(spark, sf):
+    """Vertices left after snapping tracks to cells and to degrees."""
+    rows = materialize(T.tracks(spark, sf), "tracks")
+    return rows.select("user_id", F.size("chain").alias("n"), *[F.size(H.snap_to_cells(F.col("chain"), k)).alias(f"cells_{k}") for k in (6, 12)], *[F.size(H.snap_to_degrees(F.col("chain"), k)).alias(f"degrees_{k}") for k in (0, 2)])
+
+
+# --- Binary forms -------------------------------------------------------------------------------------
+
+
+@query(f"{L20} SELECT id, cell_id AS compact, cell_id AS plain FROM cells")
+def codec_cells(spark, sf):
+    """Cells of each level-4 cell, encoded and decoded in both forms."""
+    rows = event_cells(spark, sf, 20).withColumn("home", C.parent(cell, 4))
+    lists = materialize(rows.groupBy("home").agg(F.sort_array(F.collect_list(F.struct("cell_id", "id"))).alias("c")), "homes")
+    back = lists.select(F.transform("c", lambda x: x["id"]).alias("ids"), *[d(e(F.transform("c", lambda x: x["cell_id"]))).alias(n) for n, e, d in (("compact", Z.encode_cells, Z.decode_cells), ("plain", Z.encode_union, Z.decode_union))])
+    return back.select(F.explode(F.arrays_zip("ids", "compact", "plain")).alias("r")).select(F.col("r.ids").alias("id"), "r.compact", "r.plain")
+
+
+@query("SELECT event_id::BIGINT AS id, (CASE WHEN event_id % 2 = 0 THEN 2 * event_id ELSE 2 * event_id - 1 END)::BIGINT AS zigzag, (" + " + ".join(f"(((event_id >> {k}) & 1)::BIGINT << {2 * k}) + ((((event_id * 31) >> {k}) & 1)::BIGINT << {2 * k + 1})" for k in range(30)) + ")::BIGINT AS mixed FROM events")
+def codec_bits(spark, sf):
+    """Codes of numbers of both signs, and two numbers with their bits in turn."""
+    k = F.col("id")
+    rows = T.read(spark, sf, "events").select(F.col("event_id").cast("long").alias("id"))
+    signed = F.when(k % 2 == 0, k).otherwise(-k)
+    return rows.select("id", Z.zigzag(signed).alias("zigzag"), Z.interleave(k, k * 31).alias("mixed"))
+
+
+@query()
+def codec_tracks(spark, sf):
+    """Tracks as bytes and back, in both forms of chains."""
+    rows = materialize(T.tracks(spark, sf), "tracks")
+    coded = materialize(rows.select("user_id", "chain", Z.encode_points("chain").alias("p"), Z.encode_polyline("chain").alias("l")), "coded")
+    return coded.select("user_id", F.length("p").alias("points_bytes"), F.length("l").alias("line_bytes"), (Z.decode_points("p") == F.col("chain")).alias("points_same"), (Z.decode_polyline("l") == F.col("chain")).alias("line_same"))
