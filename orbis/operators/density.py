@@ -23,6 +23,20 @@ def density_tree(points: DataFrame, max_level: int, weight: str | None = None) -
     return rolled.withColumnRenamed("_a", "cell_id").filter("weight > 0").select("cell_id", "weight")
 
 
+def feature_density(coverings: DataFrame, feature: str, max_level: int, weight: str | None = None) -> DataFrame:
+    """cell_id, weight of every cell down to a level: the weight (1 by default) of each feature once in every cell that its covering meets.
+
+    Cells of a covering that are coarser than the level count in all their descendants there.
+    """
+    coarse = C.level(F.col("cell_id")) < max_level
+    own = [feature, *([weight] if weight else [])]
+    finest = F.when(coarse, C.children_at(F.col("cell_id"), max_level)).otherwise(F.array(C.parent(F.col("cell_id"), max_level)))
+    cells = coverings.select(*own, F.explode(finest).alias("cell_id")).distinct()
+    met = with_ancestors(cells, list(range(max_level + 1)), name="_a").select(*own, "_a").distinct()
+    w = F.col(weight) if weight else F.lit(1)
+    return met.groupBy("_a").agg(F.sum(w).cast("long").alias("weight")).withColumnRenamed("_a", "cell_id").filter("weight > 0")
+
+
 def tree_sum(*trees: DataFrame) -> DataFrame:
     out = trees[0]
     for t in trees[1:]:

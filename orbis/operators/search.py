@@ -112,6 +112,8 @@ def edges_within(points: DataFrame, edges: DataFrame, radians: float, point_id:
     """
     reach = 2 * radians
     level = level_for(reach)
+    if level < 2:
+        raise ValueError("a limit this large meets nearly all cells")
     length = P.angle_between(F.col("a"), F.col("b"))
     n = F.greatest(F.lit(1), F.ceil(length / (2 * radians))).cast("int")
     stops = F.transform(F.sequence(F.lit(0), n), lambda k: P.interpolate(F.col("a"), F.col("b"), k / n))
@@ -163,3 +165,17 @@ def nearest_edges(points: DataFrame, edges: DataFrame, k: int, point_id: str, ed
         if left.isEmpty():
             return out
         radius = min(4 * radius, max_radians)
+
+
+def nearest_points_to_edges(edges: DataFrame, points: DataFrame, k: int, edge_id: str, point_id: str, *, max_radians: float) -> DataFrame:
+    """edge_id, rank, point_id, l2: the k nearest points of each edge below a distance, ties to the smaller id."""
+    top = Window.partitionBy(edge_id).orderBy("l2", point_id)
+    pairs = edges_within(points, edges, max_radians, point_id, edge_id).distinct()
+    return pairs.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select(edge_id, "rank", point_id, "l2")
+
+
+def furthest_edges(points: DataFrame, edges: DataFrame, k: int, point_id: str, edge_id: str, *, min_radians: float) -> DataFrame:
+    """The k edges with a place furthest from each point, beyond a distance near half a turn: those nearest to the antipode."""
+    anti = with_cells(points.withColumn("p", P.neg(F.col("p"))).drop("cell_id"))
+    found = nearest_edges(anti, edges, k, point_id, edge_id, max_radians=math.pi - min_radians)
+    return found.withColumn("l2", 4 - F.col("l2"))

@@ -660,6 +660,13 @@ def density_partition(spark, sf):
     return D.tree_partition(materialize(D.density_tree(event_cells(spark, sf), 6), "tree"), 40)
 
 
+@query()
+def density_features(spark, sf):
+    """How many zones' coverings meet each cell."""
+    zones = materialize(spread(T.zones(spark, sf), "zone").withColumn("covering", R.polygon_covering(F.col("loops"), max_cells=12, max_level=10)), "zones")
+    return D.feature_density(zones.select("zone", F.explode("covering").alias("cell_id")), "zone", 7)
+
+
 @query()
 def density_dilate(spark, sf):
     return D.tree_dilate(materialize(D.density_tree(event_cells(spark, sf), 6), "tree"), 0.03)
@@ -747,6 +754,20 @@ def knn_edges(spark, sf):
     return S.nearest_edges(pts, edges, 3, "id", "edge", max_radians=0.0001, start_radians=0.00005).select("id", "edge", rd(F.col("l2"), 12).alias("l2"))
 
 
+@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e), k AS (SELECT id, edge, l2, row_number() OVER (PARTITION BY edge ORDER BY l2, id) AS rank FROM d WHERE l2 < {4 * math.sin(0.00005) ** 2!r}) SELECT edge, id, {Q.r('l2', 12)} AS l2 FROM k WHERE rank <= 5")
+def edge_near_points(spark, sf):
+    """The five nearest points of each edge below a distance; its own ends are among them."""
+    pts, edges = S.with_cells(T.local_points(spark, sf)), materialize(track_edges(spark, sf), "edges")
+    return S.nearest_points_to_edges(edges, pts, 5, "edge", "id", max_radians=0.0001).select("edge", "id", rd(F.col("l2"), 12).alias("l2"))
+
+
+@query(f"{_EDGES}, d AS (SELECT lo.id AS id, e.edge AS edge, {_EL} AS l2 FROM lo, e), k AS (SELECT id, edge, l2, row_number() OVER (PARTITION BY id ORDER BY l2, edge) AS rank FROM d WHERE l2 < {4 * math.sin(0.00005) ** 2!r}) SELECT id, edge, {Q.r('4 - l2', 12)} AS l2 FROM k WHERE rank <= 3")
+def furthest_edges(spark, sf):
+    """The three furthest edges from each point's antipode."""
+    pts, edges = T.local_points(spark, sf).withColumn("p", P.neg(F.col("p"))), materialize(track_edges(spark, sf), "edges")
+    return S.furthest_edges(pts, edges, 3, "id", "edge", min_radians=math.pi - 0.0001).select("id", "edge", rd(F.col("l2"), 12).alias("l2"))
+
+
 @query()
 def buffer_zones(spark, sf):
     """Areas of zones, of the zones grown and shrunk by 100 km, and of discs of 100 km around their centres."""

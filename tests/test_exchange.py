@@ -142,3 +142,36 @@ def test_nearest_edges_equal_brute_force(spark):
     for r in sorted(S.nearest_edges(pts, edges, 4, "pt", "edge", max_radians=0.01, start_radians=0.0025).collect(), key=lambda r: (r["pt"], r["rank"])):
         got[r["pt"]].append(r["edge"])
     assert got == want
+
+
+def test_points_of_edges_and_furthest_edges(spark):
+    rng = np.random.default_rng(7)
+    ends = [(k, float(a), float(b), float(a + c), float(b + d)) for k, (a, b, c, d) in enumerate(zip(rng.uniform(30, 31, 20), rng.uniform(5, 6, 20), *rng.normal(size=(2, 20)) * 0.1))]
+    edges = spark.createDataFrame(ends, "edge int, la double, lo double, lb double, ob double").select("edge", P.point_degrees(F.col("la"), F.col("lo")).alias("a"), P.point_degrees(F.col("lb"), F.col("ob")).alias("b"))
+    near = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(30, 31, 50), rng.uniform(5, 6, 50)))], "pt int, la double, lo double")
+    pts = S.with_cells(near.select("pt", P.point_degrees(F.col("la"), F.col("lo")).alias("p")))
+    xyz = {r["pt"]: np.array([list(r["p"])]) for r in pts.collect()}
+    e = {r["edge"]: (np.array(list(r["a"])), np.array(list(r["b"]))) for r in edges.collect()}
+    got: dict = {k: [] for k in e}
+    for r in S.nearest_points_to_edges(edges, pts, 3, "edge", "pt", max_radians=0.005).orderBy("edge", "rank").collect():
+        got[r["edge"]].append(r["pt"])
+    assert got == {k: [p for d, p in sorted((float(K.point_edge_l2(xyz[p], *e[k])[0]), p) for p in xyz) if d < S.l2_of(0.005)][:3] for k in e}
+    anti = pts.withColumn("p", P.neg(F.col("p")))
+    far: dict = {k: [] for k in xyz}
+    for r in S.furthest_edges(anti, edges, 2, "pt", "edge", min_radians=math.pi - 0.005).orderBy("pt", "rank").collect():
+        far[r["pt"]].append(r["edge"])
+        assert 3.99 < r["l2"] <= 4
+    assert far == {p: [k for d, k in sorted((float(K.point_edge_l2(xyz[p], *e[k])[0]), k) for k in e) if d < S.l2_of(0.005)][:2] for p in xyz}
+    with pytest.raises(ValueError):
+        S.edges_within(pts, edges, 1.0, "pt", "edge")
+
+
+def test_feature_density(spark):
+    from orbis.operators import density as D
+
+    leaf = int(C.from_xyz(np.array([0.6]), np.array([0.5]), np.array([0.4]))[0])
+    at = lambda level: int(C.parent_np(np.array([leaf]), level)[0])
+    rows = [(1, at(2), 3), (1, at(6), 3), (2, at(6), 5), (2, at(7), 5)]
+    got = {r["cell_id"]: r["weight"] for r in D.feature_density(spark.createDataFrame(rows, "f int, cell_id long, w long"), "f", 4, "w").collect()}
+    assert got[at(4)] == got[at(3)] == got[at(2)] == got[at(0)] == 8 and len(got) == 16 + 4 + 3
+    assert sorted(got.values()) == [3] * 18 + [8] * 5
