@@ -12,10 +12,10 @@ lowest is taken; a rule whose rejects in the holdout are not mostly bad ones is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbis.session import materialize
+from orbis.session import checked_broadcast, materialize
 
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "long_words", "short_words")
 
@@ -93,40 +93,63 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.exp(F.aggregate(steps, first, add, lambda a: a["sum"])))
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = 0.01, delta: float = 0.05, holdout: int = 20_000, grid: int = 24) -> DataFrame:
-    """stratum, rule, cutoff, rejected good and bad, tested n: the accepted cutoff of each stratum and rule.
+def quantiles(values: DataFrame, shares: list[float]) -> DataFrame:
+    """stratum, rule, n, cutoff: the distinct exact (interpolated) quantiles of x, and how many x there are.
 
-    The holdout is at most ``holdout`` labelled doc_ids, in the order of a hash; its size is the
-    only bound and doesn't limit what the thresholds are applied to. Unlabelled and null doc_ids
-    aren't in it; of contradicting labels the worse counts.
+    Equal values are counted first; the running counts of a stratum and rule are one sorted pass that spills.
     """
+    own = Window.partitionBy("stratum", "rule")
+    run = own.orderBy("x")
+    counted = values.groupBy("stratum", "rule", "x").agg(F.count("*").alias("c"))
+    ranked = counted.select("stratum", "rule", "x", "c", F.sum("c").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("end"), F.sum("c").over(own).alias("n"), F.lead("x").over(run).alias("next"))
+    places = F.transform(F.array(*map(F.lit, shares)), lambda s: s * (F.col("n") - 1))
+    here = F.filter(places, lambda at: (F.floor(at) >= F.col("end") - F.col("c")) & (F.floor(at) < F.col("end")))
+    between = lambda at: F.when(F.ceil(at) < F.col("end"), F.col("x")).otherwise((F.ceil(at) - at) * F.col("x") + (at - F.floor(at)) * F.col("next"))
+    return ranked.select("stratum", "rule", "n", F.explode(F.transform(here, between)).alias("cutoff")).distinct()
+
+
+def accepted(features: DataFrame, labels: DataFrame, *, risk: float, delta: float, grid: int) -> DataFrame:
+    """thresholds() for the rows of with_features(), with doc_id, _stratum and _q."""
     marked = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_good"))
-    sample = marked.orderBy(F.xxhash64("_id"), "_id").limit(holdout)  # so many rows of 12 bytes at most are broadcast
-    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
-    found = with_features(own.join(F.broadcast(sample), "_id")).select("stratum", "_good", "_q")
-    rows = materialize(found, "holdout").filter("not _q.base_failed")
-    values = rows.select("stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col("_q")[r].alias("x")) for r in RULES])).alias("v")).select("stratum", "_good", "v.rule", "v.x")
+    narrow = features.filter("not _q.base_failed").select(F.col("doc_id").cast("long").alias("_id"), F.col("_stratum").alias("stratum"), *[F.col("_q")[r].alias(r) for r in RULES])
+    rows = materialize(narrow.join(marked, "_id").drop("_id"), "labelled")
+    values = rows.select("stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("v")).select("stratum", "_good", "v.rule", "v.x")
     # Cutoffs: high quantiles of the good documents of the stratum.
     shares = [1 - 2.0 ** (-1 - k / 2) for k in range(grid - 1)] + [1.0]
-    cutoffs = values.filter("_good = 1").groupBy("stratum", "rule").agg(F.count("*").alias("n"), F.array_distinct(F.percentile("x", F.array(*map(F.lit, shares)))).alias("c"))
-    tests = cutoffs.select("stratum", "rule", "n", F.explode("c").alias("cutoff"))
-    m = tests.count()
-    counts = values.join(F.broadcast(tests), ["stratum", "rule"]).groupBy("stratum", "rule", "n", "cutoff").agg(F.sum(F.when((F.col("x") > F.col("cutoff")) & (F.col("_good") == 1), 1).otherwise(0)).alias("k"), F.sum(F.when((F.col("x") > F.col("cutoff")) & (F.col("_good") != 1), 1).otherwise(0)).alias("bad"))
-    judged = counts.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)))
-    passed = judged.filter((F.col("p") <= delta / max(m, 1)) & (F.col("bad") > 2 * F.col("k")))
+    tests = materialize(quantiles(values.filter("_good = 1").select("stratum", "rule", "x"), shares), "cutoffs")
+    m, p = tests.count(), risk / len(RULES)
+    counts = values.join(checked_broadcast(tests, m), ["stratum", "rule"]).groupBy("stratum", "rule", "n", "cutoff").agg(F.sum(F.when((F.col("x") > F.col("cutoff")) & (F.col("_good") == 1), 1).otherwise(0)).alias("k"), F.sum(F.when((F.col("x") > F.col("cutoff")) & (F.col("_good") != 1), 1).otherwise(0)).alias("bad"))
+    # From n * p on the tail is at least 1/2, a binomial's median being n * p rounded up at most: no sum of as many terms.
+    tail = binomial_tail(F.least(F.col("k"), F.ceil(F.col("n") * p)), F.col("n"), p)
+    passed = counts.withColumn("p", tail).filter((F.col("p") <= min(delta / max(m, 1), 0.49)) & (F.col("bad") > 2 * F.col("k")))
     return passed.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "k", "bad", "n", "p"), "cutoff").alias("t")).select("stratum", "rule", "t.*")
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", holdout: int = 20_000, **options) -> DataFrame:
-    """docs with _q (features), _stratum and _kept.
+def judged_features(docs: DataFrame, stratum: str, columns: list[str]) -> DataFrame:
+    """The columns of docs, _stratum and _q, computed once and written."""
+    return materialize(with_features(docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))).select(*columns, "_stratum", "_q"), "features")
+
+
+def thresholds(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = 0.01, delta: float = 0.05, grid: int = 24) -> DataFrame:
+    """stratum, rule, cutoff, rejected good and bad, tested n: the accepted cutoff of each stratum and rule.
+
+    The holdout is all rows of docs whose doc_id is labelled. Unlabelled and null doc_ids
+    aren't in it; of contradicting labels the worse counts.
+    """
+    return accepted(judged_features(docs, stratum, ["doc_id"]), labels, risk=risk, delta=delta, grid=grid)
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", columns: list[str] | None = None, risk: float = 0.01, delta: float = 0.05, grid: int = 24) -> DataFrame:
+    """docs (or its ``columns``, doc_id among them) with _q (features), _stratum and _kept.
 
     Every row is judged on its own, repeated ones alike; a stratum without an accepted cutoff, a
-    null one counting as the empty name, has only the base rules. Nothing is shuffled but the
-    holdout's counts: the cutoffs, at most strata of the holdout times rules, are broadcast.
+    null one counting as the empty name, has only the base rules. Features are computed once, and
+    written with the columns; doc_ids and features of labelled rows are shuffled, texts are not. The
+    accepted cutoffs, each backed by hundreds of rows at least, are broadcast.
     """
-    found = thresholds(docs, labels, stratum=stratum, holdout=holdout, **options)
+    rows = judged_features(docs, stratum, docs.columns if columns is None else columns)
+    found = accepted(rows, labels, risk=risk, delta=delta, grid=grid)
     cut = found.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-    rows = with_features(docs).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     rows = rows.join(F.broadcast(cut), "_stratum", "left")
     above = F.lit(False)
     for r in RULES:
