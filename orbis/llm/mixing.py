@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's rows, in the order of a hash, form blocks. Over a period of D slots source s has q_s
-slots, its weight in units of 1/D. Its block j (from 0) is released at slot floor(j D / q_s) and due
-by slot ceil((j + 1) D / q_s); in each slot the released block with the earliest deadline goes
-(ties: to the source with the smaller name). The units add up to D, so every block meets its window and a
-source is always less than one block away from its share. The pattern of one period is folded once
-and repeats; when a source runs dry a new phase begins for the others with weights in the
-same proportion, so that every row gets a place.
+Each source's rows, in the order of a hash, form blocks. With w the weight of a source as a part of
+all, its block j (from 0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w); in each
+slot the released block with the earliest deadline goes (ties: to the source with the smaller
+name). The weights add up to 1, so every block meets its window and a source is always less than one
+block away from its share, however long the phase. When a source runs dry a new phase begins for
+the others with weights in the same proportion, so that every row gets a place. The state (a few
+numbers a source) is folded over all slots and kept at every 1000th; from there on the slots
+are listed in parallel.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orbis.session import checked_broadcast, materialize
 
-PERIOD = 1000
+CHUNK = 1000
 BLOCK_ROWS = 32
 
 
@@ -24,89 +25,78 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def units_of(sources: Column, period: Column) -> Column:
-    """sources (array of struct with w) with q: whole units of 1/period, one at least, by largest remainder."""
-    total = F.aggregate(sources, F.lit(0.0), lambda a, s: a + s["w"])
+def total_of(sources: Column) -> Column:
+    """Weights of the sources that aren't dry, in all. A weight under 0 counts as 0."""
+    return F.aggregate(sources, F.lit(0.0), lambda a, s: a + F.when(s["done"] < s["left"], s["w"]).otherwise(0.0))
 
-    def exact(s: Column, t: Column) -> Column:
-        return s["w"] / t * (period - F.size(sources))
 
-    floors = let(total, lambda t: F.transform(sources, lambda s, i: F.struct(s["source"].alias("source"), s["w"].alias("w"), s["blocks"].alias("blocks"), (F.floor(exact(s, t)) + 1).cast("long").alias("q"), (exact(s, t) - F.floor(exact(s, t))).alias("part"), i.alias("i"))))
+def next_of(state: Column) -> Column:
+    """The source (its index) of the state's slot: earliest deadline first among the released blocks; null when all are dry.
 
-    def topped(f: Column) -> Column:
-        rest = period - F.aggregate(f, F.lit(0).cast("long"), lambda a, s: a + s["q"])
-        order = F.sort_array(F.transform(f, lambda s: F.struct((-s["part"]).alias("p"), s["i"].alias("i"))))
-        ranks = F.transform(order, lambda s: s["i"])
-        return F.transform(f, lambda s: F.struct(s["source"].alias("source"), s["w"].alias("w"), s["blocks"].alias("blocks"), (s["q"] + F.when(F.array_position(ranks, s["i"]) <= rest, 1).otherwise(0)).alias("q")))
+    A weight of 0 comes when no other source has blocks left. The factors keep quotients that are whole numbers whole.
+    """
+    most = F.lit(1 << 60)
 
-    return let(floors, topped)
+    def due(s: Column, i: Column) -> Column:
+        some = s["w"] > 0
+        out = F.when(some, F.least(F.floor(s["done"] * state["total"] / s["w"] * (1 + 1e-14)), most)).otherwise(F.lit(0)) > state["t"]
+        return F.when(s["done"] < s["left"], F.struct(out.alias("early"), F.when(some, F.least(F.ceil((s["done"] + 1) * state["total"] / s["w"] * (1 - 1e-14)), most)).otherwise(most).alias("due"), i.alias("i")))
 
+    return F.array_min(F.transform(state["sources"], due))["i"]
 
-def pattern_of(units: Column, period: Column) -> Column:
-    """The source (its index) of each slot of a period: earliest deadline first among the released blocks."""
 
-    def slot(state: Column, t: Column) -> Column:
-        due = F.transform(units, lambda s, i: F.struct(F.ceil((F.get(state["done"], i) + 1) * period / s["q"]).alias("due"), i.alias("i"), (F.floor(F.get(state["done"], i) * period / s["q"]) <= t).alias("out")))
-        first = F.array_min(F.filter(due, lambda d: d["out"] & (F.get(state["done"], d["i"]) < F.get(units, d["i"])["q"])))
-        return let(first, lambda f: F.struct(F.transform(state["done"], lambda n, i: n + F.when(i == f["i"], 1).otherwise(0)).alias("done"), F.array_append(state["slots"], f["i"]).alias("slots")))
+def advanced(state: Column, i: Column) -> Column:
+    """The state after a block of source i; the phase ends with a source that runs dry. Unchanged for a null i."""
 
-    start = F.struct(F.transform(units, lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, slot, lambda state: state["slots"])
+    def taken(sources: Column) -> Column:
+        own = F.get(sources, i)
+        dry = own["done"] == own["left"]
+        rest = F.transform(sources, lambda s: F.struct(s["w"].alias("w"), F.lit(0).cast("long").alias("done"), (s["left"] - s["done"]).alias("left")))
+        return F.when(dry, F.struct((state["phase"] + 1).alias("phase"), F.lit(0).cast("long").alias("t"), total_of(rest).alias("total"), rest.alias("sources"))).otherwise(F.struct(state["phase"].alias("phase"), (state["t"] + 1).alias("t"), state["total"].alias("total"), sources.alias("sources")))
 
+    stepped = F.transform(state["sources"], lambda s, k: F.struct(s["w"].alias("w"), (s["done"] + F.when(k == i, 1).otherwise(0)).alias("done"), s["left"].alias("left")))
+    return F.when(i.isNull(), state).otherwise(let(stepped, taken))
 
-def phases_of(sources: Column) -> Column:
-    """Phases until all sources are dry: units, first block of each source, and the phase's first slot and length.
 
-    A phase ends with the first source to run dry; what the others have placed by then follows from
-    the pattern, of which the last period may be cut short.
-    """
+STATE = "struct<phase:int,t:bigint,total:double,sources:array<struct<w:double,done:bigint,left:bigint>>>"
 
-    def count(pattern: Column, i: Column, slots: Column, period: Column) -> Column:
-        whole, rest = F.floor(slots / period), slots % period
-        own = F.size(F.filter(pattern, lambda x: x == i))
-        return whole * own + F.size(F.filter(F.slice(pattern, F.lit(1), rest.cast("int")), lambda x: x == i))
 
-    def step(state: Column, _: Column) -> Column:
-        live = F.filter(state["left"], lambda s: s["blocks"] > 0)
-        period = F.greatest(F.lit(PERIOD), 8 * F.size(live)).cast("long")
+def snapshots_of(sources: Column, chunks: Column) -> Column:
+    """The state before each chunk of slots."""
+    own = F.transform(sources, lambda s: F.struct(F.greatest(s["w"], F.lit(0.0)).alias("w"), F.lit(0).cast("long").alias("done"), s["blocks"].alias("left")))
+    start = let(own, lambda x: F.struct(F.lit(0).alias("phase"), F.lit(0).cast("long").alias("t"), total_of(x).alias("total"), x.alias("sources"))).cast(STATE)
+    step = lambda state, _: let(next_of(state), lambda i: advanced(state, i)).cast(STATE)
+    chunk = lambda a, _: F.struct(F.aggregate(F.sequence(F.lit(1), F.lit(CHUNK)), a["state"], step).alias("state"), F.array_append(a["all"], a["state"]).alias("all"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), chunks), F.struct(start.alias("state"), F.array().cast(f"array<{STATE}>").alias("all")), chunk, lambda a: a["all"])
 
-        def planned(units: Column) -> Column:
-            def timed(pattern: Column) -> Column:
-                def end(i: Column, blocks: Column) -> Column:
-                    places = F.filter(F.transform(pattern, lambda x, k: F.when(x == i, k)), lambda k: k.isNotNull())
-                    return let(places, lambda p: F.floor((blocks - 1) / F.size(p)) * period + F.get(p, ((blocks - 1) % F.size(p)).cast("int")) + 1)
 
-                length = F.array_min(F.transform(units, lambda s, i: end(i, s["blocks"])))
-                return let(
-                    length,
-                    lambda n: F.struct(
-                        (state["slot"] + n).cast("long").alias("slot"),
-                        F.transform(units, lambda s, i: F.struct(s["source"].alias("source"), s["w"].alias("w"), (s["blocks"] - count(pattern, i, n, period)).cast("long").alias("blocks"))).alias("left"),
-                        F.array_append(state["phases"], F.struct(state["slot"].alias("slot"), n.cast("long").alias("n"), period.alias("period"), F.transform(units, lambda s: F.struct(s["source"].alias("source"), s["q"].alias("q"), s["blocks"].alias("left"))).alias("units"), pattern.alias("pattern"))).alias("phases"),
-                    ),
-                )
+def slots_of(state: Column) -> Column:
+    """phase, source (its index), nth block of it in the phase and its blocks at the phase's begin, for the slots of a chunk."""
+    kind = "array<struct<phase:int,i:int,nth:bigint,left:bigint>>"
 
-            return let(pattern_of(units, period), timed)
+    def step(a: Column, _: Column) -> Column:
+        def placed(i: Column) -> Column:
+            own = F.get(a["state"]["sources"], i)
+            slot = F.struct(a["state"]["phase"].alias("phase"), i.alias("i"), own["done"].alias("nth"), own["left"].alias("left"))
+            return F.struct(advanced(a["state"], i).cast(STATE).alias("state"), F.when(i.isNull(), a["slots"]).otherwise(F.array_append(a["slots"], slot)).cast(kind).alias("slots"))
 
-        return F.when(F.size(live) == 0, state).otherwise(let(units_of(live, period), planned))
+        return let(next_of(a["state"]), placed)
 
-    kind = "array<struct<slot:bigint,n:bigint,period:bigint,units:array<struct<source:string,q:bigint,left:bigint>>,pattern:array<int>>>"
-    start = F.struct(F.lit(0).cast("long").alias("slot"), F.transform(sources, lambda s: F.struct(s["source"].alias("source"), s["w"].alias("w"), s["blocks"].cast("long").alias("blocks"))).alias("left"), F.array().cast(kind).alias("phases"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(sources)), start, step, lambda state: state["phases"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CHUNK)), F.struct(state.alias("state"), F.array().cast(kind).alias("slots")), step, lambda a: a["slots"])
 
 
 def schedule(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """phase, slot, source, block: the place of every block, for counts (source, n, w), one row a source.
+    """phase, slot, source, nth, left: the place of every block, for counts (source, n, w), one row a source.
 
-    Sources and their weights are a table the size of the configuration; it is folded in one row.
+    Sources and their weights are a table the size of the configuration; it is folded in one row,
+    with a state for every chunk of slots.
     """
     sources = F.sort_array(F.collect_list(F.struct("source", F.col("w").cast("double").alias("w"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))))
-    plan = materialize(counts.agg(sources.alias("s")).filter(F.size("s") > 0).select(F.posexplode(phases_of(F.col("s"))).alias("phase", "p")), "phases")
-    unit = F.get("p.units", F.col("i"))
-    before = F.size(F.filter(F.slice("p.pattern", F.lit(1), F.col("k")), lambda x: x == F.col("i")))
-    slots = plan.select("phase", "p", F.posexplode("p.pattern").alias("k", "i")).select("phase", "k", "p.slot", "p.n", "p.period", unit["source"].alias("source"), unit["q"].alias("q"), unit["left"].alias("left"), before.alias("before"))
-    rounds = slots.filter("k < n").repartition("phase", "k").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1 - F.col("k")) / F.col("period")).cast("long"))).alias("round"))
-    return rounds.select("phase", (F.col("slot") + F.col("round") * F.col("period") + F.col("k")).alias("slot"), "source", (F.col("round") * F.col("q") + F.col("before")).alias("nth"), "left")
+    whole = counts.agg(sources.alias("s"), F.sum(F.ceil(F.col("n") / block_rows)).cast("long").alias("blocks")).filter("blocks > 0")
+    chunks = F.ceil(F.col("blocks") / CHUNK).cast("long")
+    plan = materialize(whole.select(F.transform("s", lambda s: s["source"]).alias("names"), F.posexplode(snapshots_of(F.col("s"), chunks)).alias("chunk", "state")), "phases")
+    slots = plan.repartition("chunk").select("names", "chunk", F.posexplode(slots_of(F.col("state"))).alias("k", "b"))
+    return slots.select("b.phase", (F.col("chunk").cast("long") * CHUNK + F.col("k")).alias("slot"), F.get("names", F.col("b.i")).alias("source"), "b.nth", "b.left")
 
 
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:

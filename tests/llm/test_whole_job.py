@@ -1,5 +1,7 @@
 """Results over whole tables where a bound, a unit or a greedy match once cut them."""
 
+import pytest
+
 
 def test_thresholds_from_all_labelled_rows(spark):
     from pyspark.sql import functions as F
@@ -23,3 +25,32 @@ def test_thresholds_from_all_labelled_rows(spark):
         got.setdefault(r["rule"], set()).add(round(r["cutoff"], 9))
     want = values.groupBy("rule").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()
     assert got == {r["rule"]: {round(x, 9) for x in r["q"]} for r in want}
+
+
+@pytest.mark.parametrize("weights", [[0.9, 0.1], [0.91] + [0.01] * 9, [0.5] + [0.5 / 19] * 19, [3**0.5, 2**0.5, 1.0, 0.001]])
+def test_pfair_less_than_one_block_from_the_weights(spark, weights):
+    from orbis.llm.mixing import schedule
+
+    n = 6000
+    share = [w / sum(weights) for w in weights]
+    counts = spark.createDataFrame([(f"s{k:02}", int(n * p) + 40, w) for k, (w, p) in enumerate(zip(weights, share))], "source string, n long, w double")
+    rows = sorted(schedule(counts, 1).collect(), key=lambda r: r["slot"])
+    left = {r["source"]: r["n"] for r in counts.collect()}
+    assert [r["slot"] for r in rows] == list(range(sum(left.values())))
+    phase, done, before, t = 0, dict.fromkeys(left, 0), dict.fromkeys(left, 0), 0
+    for r in rows:
+        if r["phase"] != phase:
+            phase, before, t = r["phase"], dict(done), 0
+        t += 1
+        assert r["nth"] == done[r["source"]] - before[r["source"]] and r["left"] == left[r["source"]] - before[r["source"]]
+        done[r["source"]] += 1
+        if r["phase"] == 0:
+            assert all(abs(done[f"s{k:02}"] - t * p) < 1 + 1e-9 for k, p in enumerate(share))
+    assert done == left and sum(r["phase"] == 0 for r in rows) >= n - 1
+
+
+def test_pfair_zero_weight_goes_last(spark):
+    from orbis.llm.mixing import schedule
+
+    rows = sorted(schedule(spark.createDataFrame([("a", 5, 0.0), ("b", 7, 1.0), ("c", 3, 1.0)], "source string, n long, w double"), 1).collect(), key=lambda r: r["slot"])
+    assert "".join(r["source"] for r in rows) == "bcbcbcbbbbaaaaa"
