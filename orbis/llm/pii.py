@@ -1,7 +1,8 @@
 """Personal data: base patterns, and candidates judged by boosted trees.
 
-Generators with high recall propose overlapping spans: chains of digits with all usual
-separators, and addresses whose at sign or dots are spelled out. Trees over format and context
+Generators with high recall propose overlapping spans: every run of digit groups, with all usual
+separators, that has the length of a kind and holds no base span, however long the chain of groups
+is; and addresses whose at sign or dots are spelled out. Trees over format and context
 features judge them, one model for each kind, fitted on generated examples (a fixed seed; a
 bounded number of them) and calibrated on a held-out part; the cutoff of a kind is the lowest with
 the wanted precision there. Spans of the base patterns stay in any case; accepted candidates are
@@ -32,6 +33,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]++")
 
 
 def luhn(digits: str) -> bool:
@@ -74,6 +76,8 @@ def base_spans(text: str) -> list[Span]:
 # --- Candidates and their features ------------------------------------------------------------
 
 _CHAIN = re.compile(r"[(+]?[0-9](?:(?:[ ()./-]|\[\.\]|\(\.\)){0,3}[0-9])++")
+_LEFT = re.compile(r"([0-9]+)([^0-9A-Za-z]{1,4})$")
+_RIGHT = re.compile(r"([^0-9A-Za-z]{1,4})([0-9]+)")
 _AT = re.compile(r"@|[(\[{] ?at ?[)\]}]| at ", re.I)
 _BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[(\[{]?\b(?:dot|DOT)\b[)\]}]? ?[A-Za-z0-9_%+-]+)? ?$")
 _AFTER_AT = re.compile(r" ?[A-Za-z0-9-]+(?:(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| dot | DOT |\.)[A-Za-z0-9-]+)+")
@@ -82,18 +86,23 @@ FOR = {"email": ("mail", "contact", "write", "reach", "address", "correo"), "ip"
 AGAINST = ("order", "invoice", "version", "isbn", "page", "date", "serial", "ticket", "chapter", "section", "build", "commit", "hash", "ratio", "total", "year", "release")
 
 
-def candidates(text: str) -> Iterator[Span]:
+def candidates(text: str, taken: Taken | None = None) -> Iterator[Span]:
     if _DIGIT.search(text):
         for m in _CHAIN.finditer(text):
-            n = len(_DIGIT.findall(m[0]))
-            if 4 <= n <= 19 and len(m[0]) <= 48:
-                s, e = m.span()
-                if 7 <= n <= 15:
-                    yield "phone", s, e
-                if n >= 13:
-                    yield "card", s + (text[s] in "(+"), e
-                if n <= 12 and len(re.split(r"[^0-9]+", m[0].strip("(+)"))) == 4:
-                    yield "ip", s + (text[s] in "(+"), e
+            groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+            for i, (s, _) in enumerate(groups):
+                lead, n = s - (s > m.start() and text[s - 1] in "(+"), 0
+                for j in range(i, len(groups)):
+                    e = groups[j][1]
+                    n += e - groups[j][0]
+                    if n > 19 or e - lead > 48 or taken and not taken.free(s, e):
+                        break
+                    if 7 <= n <= 15:
+                        yield "phone", lead, e
+                    if n >= 13:
+                        yield "card", s, e
+                    if j - i == 3 and n <= 12:
+                        yield "ip", s, e
     for m in _AT.finditer(text):
         left = _BEFORE_AT.search(text, max(0, m.start() - 72), m.start())
         right = _AFTER_AT.match(text, m.end(), m.end() + 120)
@@ -108,6 +117,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     before, after = text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
     lengths = [len(g) for g in groups] or [0]
     seps = re.findall(r"[^0-9A-Za-z]+", s)
+    left, right = _LEFT.search(text, max(0, start - 24), start), _RIGHT.match(text, end, end + 24)  # numbers beside the span
     parts = re.split(r"(?:[^A-Za-z0-9]|\b(?:dot|DOT)\b)+", s)
     date = len(groups) >= 3 and (1900 <= int(groups[0][:4] or 0) <= 2100 and lengths[0] == 4 and int(groups[1][:4]) <= 12 or lengths[2] == 4 and int(groups[0][:4]) <= 31 and int(groups[1][:4]) <= 31)
     return [
@@ -115,6 +125,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         len(set(seps)), max(map(len, seps), default=0), s.count("."), s.count("-"), s.count(" "), s.count("("), s[:1] == "+", s[:1] == "(",
         len(digits) >= 12 and luhn(digits), bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups), lengths == [3, 3, 4] or lengths == [1, 3, 3, 4], lengths == [4, 4, 4, 4] or lengths == [4, 6, 5], bool(date),
         before[-1:].isalnum(), after[:1].isalnum(), before[-1:] in ".-/$#" and before != "", after[:1] in "-/%" and after != "",
+        len(left[1]) if left else 0, bool(left and seps and left[2] in seps), len(right[2]) if right else 0, bool(right and seps and right[1] in seps),
         any(w in before for w in FOR[kind]), any(w in before for w in AGAINST),
         "@" in s, bool(re.search(r"[(\[{] ?(?:at|dot)", s, re.I)), bool(re.search(r" (?:at|dot) ", s, re.I)), len(parts[-1]) if parts[-1].isalpha() else 0, parts[-1].lower() in ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"),
     ]
@@ -124,7 +135,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 
 def examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and truth of n generated candidates in made-up sentences, half of them hard negatives."""
+    """Features and truth of n generated candidates in made-up sentences, half of them hard negatives.
+
+    Numbers stand alone or beside others; half of their negatives are runs of groups cut out of, or across, true spans.
+    """
     rng = np.random.default_rng([seed, KINDS.index(kind)])
     pick = lambda *xs: xs[rng.integers(len(xs))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
@@ -135,7 +149,7 @@ def examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         d = d[:15]
         return d + next(c for c in "0123456789" if luhn(d + c))
 
-    def positive() -> str:
+    def positive(kind: str = kind) -> str:
         if kind == "email":
             at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("@", "."), (" at ", ".") if rng.random() < 0.1 else ("[at]", "."))
             return f"{word()}{pick('', '.' + word(), num(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'io', 'edu')}"
@@ -145,7 +159,7 @@ def examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             d, sep = card(), pick("", " ", "-", ".", "  ")
             return sep.join(d[k : k + 4] for k in range(0, 16, 4))
         sep = pick("-", ".", " ", "-")
-        return pick(f"({num(3)}) {num(3)}{sep}{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"1{sep}{num(3)}{sep}{num(3)}{sep}{num(4)}", f"+{num(2)} {num(3)} {num(6)}")
+        return pick(f"({num(3)}) {num(3)}{sep}{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"1{sep}{num(3)}{sep}{num(3)}{sep}{num(4)}", f"+{num(2)} {num(3)} {num(6)}", f"+{num(1)} ({num(3)}) {num(3)}{sep}{num(4)}")
 
     def negative() -> str:
         if kind == "email":
@@ -159,15 +173,35 @@ def examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         year = str(rng.integers(1950, 2030))
         return pick(f"{year}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{year}", num(7), num(9), num(10), num(12), f"{num(3)}.{num(6)}", f"{num(1)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}.{num(3)}", f"{num(1)}-{num(4)}-{num(4)}", f"{year}-{year}", f"{num(3)} {num(3)} {num(3)} {num(3)}", f"{num(5)}-{num(4)}")
 
+    def beside() -> str:
+        other = pick(*KINDS[1:], "", "")
+        return positive(other) if other else pick(f"{rng.integers(1950, 2030)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{rng.integers(1950, 2030)}", num(1), num(2), num(4), negative())
+
+    def cut_or_across(before: str, span: str, after: str, start: int, end: int) -> tuple[int, int] | None:
+        """A candidate of this kind that overlaps the true span from start to end and isn't it."""
+        found = [(s, e) for k, s, e in candidates(before + span + after) if k == kind and (s, e) != (start, end) and s < end and e > start]
+        return found[rng.integers(len(found))] if found else None
+
     xs, ys = [], []
     for k in range(n):
         true = k % 2 == 0
-        span = positive() if true else negative()
-        lead = pick(*FOR[kind]) if rng.random() < (0.5 if true else 0.15) else pick(*AGAINST) if rng.random() < (0.05 if true else 0.5) else word()
+        cut = kind != "email" and not true and rng.random() < 0.5
+        span = positive(pick(*KINDS[1:])) if cut else positive() if true else negative()
+        lead = pick(*FOR[kind]) if rng.random() < (0.5 if true or cut else 0.15) else pick(*AGAINST) if rng.random() < (0.05 if true or cut else 0.5) else word()
         before, after = f"{word()} {lead}{pick(':', '', ' no')} ", pick(" ", ", ", ". ", "") + (word() if rng.random() < 0.8 else "")
         if not after[:1].strip(" ,.") == "" and true:
             after = " " + after
-        xs.append(features(before + span + after, kind, len(before), len(before) + len(span)))
+        if kind != "email":
+            gap = lambda: pick(" ", " ", " / ", ", ", "  ")
+            before += beside() + gap() if rng.random() < (0.6 if cut else 0.35) else ""
+            after = gap() + beside() + after if rng.random() < (0.6 if cut else 0.35) else after
+        start, end = len(before), len(before) + len(span)
+        if cut:
+            found = cut_or_across(before, span, after, start, end)
+            if not found:
+                span = negative()
+            start, end = found or (start, start + len(span))
+        xs.append(features(before + span + after, kind, start, end))
         ys.append(true)
     return np.array(xs, float), np.array(ys, float)
 
@@ -215,7 +249,7 @@ def find(texts: list[str], models: dict[str, tuple[BoostedTrees, float]]) -> lis
     for row, text in enumerate(texts):
         bases.append(base_spans(text))
         taken = Taken(bases[-1])
-        for kind, s, e in candidates(text):
+        for kind, s, e in candidates(text, taken):
             if taken.free(s, e):
                 todo[kind].append((row, s, e, features(text, kind, s, e)))
     added: dict[int, list] = {}
@@ -224,11 +258,12 @@ def find(texts: list[str], models: dict[str, tuple[BoostedTrees, float]]) -> lis
             model, least = models[kind]
             for (row, s, e, _), p in zip(rows, model.probability(np.array([r[3] for r in rows], float))):
                 if p >= least:
-                    added.setdefault(row, []).append((-p, s, e, kind))
+                    added.setdefault(row, []).append((-p, s - e, s, kind))
     out = []
     for row, base in enumerate(bases):
         spans, taken = list(base), Taken(base)
-        for _, s, e, kind in sorted(added.get(row, ())):
+        for _, size, s, kind in sorted(added.get(row, ())):
+            e = s - size
             if taken.free(s, e):
                 spans.append((kind, s, e))
                 taken.add(s, e)

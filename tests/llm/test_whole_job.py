@@ -54,3 +54,24 @@ def test_pfair_zero_weight_goes_last(spark):
 
     rows = sorted(schedule(spark.createDataFrame([("a", 5, 0.0), ("b", 7, 1.0), ("c", 3, 1.0)], "source string, n long, w double"), 1).collect(), key=lambda r: r["slot"])
     assert "".join(r["source"] for r in rows) == "bcbcbcbbbbaaaaa"
+
+
+def test_pii_of_adjacent_numbers():
+    from orbis.llm.pii import candidates, find, fitted
+
+    wanted = {
+        "555-123-4567 (555) 987-6543": [("phone", "555-123-4567"), ("phone", "(555) 987-6543")],
+        "555-123-4567 / 555-987-6543": [("phone", "555-123-4567"), ("phone", "555-987-6543")],
+        "4111.1111.1111.1111 5500.0000.0000.0004": [("card", "4111.1111.1111.1111"), ("card", "5500.0000.0000.0004")],
+        "192[.]168[.]1[.]10 10[.]20[.]30[.]40": [("ip", "192[.]168[.]1[.]10"), ("ip", "10[.]20[.]30[.]40")],
+        "555-123-4567 2024-05-01": [("phone", "555-123-4567")],
+        "10.0.0.1 555-123-4567": [("ip", "10.0.0.1"), ("phone", "555-123-4567")],
+        "+1 (843) 555-7672 170.106.47.21": [("ip", "170.106.47.21"), ("phone", "+1 (843) 555-7672")],
+        "2024-05-01 2024-05-02 12 13": [],
+    }
+    for (text, want), (_, spans) in zip(wanted.items(), find(list(wanted), fitted())):
+        assert [(k, text[s:e]) for k, s, e in spans] == want
+    # However long a chain is, every run of groups of a kind's length is proposed: under five a group.
+    text = " ".join(["555-123-4567"] * 400)
+    found = set(candidates(text))
+    assert all(("phone", k * 13, k * 13 + 12) in found for k in range(400)) and len(found) < 5 * 1200
