@@ -4,7 +4,8 @@ All rolling word k-gram hashes of all texts are joined to the positions of the s
 license templates. A place where a template stands gives hits on one diagonal (document position
 minus template position); a reworded one gives hits on neighbouring diagonals. Hits are counted
 by diagonal, neighbouring diagonals merged, and the merged spans verified by how much of the
-template they cover. k-grams are compared word by word in the join, so equal hashes don't count.
+template they cover. Spans that cover too little, as of a text with words inserted in between, are chained where
+they follow each other in document and template, and verified by what they cover together. k-grams are compared word by word in the join, so equal hashes don't count.
 """
 
 from __future__ import annotations
@@ -88,12 +89,37 @@ def template_positions(spark: SparkSession, phrases: dict[str, str], templates:
     return df.withColumn("h", F.xxhash64(*[F.get("gram", i) for i in range(k)])), len(rows)
 
 
+CHAIN = "struct<covered:bigint,first:bigint,end:bigint,hi:bigint>"
+
+
+def chained(parts: Column, grams: Column, k: int, least: float) -> Column:
+    """Chains of parts of one template (structs of first, end, lo, hi, covered) that together cover ``least`` of it.
+
+    Parts come in the order of the document; of the chains that end at the same position of the template the one that
+    covers most is kept, so there are at most as many as positions. A chain that covers enough is closed when a part
+    behind it begins the template, or a piece of it, again.
+    """
+    best = lambda chains: F.array_max(F.filter(chains, lambda c: c["covered"] >= least * grams))
+
+    def step(a: Column, part: Column) -> Column:
+        top = best(a["open"])
+        over = F.coalesce((part["lo"] <= top["hi"]) & (part["first"] > top["end"] - k), F.lit(False))
+        kept = F.when(over, F.array().cast(f"array<{CHAIN}>")).otherwise(a["open"])
+        prior = F.array_max(F.filter(kept, lambda c: (c["hi"] < part["lo"]) & (c["end"] - k < part["first"])))
+        longer = F.struct((part["covered"] + F.coalesce(prior["covered"], F.lit(0))).alias("covered"), F.coalesce(prior["first"], part["first"]).alias("first"), part["end"].alias("end"), part["hi"].alias("hi")).cast(CHAIN)
+        now = F.array_append(F.filter(kept, lambda c: c["hi"] != part["hi"]), F.array_max(F.array_append(F.filter(kept, lambda c: c["hi"] == part["hi"]), longer)))
+        return F.struct(now.alias("open"), F.when(over, F.array_append(a["closed"], top)).otherwise(a["closed"]).alias("closed"))
+
+    none = F.array().cast(f"array<{CHAIN}>")
+    return F.aggregate(F.sort_array(parts), F.struct(none.alias("open"), none.alias("closed")), step, lambda a: F.array_compact(F.array_append(a["closed"], best(a["open"]))))
+
+
 def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, k: int = K, shift: int = SHIFT, least: float = 0.6) -> DataFrame:
     """doc_id, n_words and spans of every row.
 
     A span is (label, exact, first, end, score) in words: an exact one is a phrase whose words
     stand consecutively; others are templates of which hits within ``shift`` words of the same
-    diagonal cover at least ``least``. Null texts count as empty and have no spans, like texts
+    diagonal, or chains of such hits with other words in between, cover at least ``least``. Null texts count as empty and have no spans, like texts
     of fewer than k words. Rows that share a doc_id, null ones too, are scanned each on its own;
     other columns are ignored. Broadcast are the templates' k-grams, some hundreds of rows that
     don't depend on the documents; shuffled are hits, counted by diagonal first.
@@ -112,19 +138,23 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     last = F.col("pos") == F.greatest(F.size("w") - k + 1, F.lit(0))
     hits = hashed.join(F.broadcast(probes), "h").filter(same & (F.col("gram").isNotNull() | last))
     hits = hits.select("doc_id", "row", F.when(F.col("gram").isNull(), F.size("w")).alias("n"), "template", "label", "exact", "grams", "pos", "at")
-    diagonals = hits.groupBy("row", "doc_id", "template", "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n").alias("n"), F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    diagonals = hits.groupBy("row", "doc_id", "template", "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n").alias("n"), F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_list("at").alias("places"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     # An exact phrase needs all votes on its own diagonal; other templates merge with the diagonal before.
     near = (~F.col("exact")) & (F.col("diagonal") - F.lag("diagonal").over(order) <= shift)
     marked = diagonals.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
     merged = marked.groupBy("row", "doc_id", "template", "label", "exact", "grams", "cluster").agg(
-        F.max("n").alias("n"), F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), (F.max(F.col("diagonal") + F.col("hi")) + k).alias("end"), F.min("diagonal").alias("diagonal")
+        F.max("n").alias("n"), F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), (F.max(F.col("diagonal") + F.col("hi")) + k).alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered")
     )
     score = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     # Short notices must stand whole: one word may name another license or version.
     good = F.when(F.col("exact") | (F.col("grams") < 10), F.col("votes") >= F.col("grams")).otherwise(score >= least)
     span = F.when(F.col("template").isNotNull() & good, F.struct("label", "exact", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), score.alias("score")))
-    return merged.groupBy("row", "doc_id").agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_list(span)).alias("spans")).drop("row")
+    part = F.when(~F.col("exact") & (F.col("grams") >= 10) & ~good, F.struct(*[F.col(c).cast("long").alias(c) for c in ("first", "end", "lo", "hi", "covered")]))
+    each = merged.groupBy("row", "doc_id", "template", "label", "exact", "grams").agg(F.max("n").alias("n"), F.collect_list(span).alias("spans"), F.collect_list(part).alias("parts"))
+    joint = F.transform(chained(F.col("parts"), F.col("grams"), k, least), lambda c: F.struct(F.col("label"), F.col("exact"), c["first"].alias("first"), c["end"].alias("end"), F.least(c["covered"] / F.col("grams"), F.lit(1.0)).alias("score")))
+    each = each.withColumn("spans", F.when(F.size("parts") > 1, F.concat("spans", joint)).otherwise(F.col("spans")))
+    return each.groupBy("row", "doc_id").agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")).drop("row")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -75,3 +75,17 @@ def test_pii_of_adjacent_numbers():
     text = " ".join(["555-123-4567"] * 400)
     found = set(candidates(text))
     assert all(("phone", k * 13, k * 13 + 12) in found for k in range(400)) and len(found) < 5 * 1200
+
+
+def test_licenses_with_words_inserted(spark):
+    from orbis.llm.licenses import TEMPLATES, scan, template_words
+
+    words = template_words(TEMPLATES["mit"][0])
+    n = len(words)
+    inserted = lambda *cuts: " ".join(" ".join(words[a:b] + [f"x{k}" for k in range(9)]) for a, b in zip((0, *cuts), (*cuts, n)))
+    texts = [inserted(n // 2), inserted(n // 3, 2 * n // 3), inserted(n // 2) + " " + inserted(n // 2), " ".join(words[n // 2 :] + ["x"] * 9 + words[: n // 2]), " ".join(words[: n // 3]), inserted(n // 2) + " " + " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"] if s["label"] == "mit" and not s["exact"]] for r in scan(docs).collect()}
+    assert [len(got[k]) for k in range(6)] == [1, 1, 2, 0, 0, 2]
+    assert [(s["first"], s["end"]) for s in got[2]] == [(0, n + 9), (n + 18, 2 * n + 27)]
+    assert got[0][0]["score"] == (n - 4) / (n - 2) and got[1][0]["score"] == (n - 6) / (n - 2)
