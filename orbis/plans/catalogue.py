@@ -711,13 +711,13 @@ def text_index(spark, sf):
 
 # --- Clipping, projected chains ---------------------------------------------------------------------
 
-_box = {"x": ("a_lng", "b_lng", 1.0), "y": ("a_lat", "b_lat", 0.5)}
-_sides = [(f"({p} + {m})", f"({q} + {m})") for p, q, m in _box.values()] + [(f"({m} - {p})", f"({m} - {q})") for p, q, m in _box.values()]
-_lo = "greatest(0.0, " + ", ".join(f"CASE WHEN {f} < 0 THEN CASE WHEN {g} < 0 THEN 2.0 ELSE {f} / ({f} - {g}) END ELSE 0.0 END" for f, g in _sides) + ")"
-_hi = "least(1.0, " + ", ".join(f"CASE WHEN {g} < 0 THEN CASE WHEN {f} < 0 THEN -1.0 ELSE {f} / ({f} - {g}) END ELSE 1.0 END" for f, g in _sides) + ")"
+_clip_box = {"x": ("a_lng", "b_lng", 1.0), "y": ("a_lat", "b_lat", 0.5)}
+_clip_sides = [(f"({p} + {m})", f"({q} + {m})") for p, q, m in _clip_box.values()] + [(f"({m} - {p})", f"({m} - {q})") for p, q, m in _clip_box.values()]
+_clip_lo = "greatest(0.0, " + ", ".join(f"CASE WHEN {f} < 0 THEN CASE WHEN {g} < 0 THEN 2.0 ELSE {f} / ({f} - {g}) END ELSE 0.0 END" for f, g in _clip_sides) + ")"
+_clip_hi = "least(1.0, " + ", ".join(f"CASE WHEN {g} < 0 THEN CASE WHEN {f} < 0 THEN -1.0 ELSE {f} / ({f} - {g}) END ELSE 1.0 END" for f, g in _clip_sides) + ")"
 
 
-@query(f"{TR}, u AS (SELECT *, {_lo} AS lo, {_hi} AS hi FROM t) SELECT id, {Q.r('a_lng + lo * (b_lng - a_lng)')} AS x0, {Q.r('a_lat + lo * (b_lat - a_lat)')} AS y0, {Q.r('a_lng + hi * (b_lng - a_lng)')} AS x1, {Q.r('a_lat + hi * (b_lat - a_lat)')} AS y1 FROM u WHERE lo <= hi")
+@query(f"{TR}, u AS (SELECT *, {_clip_lo} AS lo, {_clip_hi} AS hi FROM t) SELECT id, {Q.r('a_lng + lo * (b_lng - a_lng)')} AS x0, {Q.r('a_lat + lo * (b_lat - a_lat)')} AS y0, {Q.r('a_lng + hi * (b_lng - a_lng)')} AS x1, {Q.r('a_lat + hi * (b_lat - a_lat)')} AS y1 FROM u WHERE lo <= hi")
 def clip_rect(spark, sf):
     """The parts of planar edges (longitude, latitude) inside a rectangle."""
     cut = L.clip_planar(al["lng"], al["lat"], bl["lng"], bl["lat"], -1.0, 1.0, -0.5, 0.5)
