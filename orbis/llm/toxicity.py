@@ -1,50 +1,80 @@
-"""Toxicity by a subsequence string kernel, a support vector machine and Nystroem landmarks.
-
-The kernel compares tokens by their common subsequences of three letters with up to two characters
-between neighbours, each gap costing a factor DECAY, normalised to 1 for equal tokens. Characters that
-aren't letters are gaps themselves (common digit and sign stand-ins count as letters), so
-insults with inserted or doubled characters keep most of their kernel value.
-
-Training: of a bounded sample of labelled documents, sentences of clean ones give negative tokens.
-Sentences of toxic ones are labelled by their witnesses: tokens that stand in many toxic documents
-which aren't copies of each other, and hardly in clean ones. Witnesses, and variants with inserted
-characters, are the positives; landmarks are drawn from both. The machine is refitted with
-the clean tokens that it scored highest. A document's score is the calibrated margin of its
-highest token. The decision function is linear in the landmarks' kernel values, so it collapses to one
-weight for each letter triple, and a token costs a few dozen lookups.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine on sentences.
+
+The kernel of two segments (a word, or two short fragments with the blank between them) compares
+their common subsequences of three letters with up to two characters between neighbours, each gap
+costing a factor DECAY, normalised to 1 for equal segments; the sum of its powers SHARPEN is taken, a tolerant and a strict one (kernel values under LEAST count as 0).
+Characters that aren't letters, blanks among them, are gaps themselves (common digit and sign stand-ins
+count as letters), and doubled letters count once, so insults with inserted or doubled characters, or broken by a blank, keep much of their
+kernel value. The kernel of two sentences is the sum over their distinct segments (a convolution
+kernel), mapped by Nystroem landmarks.
+
+Training: sentences of a bounded sample of labelled documents, which carry their document's label. In a clean
+document all are negative; in a toxic one at least one is positive, but not known which: the machine is fitted in rounds, in
+which a toxic document's positives are its highest sentence and the others beyond the boundary (multiple-instance
+learning), each also with but one of its telling words, and that disguised. A document's score is the margin of its highest
+sentence, calibrated on documents that a machine of the rest of the sample hasn't seen (the landmarks come from the whole sample).
+As the decision function is a sum over segments, a segment's share is computed once and kept.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DECAY = 0.7
 GAP = 3
+SHARPEN = (3, 10)
+LEAST = 0.2
 LONGEST = 24
+STRETCH = 50
+FOLDS = 3
 SIZE = 32**3
 #: Characters that stand in for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$!")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W_][ ]){2,}[^\W_](?![^\W_])")
+_DOUBLED = re.compile(r"([^\W\d_])\1+")
+_DOTTED = re.compile(r"(?:[^\W_][-._*])+[^\W_]")
+_MARKED = re.compile(r"([^\W_])[-._*]")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
 
-def tokens_of(text: str) -> set[str]:
-    """Lower-case tokens without outer punctuation, and letters spelled out one by one as one token."""
-    low = text.lower()
-    found = {t.strip(_EDGES).rstrip("!") for t in set(low.split())}
-    if " " in low:
-        found.update(m[0].replace(" ", "") for m in _SPELLED.finditer(low))
-    found.discard("")
-    return found
+#: A worker's store of shares, kept from task to task of one model.
+_SHARES: dict[int, dict[str, float]] = {}
+
+
+def sentences_of(text: str) -> Iterator[set[str]]:
+    """The segments of each sentence, lower-cased: words, pairs of fragments of at most four characters, and letters spelled out one by one.
+
+    Sentences end at line ends and at marks before white space; one of more than STRETCH words is cut into stretches.
+    """
+    for sentence in _SENTENCE.split(text.lower()):
+        words = sentence.split()
+        for k in range(0, len(words), STRETCH):
+            part = words[k : k + STRETCH]
+            own = set(part)
+            if len(part) > 1:
+                own.update([f"{x} {y}" for x, y in zip(part, part[1:]) if len(x) < 5 and len(y) < 5])
+                if min(map(len, part)) == 1:
+                    own.update(m[0].replace(" ", "") for m in _SPELLED.finditer(" ".join(part)))
+            yield own
+
+
+def bare(segment: str) -> str:
+    """A segment without outer punctuation, without marks between single letters, and with doubled letters once."""
+    out = segment.strip(_EDGES).rstrip("!")
+    if len(out) > 4 and out[1] in "-._*" and _DOTTED.fullmatch(out):
+        out = _MARKED.sub(r"\1", out)
+    return _DOUBLED.sub(r"\1", out)
 
 
 def _codes() -> np.ndarray:
@@ -62,7 +92,7 @@ CODES = _codes()
 
 
 def triples(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, triple and value of the normalised feature vectors of tokens of at most LONGEST characters."""
+    """row, triple and value of the normalised feature vectors of tokens (of at most LONGEST characters, so that the table stays narrow)."""
     width = max([3, *map(len, tokens)])
     raw = np.zeros((len(tokens), width), np.int64)
     for k, t in enumerate(tokens):
@@ -101,181 +131,302 @@ def dense(tokens: list[str]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Landmarks:
+    """The kernel with fixed strings: for each triple the landmarks that have it, and their values there."""
+
+    starts: np.ndarray
+    counts: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, strings: list[str]) -> Landmarks:
+        row, key, value = triples(strings)
+        order = np.argsort(key, kind="stable")
+        counts = np.bincount(key, minlength=SIZE)
+        return cls(np.cumsum(counts) - counts, counts, row[order], value[order], len(strings))
+
+    def near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token, landmark and kernel value of the pairs from LEAST on, in the order of tokens."""
+        row, key, value = triples(tokens)
+        n = self.counts[key]
+        at = np.repeat(self.starts[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums = np.bincount(np.repeat(row, n) * self.n + self.column[at], np.repeat(value, n) * self.value[at], len(tokens) * self.n)
+        hit = np.flatnonzero(sums >= LEAST)
+        return hit // self.n, hit % self.n, sums[hit]
+
+    def kernel(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment, column and value: for each power a column a landmark; the values of a long segment's windows stand one by one."""
+        cut = [pieces(t) for t in segments]
+        row, column, value = self.near([p for c in cut for p in c])
+        home = np.repeat(np.arange(len(cut)), [len(c) for c in cut])[row]
+        return np.tile(home, len(SHARPEN)), np.concatenate([column + k * self.n for k in range(len(SHARPEN))]), np.concatenate([value**p for p in SHARPEN])
+
+
 @dataclass
 class Model:
-    """Margin of a token: sum of value * weight over its triples, plus bias. Score of a document: sigmoid(a * margin + b)."""
+    """Margin of a sentence: the sum of its segments' shares, plus bias. Score of a document: sigmoid(a * tanh(highest margin) + b), as far beyond the margin a document is toxic either way."""
 
-    weight: np.ndarray
+    landmarks: Landmarks
+    beta: np.ndarray
     bias: float
-    a: float
-    b: float
-    cache: dict[str, float] | None = None
-
-    def margins(self, tokens: list[str]) -> np.ndarray:
-        out = np.empty(len(tokens))
-        for k in range(0, len(tokens), 20_000):
-            cut = [pieces(t) for t in tokens[k : k + 20_000]]
-            row, key, value = triples([p for c in cut for p in c])
-            n = sum(map(len, cut))
-            each = np.bincount(row, value * self.weight[key], n) + self.bias
-            out[k : k + len(cut)] = np.maximum.reduceat(each, np.cumsum([0, *map(len, cut)])[:-1])
+    a: float = 1.0
+    b: float = 0.0
+    cache: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
+    def shares(self, segments: list[str]) -> np.ndarray:
+        out = np.zeros(len(segments))
+        for k in range(0, len(segments), 4000):
+            part = segments[k : k + 4000]
+            row, column, value = self.landmarks.kernel(part)
+            out[k : k + len(part)] = np.bincount(row, value * self.beta[column], len(part))
         return out
 
-    def documents(self, texts: list[str], most: int = 400_000) -> np.ndarray:
-        """The highest margin in each text; the bias for texts without tokens."""
-        if self.cache is None or len(self.cache) > most:
-            self.cache = {}
-        own = [tokens_of(t) for t in texts]
-        missing = list(set().union(*own).difference(self.cache)) if own else []
-        self.cache.update(zip(missing, self.margins(missing).tolist()))
-        return np.array([max(map(self.cache.__getitem__, ts), default=self.bias) for ts in own])
+    def learn(self, segments: Iterable[str], most: int = 400_000) -> None:
+        """Keep the shares of these segments; the store is emptied once it has ``most``."""
+        if len(self.cache) > most:
+            self.cache.clear()
+        missing = {w: bare(w) for w in set(segments).difference(self.cache)}
+        words = list(set(missing.values()).difference(self.cache))
+        self.cache.update(zip(words, self.shares(words).tolist()))
+        self.cache.update([(w, self.cache[b]) for w, b in missing.items()])
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        """The highest margin of a sentence in each text; the bias for texts without words."""
+        out, k = np.empty(len(texts)), 0
+        while k < len(texts):
+            n, chars = 0, 0
+            while k + n < len(texts) and (not n or chars + len(texts[k + n]) < 2_000_000):
+                chars += len(texts[k + n])
+                n += 1
+            own = [list(sentences_of(t)) for t in texts[k : k + n]]
+            self.learn(set().union(*(s for ss in own for s in ss)))
+            share = self.cache.__getitem__
+            out[k : k + n] = [max([sum(map(share, s)) for s in ss], default=0.0) + self.bias for ss in own]
+            k += n
+        return out
 
     def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.a * np.tanh(margin) + self.b, -30, 30)))
 
 
-def stems(token: str, width: int = 5) -> set[str]:
-    """Windows of a token with a mark for its start, so that inflected forms share some."""
-    marked = "^" + token
-    return {marked[k : k + width] for k in range(max(1, len(marked) - width + 1))}
+def disguised(word: str, rng: np.random.Generator) -> str:
+    """The word with a character inserted or doubled, with marks between its letters, or broken by a blank."""
+    letters = "abcdefghijklmnopqrstuvwxyz.-*_"
+    k = int(rng.integers(1, max(2, len(word))))
+    way = rng.integers(8)
+    if way == 0:
+        return "-.*"[rng.integers(3)].join(word)
+    if way == 1:
+        return word[:k] + word[k - 1] + word[k:]
+    if way == 2:
+        return word[:k] + " " + word[k:]
+    return word[:k] + letters[rng.integers(len(letters))] + word[k:]
 
 
-def witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 150) -> list[str]:
-    """Tokens of toxic documents with a stem that marks those, and that clean ones hardly have.
+Rows = tuple[np.ndarray, np.ndarray, float, float]
 
-    Copies count once: a stem's documents are counted by the fewest distinct minima of three hashes of
-    their tokens. Of the stems that are common enough, the fewest that stand in all toxic
-    documents are taken, and others nearly as widespread.
-    """
-    salts = (b"a", b"b", b"c")
-    minima = [[min((zlib.crc32(s + t.encode("utf-8", "surrogatepass")) for t in ts), default=0) for s in salts] for ts in toxic]
-    groups = max(1, min(len({m[k] for m in minima}) for k in range(3)))
-    own = [{s for t in ts if len(t) >= 3 for s in stems(t)} for ts in toxic]
-    seen: dict[str, list[set[int]]] = {}
-    for ss, m in zip(own, minima):
-        for t in ss:
-            for k, s in enumerate(seen.setdefault(t, [set(), set(), set()])):
-                s.add(m[k])
-    there = Counter(s for ts in clean for s in {s for t in ts if len(t) >= 3 for s in stems(t)} if s in seen)
-    number = {}
-    for t, s in seen.items():
-        n = min(map(len, s))
-        rate = (there[t] + 0.5) / (len(clean) + 1)
-        if n >= max(3, 0.01 * groups) and n / groups >= 15 * rate:
-            number[t] = n
-    left, picked = [ss & number.keys() for ss in own], []
-    while len(picked) < most:
-        gain = Counter(t for ss in left for t in ss)
-        best = max(gain, key=lambda t: (min(gain[t], number[t]), number[t], t), default=None)
-        if best is None or min(gain[best], number[best]) < max(2, 0.004 * len(toxic)):
-            break
-        picked.append(best)
-        left = [ss for ss in left if best not in ss]
-    usual = float(np.median([number[t] for t in picked])) if picked else np.inf
-    chosen = {*picked, *(t for t in number if number[t] >= 0.5 * usual)}
-    common = Counter(t for ts in toxic for t in ts if len(t) >= 3 and not chosen.isdisjoint(stems(t)))
-    pure = Counter(t for ts in clean for t in ts if t in common)
-    return [t for t, n in common.most_common() if pure[t] / (len(clean) + 1) < 0.1 * n / len(toxic)][: 4 * most]
 
+def svm(parts: list[Rows], w: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Squared-hinge machine by Newton steps from w on the rows inside the margin.
 
-def variants(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with one or more inserted characters, or one doubled."""
-    letters = "abcdefghijklmnopqrstuvwxyz.-*_"
-    out = [word, ".".join(word), "-".join(word)]
-    for _ in range(6):
-        k = rng.integers(1, len(word))
-        out.append(word[:k] + letters[rng.integers(len(letters))] + word[k:])
-    k = rng.integers(len(word))
-    return [*out, word[: k + 1] + word[k] + word[k + 1 :]]
-
-
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Squared-hinge machine by Newton steps on the rows inside the margin; the last column of x is 1."""
-    w = np.zeros(x.shape[1])
+    Each part has features (the last one is 1), the rows of them that count, their label and the weight of each.
+    """
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        a, c = x[inside], weight[inside]
-        new = np.linalg.solve(a.T @ (a * c[:, None]) + ridge * np.eye(len(w)), a.T @ (c * y[inside]))
-        if np.abs(new - w).max() < 1e-6:
+        gram, target = ridge * np.eye(len(w)), np.zeros(len(w))
+        for x, rows, y, c in parts:
+            inside = rows[y * (x @ w.astype(np.float32))[rows] < 1]
+            for k in range(0, len(inside), 4096):
+                a = x[inside[k : k + 4096]]
+                gram += c * (a.T @ a)
+                target += c * y * a.sum(0)
+        new = np.linalg.solve(gram, target)
+        if np.abs(new - w).max() < 1e-4:
             break
         w = new
     return w
 
 
-def fit(toxic: list[set[str]], clean: list[set[str]], landmarks: int = 256, seed: int = 11) -> Model:
-    """A model from the tokens of toxic and clean training documents."""
-    rng = np.random.default_rng(seed)
-    marks = witnesses(toxic, clean)
-    rate = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
-    if not marks or not clean:
+Sentence = Sequence[str]
+Document = list[Sentence]
+
+
+def document(text: str) -> Document:
+    """The sentences of a training text; equal segments share one string."""
+    return [tuple(map(sys.intern, sorted(s))) for s in sentences_of(text)]
+
+
+def distinct_documents(docs: list[Document]) -> list[Document]:
+    """Copies count once: documents that agree in the minima of two hashes of their segments."""
+    seen, out = set(), []
+    for d in docs:
+        words = {w.encode("utf-8", "surrogatepass") for s in d for w in s}
+        key = tuple(min((zlib.crc32(salt + w) for w in words), default=0) for salt in (b"a", b"b"))
+        if key not in seen:
+            seen.add(key)
+            out.append(d)
+    return out
+
+
+def telling(toxic: list[Document], clean: list[Document]) -> tuple[dict[str, float], list[str]]:
+    """For words: log ratio of the shares of toxic and clean documents that hold it; and those in at least two toxic ones, the most telling first."""
+    count = [Counter(w for d in docs for w in {bare(w) for s in d for w in s if " " not in w}) for docs in (toxic, clean)]
+    ratio = {w: float(np.log((n + 0.5) / (len(toxic) + 1)) - np.log((count[1][w] + 0.5) / (len(clean) + 1))) for w, n in count[0].items()}
+    often = [w for w, n in count[0].items() if n >= 2 and len(w) >= 3 and ratio[w] > 0]
+    return ratio, sorted(often, key=lambda w: (-ratio[w] * count[0][w], w))
+
+
+class Sentences:
+    """The sentences of a sample in the landmarks' feature space, and machines fitted on a part of its documents."""
+
+    def __init__(self, toxic: list[Document], clean: list[Document], landmarks: int, seed: int):
+        self.rng = np.random.default_rng(seed)
+        self.ratio, often = telling(toxic, clean)
+        common = sorted({bare(w) for d in clean for s in d for w in s} - set(often))
+        # Three eighths are telling words, as many those with a gap at a third, the half or two thirds, the rest any words of clean documents.
+        part = 3 * landmarks // 8
+        words = [pieces(w)[0] for w in often[:part]]
+        gapped = [w[:k] + "*" + w[k:] for w in words for k in sorted({max(1, len(w) * f // 6) for f in (2, 3, 4)})][:part]
+        others = [common[k][:LONGEST] for k in self.rng.permutation(len(common))[: landmarks - len(words) - len(gapped)]]
+        lands = list(dict.fromkeys([*words, *gapped, *others]))
+        self.marks = Landmarks.of(lands)
+        # Nystroem: the inverse square root of the landmarks' kernel, for each power.
+        row, column, value = self.marks.kernel(lands)
+        width = len(lands)
+        self.root = np.zeros((width * len(SHARPEN), width * len(SHARPEN)), np.float32)
+        for k in range(0, len(self.root), width):
+            whole, own = np.zeros((width, width)), (column >= k) & (column < k + width)
+            whole[row[own], column[own] - k] = value[own]
+            values, vectors = np.linalg.eigh((whole + whole.T) / 2)
+            self.root[k : k + width, k : k + width] = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
+        self.bad = [s for d in toxic for s in d]
+        self.home = np.repeat(np.arange(len(toxic)), [len(d) for d in toxic])
+        self.home_good = np.repeat(np.arange(len(clean)), [len(d) for d in clean])
+        self.x_bad, self.x_good = self.mapped(self.bad), self.mapped([s for d in clean for s in d])
+
+    def mapped(self, sentences: list[Sentence]) -> np.ndarray:
+        """Nystroem features of sentences, and a one. The kernel values of each distinct segment are computed once."""
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for s in sentences for w in s], np.int64)
+        home = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        by = np.argsort(at, kind="stable")
+        home, first = home[by], np.searchsorted(at[by], np.arange(len(place) + 1))
+        out, words = np.zeros((len(sentences), len(self.root)), np.float32), list(place)
+        for k in range(0, len(words), 4000):
+            word, column, value = self.marks.kernel([bare(w) for w in words[k : k + 4000]])
+            n = (first[k + 1 :] - first[k:-1])[word]  # sentences that hold the word
+            rows = home[np.repeat(first[k + word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            np.add.at(out, (rows, np.repeat(column, n)), np.repeat(value.astype(np.float32), n))
+        return np.concatenate([out @ self.root, np.ones((len(sentences), 1), np.float32)], 1)
+
+    def machine(self, own_toxic: np.ndarray, own_clean: np.ndarray, rounds: int) -> np.ndarray:
+        """Weights, the bias last, from the documents that the two masks name."""
+        own, good = np.flatnonzero(own_toxic[self.home]), np.flatnonzero(own_clean[self.home_good])
+        home = self.home[own]
+        margin = np.array([max([self.ratio.get(bare(w), 0.0) for w in self.bad[k]], default=0.0) for k in own])
+        w = np.zeros(self.x_good.shape[1])
+        for turn in range(rounds):
+            top = np.full(len(own_toxic), -np.inf)
+            np.maximum.at(top, home, margin)
+            # The highest of each document, unless it is far on the clean side, and all beyond the boundary.
+            chosen = own[margin == top[home] if turn == 0 else (margin > 0) | (margin == top[home]) & (margin > -0.7)]
+            x_more = self.x_bad[:0]
+            if turn:
+                model, more = self.model(w), []
+                model.learn({w for k in chosen for w in self.bad[k]})
+                for k in chosen:
+                    share = {w: model.cache[w] for w in self.bad[k] if len(bare(w)) > 2}
+                    told = [w for w, v in share.items() if v > 0.2 and v >= 0.2 * max(share.values())]
+                    for word in self.rng.permutation(told)[:2]:
+                        more.append([*(x for x in self.bad[k] if x not in told), disguised(bare(str(word)), self.rng)])
+                x_more = self.mapped(more)
+            of_one = 4000 / max(1, len(chosen) + len(x_more))
+            w = svm([(self.x_bad, chosen, 1.0, of_one), (x_more, np.arange(len(x_more)), 1.0, of_one), (self.x_good, good, -1.0, 40_000 / max(1, len(good)))], w)
+            margin = (self.x_bad @ w.astype(np.float32))[own]
+        return w
+
+    def model(self, w: np.ndarray) -> Model:
+        return Model(self.marks, self.root @ w[:-1], float(w[-1]))
+
+
+def fit(toxic: list[Document], clean: list[Document], *, odds: float | None = None, landmarks: int = 256, rounds: int = 3, seed: int = 11) -> Model:
+    """A calibrated model from toxic and clean documents; ``odds``: how many clean ones there are for a toxic one, if not as given."""
+    odds = odds or len(clean) / max(1, len(toxic))
+    toxic, clean = distinct_documents([d for d in toxic if d]), distinct_documents([d for d in clean if d])
+    if not toxic or not clean:
         # Nothing tells the classes apart: the score is the rate of toxic documents.
-        return Model(np.zeros(SIZE), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    pool = sorted({p for ts in clean for t in ts for p in pieces(t)} - set(marks))
-    negatives = [pool[k] for k in rng.permutation(len(pool))[:6000]]
-    positives = [v[:LONGEST] for m in marks for v in variants(m, rng)]
-    lands = [*marks[: landmarks // 2], *negatives[: landmarks - min(len(marks), landmarks // 2)]]  # the commonest witnesses
-    base = dense(lands)
-    values, vectors = np.linalg.eigh((base @ base.T).astype(float))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T  # Nystroem: inverse square root of the landmarks' kernel
-    project = base.T @ root
-
-    def mapped(tokens: list[str]) -> np.ndarray:
-        out = np.ones((len(tokens), len(lands) + 1))
-        out[:, :-1] = 0
-        for k in range(0, len(tokens), 500):
-            row, key, value = triples(tokens[k : k + 500])  # rows in order
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                out[k + row[first], :-1] = np.add.reduceat(project[key] * value[:, None], first, axis=0)
-        return out
+        rate = (len(toxic) + 0.5) / (len(toxic) * (1 + odds) + 1) if toxic else 0.5 / (len(clean) + 1)
+        return Model(Landmarks.of(["none"]), np.zeros(len(SHARPEN)), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+    data = Sentences(toxic, clean, landmarks, seed)
+    folds = min(FOLDS, len(toxic), len(clean))
+    fold_of = np.arange(len(toxic)) % folds, np.arange(len(clean)) % folds
+    top = np.full(len(toxic), -np.inf), np.full(len(clean), -np.inf)
+    for fold in range(folds):
+        w = data.machine(*((f != fold) | (folds == 1) for f in fold_of), rounds).astype(np.float32)
+        for k, x, home in ((0, data.x_bad, data.home), (1, data.x_good, data.home_good)):
+            rows = fold_of[k][home] == fold
+            np.maximum.at(top[k], home[rows], x[rows] @ w)
+    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
+    weight = np.where(y > 0, 1.0, odds * len(toxic) / len(clean))
+    model = data.model(data.machine(*(np.ones(len(f), bool) for f in fold_of), rounds))
+    model.a, model.b = platt(np.tanh(np.concatenate(top)), y, weight)
+    return model
 
-    pos = mapped(positives)
-    for _ in range(3):  # twice with the clean tokens that scored highest
-        x = np.concatenate([pos, mapped(negatives)])
-        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
-        w = svm(x, y, np.where(y > 0, 1 / len(positives), 4 / len(negatives)) * 3000)
-        model = Model(project @ w[:-1], float(w[-1]), 1.0, 0.0)
-        margins = model.margins(pool)
-        hard = np.argsort(-margins)[:2000]
-        negatives = sorted({*negatives, *(pool[k] for k in hard)})
-    # Calibration on documents: their highest margins against their labels.
-    top = np.array([max(model.margins(sorted(ts)), default=model.bias) for ts in [*toxic, *clean]])
-    label = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
+
+def platt(top: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, by damped Newton steps."""
     a, b = 4.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        r, h = p - label, p * (1 - p) + 1e-9
+        r, h = weight * (p - y), weight * p * (1 - p) + 1e-9
         hess = np.array([[(h * top * top).sum() + 0.1, (h * top).sum()], [(h * top).sum(), h.sum() + 0.1]])
         step = np.linalg.solve(hess, np.array([(r * top).sum() + 0.1 * (a - 4), r.sum()]))
         step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    model.a, model.b = float(a), float(b)
-    return model
+    return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 1000) -> Model:
-    """A model from labelled documents whose crc32(doc_id as text) mod 5 isn't 0: at most ``most`` toxic and as many clean ones, in the order of a hash."""
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 1500) -> Model:
+    """A model from labelled documents whose crc32(doc_id as text) mod 5 isn't 0.
+
+    ``most`` bounds the sample: at most so many toxic and so many clean doc_ids, in the order of a hash of the doc_id,
+    with their distinct texts, the first 4 of a doc_id that repeats. Of contradicting labels toxic counts. Their whole
+    texts are cut into sentences on the executors and fitted on the driver.
+    """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     marked = marked.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
-    some = [marked.filter(c).orderBy(F.xxhash64("_id"), "_id").limit(most) for c in ("_toxic = 1", "_toxic = 0")]
+    count = {r["_toxic"] == 1: r["count"] for r in marked.groupBy("_toxic").count().collect()}
+    some = [marked.filter(c).orderBy(F.xxhash64("_id"), "_id").limit(most) for c in ("_toxic = 1", "_toxic <> 1")]
     sample = F.broadcast(some[0].unionByName(some[1]))  # so many rows of 12 bytes, twice
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(sample, "_id").select("_toxic", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("words"))
-    toxic, clean = [], []
-    for row in rows.limit(4 * most).collect():
-        (toxic if row["_toxic"] == 1 else clean).append(tokens_of("\n".join(row["words"])))
-    return fit(toxic, clean)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "_id")
+    each = rows.groupBy("_id", F.xxhash64("text").alias("h")).agg(F.min("_toxic").alias("_toxic"), F.min("text").alias("text"))
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("h"))).filter("r <= 4")
+    own: tuple[list, list] = ([], [])
+    for row in first.orderBy("_id", "h").toLocalIterator():
+        own[row["_toxic"] == 1].append(document(row["text"]))
+    return fit(own[1], own[0], odds=count.get(False, 0) / max(1, count.get(True, 0)) or None)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
-    Null texts count as empty; these and others without tokens get the score of the bias. Null doc_ids
+    Null texts count as empty; these and others without words get the score of the bias. Null doc_ids
     aren't held out. Repeated rows are scored alike; other columns are ignored. Nothing is shuffled.
     """
 
+    number = zlib.crc32(model.beta.tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if number not in _SHARES:
+            _SHARES.clear()
+        model.cache = _SHARES.setdefault(number, model.cache)
         for b in batches:
             tops = [np.zeros(0)]
             for k in range(0, b.num_rows, 1000):

@@ -240,8 +240,16 @@ def test_kernel_is_normalised_and_tolerates_gaps():
     assert np.allclose(np.diag(k)[:4], 1, atol=1e-5) and k[4, 4] == 0 and k[0, 1] > 0.7 and k[0, 2] > 0.5 and k[0, 3] < 0.1
 
 
+def test_sentences_and_segments():
+    from orbis.llm.toxicity import STRETCH, bare, sentences_of
+
+    assert list(sentences_of("You sc um! Go.\nNow")) == [{"you", "sc", "um!", "sc um!", "you sc"}, {"go."}, {"now"}]
+    assert bare("(m-o-r-o-n!)") == "moron" and bare("loooser") == "loser" and bare("well-known") == "wel-known"
+    assert len(list(sentences_of("w " * (3 * STRETCH)))) == 3 and list(sentences_of("")) == []
+
+
 def test_toxicity(spark, empty):
-    from orbis.llm.toxicity import score, tokens_of, train
+    from orbis.llm.toxicity import score, sentences_of, train
 
     rng = np.random.default_rng(0)
     syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
@@ -263,9 +271,13 @@ def test_toxicity(spark, empty):
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
     held = [(got[d]["predicted"], t) for d, _, t in labels if d in got and got[d]["held_out"]]
     assert np.mean([p == t for p, t in held]) > 0.9
+    # Disguises, a blank within, and one insult at the end of a very long text.
+    clean = " ".join(word() for _ in range(200_000))
+    asked = ["fa zwagger fo", "fa zwa gger fo", "fa z-w-a-g-g-e-r fo", "fa z w a g g e r fo", "fa zwaagger fo", "fa bo fo", clean, clean + ". fa zwagger fo"]
+    assert [r["predicted"] for r in sorted(score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect(), key=lambda r: r["doc_id"])] == [1, 1, 1, 1, 1, 0, 0, 1]
     odd = score(table(spark, TEXTS), model).collect()
     assert len(odd) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in odd) and odd[1]["score"] == odd[2]["score"] < 0.5
-    assert score(empty, train(empty, marked)).count() == 0 and tokens_of("s c u m!") >= {"scum"}
+    assert score(empty, train(empty, marked)).count() == 0 and next(sentences_of("s c u m!")) >= {"scum"}
 
 
 # --- Quality ----------------------------------------------------------------------------------
