@@ -272,7 +272,7 @@ def test_toxicity(spark, empty):
     held = [(got[d]["predicted"], t) for d, _, t in labels if d in got and got[d]["held_out"]]
     assert np.mean([p == t for p, t in held]) > 0.9
     # Disguises, a blank within, and one insult at the end of a very long text.
-    clean = " ".join(word() for _ in range(200_000))
+    clean = " ".join(rows[k % 3 + 1] for k in range(1, 5000))  # none of these has an insult
     asked = ["fa zwagger fo", "fa zwa gger fo", "fa z-w-a-g-g-e-r fo", "fa z w a g g e r fo", "fa zwaagger fo", "fa bo fo", clean, clean + ". fa zwagger fo"]
     assert [r["predicted"] for r in sorted(score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect(), key=lambda r: r["doc_id"])] == [1, 1, 1, 1, 1, 0, 0, 1]
     odd = score(table(spark, TEXTS), model).collect()
