@@ -13,8 +13,10 @@ stretch. Rows also hold shard, block, ids_before (in the shard) and doc_ids.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,40 +31,77 @@ HEADER = struct.Struct("<4sBBHQQQQQ")
 SAMPLE = 64
 BLOCK_IDS = 1 << 18
 TOKENIZER = "byte_bpe_50k.json"
+#: Punctuation that forms one piece when it follows letters; an apostrophe may begin a contraction.
+MARKS = string.punctuation.replace("'", "")
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class Pieces(dict):
-    """Ids by piece; a missing one is encoded, and kept if it is short."""
+    """Ids by word, for words that a blank precedes; a missing word is encoded, and kept if it is short.
 
-    def __init__(self, encode):
+    The byte-level pre-tokenizer keeps letters with one blank before them whole, and a run of
+    punctuation without apostrophes after them too, so these go straight to the BPE model.
+    """
+
+    def __init__(self, encoder: WordEncoder):
         super().__init__()
-        self.encode = encode
+        self.general, self.tokenize, self.alphabet = encoder.general, encoder.tokenizer.model.tokenize, encoder.alphabet
+        self.code = encoder.dtype.char
+        self.tails: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def renew(self) -> None:
+        """Begin a new generation; what is still asked for comes over from the one before."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        if word in self.older:
+            ids = self[word] = self.older[word]
+            return ids
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            if core == word:
+                ids = self.letters("\u0120", core)
+            else:
+                ids = self[core] + self.tail(word[len(core) :])
+        elif core[:1] == "\n" and core[1:].isalpha():
+            # A piece that starts with a line feed has lost only the blank added by the encoder.
+            ids = self.tail("\n") + self.letters("", core[1:]) + (self.tail(word[len(core) :]) if core != word else b"")
+        else:
+            ids = self.general(word if word[:1] == "\n" else " " + word)
         if len(word) <= 48:
             self[word] = ids
         return ids
 
+    def letters(self, before: str, core: str) -> bytes:
+        plain = core if core.isascii() else core.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenize(before + plain)]).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self.general(marks)
+        return self.tails[marks]
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct space-delimited piece encoded once.
 
     The byte-level pre-tokenizer always splits between a non-space character and a following
     space or line feed, so a text's ids are its pieces' ids in a row. Texts with doubled or
-    unusual white space are cut only at positions where that holds. It also splits letters from
-    the punctuation that follows them, and keeps a run of letters with one space before it
-    whole, so that such a run goes straight to the library's BPE model.
-    The caches are emptied between texts once one has ``most`` pieces; a piece has at most 48 characters.
+    unusual white space are cut only at positions where that holds. Added tokens, which the library
+    looks for in the raw text first, cut it before; if one of them also takes blanks beside it or whole words
+    only, texts that hold one go to the library whole. Other kinds of tokenizers get whole texts.
+    The store begins a new generation between texts once it has ``most`` pieces, and keeps one older; a piece has at most 48 characters.
     """
 
-    TAIL = ".,;:!?)|"
     DOUBLED = ("  ", " \n", "\n ", "\n\n")
     UNUSUAL = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         import os
         import re
 
@@ -71,46 +110,45 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.most = most
-        self.blank_first = Pieces(lambda w: self.piece(w if w[:1] == "\n" else " " + w))
-        self.cores = Pieces(self.core)
-        self.cut = re.compile(r"(?<=\S)(?=[ \n])").split
         # The byte alphabet: printable Latin-1 bytes stand for themselves, the rest follow from 256.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
-        self.by_model = type(self.tokenizer.pre_tokenizer) is ByteLevel and self.tokenizer.normalizer is None
+        before = self.tokenizer.pre_tokenizer
+        self.by_model = type(before) is ByteLevel and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([k], self.dtype).tobytes() for k, t in added.items()}
+        self.simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+        self.cut = re.compile(r"(?<=\S)(?=[ \n])").split
+        self.pieces = Pieces(self)
 
     def general(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def core(self, word: str) -> bytes:
-        """Ids of letters with at most one space before them, or of a tail of punctuation."""
-        if self.by_model and word.lstrip(" ").isalpha():
-            return np.array([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], self.dtype).tobytes()
-        return self.general(word)
-
     def piece(self, word: str) -> bytes:
-        core = word.rstrip(self.TAIL)
-        tail = self.cores[word[len(core) :]] if len(core) < len(word) else b""
-        if core[:1] == " " and core[1:].isalpha() or core.isalpha():
-            return self.cores[core] + tail
-        if core[:1] == "\n" and core[1:].isalpha():
-            return self.cores["\n"] + self.cores[core[1:]] + tail
-        return self.general(word)
+        return self.pieces[word[1:]] if word[:1] == " " and word[1:2] not in ("", " ", "\n") else self.general(word)
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids, self.dtype wide."""
-        if len(self.blank_first) > self.most:
-            self.blank_first.clear()
-        if len(self.cores) > self.most:
-            self.cores.clear()
+        if not self.by_model:
+            return self.general(text)
+        if self.added and any(x in text for x in self.added):
+            if not self.simple:
+                return self.general(text)
+            return b"".join(self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(self.cut_added(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if len(self.pieces) > self.most:
+            self.pieces.renew()
         if any(x in text for x in self.DOUBLED) or any(x in text for x in self.UNUSUAL):
             return b"".join(map(self.piece, self.cut(text)))
-        # A piece that starts with a line feed has lost only the blank added here.
         words = text.replace("\n", " \n").split(" ")
-        return self.piece(words[0]) + b"".join(map(self.blank_first.__getitem__, words[1:])) if text else b""
+        return (self.general(words[0]) if words[0] else b"") + b"".join(map(self.pieces.__getitem__, words[1:]))
 
 
 def encoder(path: str | None) -> WordEncoder:
@@ -162,24 +200,22 @@ def ef_encode(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     return low, np.packbits(bits, bitorder="little").tobytes(), np.packbits(lower.ravel(), bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes()
 
 
-def ef_decode(n: int, low: int, upper: bytes, lower: bytes) -> np.ndarray:
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(upper, np.uint8), bitorder="little"))[:n]
-    high = (at - np.arange(n)).astype(np.int64) << low
-    bits = np.unpackbits(np.frombuffer(lower, np.uint8), count=n * low, bitorder="little").reshape(n, low).astype(np.int64)
-    return high + (bits << np.arange(low)).sum(1) if low else high
-
-
-def ef_select(i: int, low: int, upper: bytes, lower: bytes, samples: bytes) -> int:
-    """The i-th value, reading only the stretch of upper that follows the nearest sample."""
-    at = int(np.frombuffer(samples, "<u4")[i // SAMPLE])
-    left = i % SAMPLE
-    while left:
-        at += 1
-        left -= upper[at >> 3] >> (at & 7) & 1
+def ef_select(i: np.ndarray, low: int, upper: bytes, lower: bytes, samples: bytes) -> np.ndarray:
+    """The values at the places i. Of upper only the stretches between samples that hold them are read, of lower only their bits."""
+    i = np.asarray(i, np.int64)
+    marks = np.append(np.frombuffer(samples, "<u4").astype(np.int64), 8 * len(upper))
+    at = np.empty(len(i), np.int64)
+    stretch = i // SAMPLE
+    for g in np.unique(stretch):
+        a, b = marks[g], marks[g + 1]
+        own = stretch == g
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(upper, np.uint8, (b + 7) // 8 - a // 8, a // 8), bitorder="little")[a % 8 :])
+        at[own] = a + ones[i[own] % SAMPLE]
     value = at - i
+    bits = np.frombuffer(lower, np.uint8)
     for b in reversed(range(low)):
         k = i * low + b
-        value = value << 1 | (lower[k >> 3] >> (k & 7) & 1)
+        value = value << 1 | (bits[k >> 3] >> (k & 7) & 1)
     return value
 
 
@@ -201,14 +237,17 @@ class Block:
         self.upper, self.lower, self.samples = payload[k : k + a], payload[k + a : k + a + b], payload[k + a + b : k + a + b + c]
         self.ids = np.frombuffer(payload, f"<u{width}", n_ids, k + a + b + c)
 
-    def ends(self) -> np.ndarray:
-        return ef_decode(self.n, self.low, self.upper, self.lower)
-
-    def offset(self, i: int) -> int:
+    def offsets(self, i: np.ndarray) -> np.ndarray:
+        """Where the documents i end, by select."""
         return ef_select(i, self.low, self.upper, self.lower, self.samples)
 
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where document ``first`` begins and each up to ``last``, exclusive, ends."""
+        ends = self.offsets(np.arange(max(first - 1, 0), last))
+        return ends if first else np.append(0, ends)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.offset(i - 1) if i else 0 : self.offset(i)]
+        return self.ids[slice(*self.bounds(i, i + 1))]
 
 
 BLOCKS = "shard int, block int, ids_before long, n_docs long, n_ids long, doc_ids array<bigint>, payload binary"
@@ -219,7 +258,8 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str | None = None
 
     Null texts count as empty (one id). Null doc_ids come first. Rows that share a doc_id are
     ordered by a hash of the text; exact repeats stay, each with its own ids. Other columns are
-    ignored. The range shuffle deals rows by (doc_id, text hash), so no key can fill one task.
+    ignored. The range shuffle deals rows by doc_id, text hash and place in the input, so neither a
+    doc_id nor exact repeats of a row can fill one task.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +287,8 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str | None = None
             yield flush()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place").select("doc_id", "text")
     rows.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -266,8 +306,8 @@ def read_token_file(spark: SparkSession, path: str, *, with_ids: bool = True) ->
         for batch in batches:
             for first, doc_ids, payload in zip(*(c for c in batch.columns)):
                 block = Block(payload.as_py())
-                ends = block.ends()
-                starts = np.concatenate([[0], ends[:-1]])
+                bounds = block.bounds(0, block.n)
+                starts, ends = bounds[:-1], bounds[1:]
                 wide = block.ids.astype("<u4")
                 each = [wide[a:b].tobytes() for a, b in zip(starts, ends)]
                 columns = [pa.array(doc_ids.as_py(), pa.int64()), pa.array(starts + first.as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64())]

@@ -15,7 +15,7 @@ TEXTS = [
     "", None, "   \n\t ", "one", "two words", "a b c a b c a b c",
     "Licensed under the Apache License, Version 2.0.\nReleased under the MIT license. cc by-nc cc by nc",
     "ip 10.0.0.1 and 300.1.1.1 card 4111 1111 1111 1111 and 4111 1111 1111 1112",
-    "word " * 3000, "x" * 5000, "日本語 テキスト　です été d'or\r\n\r\nfin",
+    "word " * 3000, "x" * 5000, "a <|endoftext|> b<|endoftext|>", "日本語 テキスト　です été d'or\r\n\r\nfin",
 ]
 
 
@@ -35,10 +35,18 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def ids_of(text, end):
-    from orbis.llm.tokens import encoder
+def plain_tokenizer(made=[]):
+    """The library's tokenizer as its file says."""
+    if not made:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        made.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return made[0]
 
-    return encoder(None).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+
+def ids_of(text, end):
+    return plain_tokenizer().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -53,23 +61,32 @@ def order(rows):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\t\r.,'ab1éñ\x1c　!|<>s日́", max_size=40))
+@given(st.lists(st.sampled_from([*" \n\t\r.,'ab1éñ\x1c　!|<>s日́_#", "<|endoftext|>", "word", "'s"]), max_size=40).map("".join))
 def test_pieces_encode_like_whole_texts(text):
     from orbis.llm.tokens import encoder
 
     enc = encoder(None)
-    assert list(np.frombuffer(enc.encode(text), enc.dtype)) == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(enc.encode(text), enc.dtype)) == plain_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_texts():
+    from orbis.llm.tokens import encoder
+
+    enc = encoder(None)
+    assert list(np.frombuffer(enc.encode("a <|endoftext|> b"), enc.dtype)) == [64, 220, 50256, 275]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=200))
 def test_elias_fano_round_trip_and_select(gaps):
-    from orbis.llm.tokens import ef_decode, ef_encode, ef_select
+    from orbis.llm.tokens import ef_encode, ef_select
 
     ends = np.cumsum(gaps)
     low, upper, lower, samples = ef_encode(ends)
-    assert (ef_decode(len(ends), low, upper, lower) == ends).all()
-    assert [ef_select(i, low, upper, lower, samples) for i in range(len(ends))] == ends.tolist()
+    every = np.arange(len(ends))
+    assert (ef_select(every, low, upper, lower, samples) == ends).all()
+    for i in ([0], [len(ends) - 1], every[::-7], every[len(ends) // 2 :]):
+        assert (ef_select(np.array(i), low, upper, lower, samples) == ends[i]).all()
     # Near-minimal: about 2 + log2(universe / n) bits a value, besides the samples.
     assert 8 * (len(upper) + len(lower)) <= len(ends) * (3 + max(0, np.log2(max(1, ends[-1] / len(ends))))) + 24
 
