@@ -1,20 +1,24 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-One tree over all 64 bits can't be sharded: distances to a vantage point crowd around 32, so a
-ball of radius 3 meets both sides of nearly every split. So there are four trees, one on each
-quarter of the bits. Of at most 3 differing bits one quarter has none: in that quarter's tree the
-search radius is 0, the triangle bound |d(x,v) - d(y,v)| <= 0 leaves one ring at every vantage
-point, and each fingerprint is routed to exactly one shard of each tree, found from its ring
-numbers alone. In a shard a 64-bit vantage-point tree with radius 3 finds the exact pairs; there
-both sides of a split meet only in the bands of width 3 along the boundary.
-
-Shards above ``leaf`` rows are split again by four trees on the bits that the shard does not fix
-(the same argument holds), three times at most; what is still larger consists of fingerprints
-that agree nearly everywhere, and is dealt as pairs of tiles. No rows are dropped anywhere.
+Shards are the branches of vantage-point trees. A branch splits at a distance t from its vantage
+point v: fingerprints with d(x, v) <= t are at home in the inner part, the others in the outer. By
+the triangle bound a fingerprint with d(x, v) > t + r has no neighbour within r in the inner part, and one
+with d(x, v) <= t - r none in the outer; those in between lie along the boundary, and are sent to both sides:
+at home in one, a visitor in the other. On all 64 bits distances crowd around 32, and a ball of radius 3
+meets both sides of nearly every split, so there are two trees, one on each half of the bits: of at most 3
+differing bits one half has at most 1, so the radius there is 1, and about a quarter of the rows visit the other side of
+a split at the median. All branches of a level share a vantage point, so a row's shards follow from its
+distances alone. In a shard a 64-bit vantage-point tree of the rows at home is asked with radius 3 for all rows
+there, visitors too: each pair is found where one of it is at home.
+
+Shards with too many rows at home get further levels, three times at most; what is still larger consists of
+fingerprints that agree nearly everywhere, and its homes are dealt to tiles, each of which all rows of the shard visit. No
+rows are dropped anywhere.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbis.llm.names import unused
 from orbis.session import materialize
 
 RADIUS = 3
 LEAF = 2048
-VANTAGE_POINTS = 8
+BUCKET = 64
 
 
 def fingerprint_of(text: str, words: int = 3) -> int:
@@ -65,41 +70,24 @@ def keyed(docs: DataFrame) -> DataFrame:
 # --- Exact pairs in a shard -------------------------------------------------------------------
 
 
-def _cross(a: np.ndarray, b: np.ndarray, fp: np.ndarray, out: list) -> None:
-    for k in range(0, len(a), 512):
-        part = a[k : k + 512]
-        i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[b][None, :]) <= RADIUS)
-        if len(i):
-            out.append((part[i], b[j]))
-
-
-def vp_pairs(at: np.ndarray, fp: np.ndarray, out: list) -> None:
-    """All pairs of rows ``at`` within RADIUS, by a vantage-point tree."""
-    if len(at) <= 96:
-        i, j = np.nonzero(np.triu(np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]) <= RADIUS, 1))
-        if len(i):
-            out.append((at[i], at[j]))
+def vp_pairs(own: np.ndarray, asked: np.ndarray, fp: np.ndarray, out: list) -> None:
+    """Pairs of rows ``asked`` and rows ``own`` within RADIUS, by a vantage-point tree of the latter with buckets of BUCKET rows."""
+    if not len(own) or not len(asked):
         return
-    d = np.bitwise_count(fp[at] ^ fp[at[0]]).astype(np.int64)
-    split = np.partition(d, len(d) // 2)[len(d) // 2]
-    if split == d.max():
-        split -= 1
-    inner, outer = d <= split, d > split
-    if not inner.any() or not outer.any():  # all at one distance
-        for k in range(0, len(at), 512):
-            vp_brute(at, k, fp, out)
+    d = np.bitwise_count(fp[own] ^ fp[own[0]])
+    split = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+    if len(own) <= BUCKET or split == d.max():  # a bucket, or most at one distance: no split parts them
+        for k in range(0, len(asked), 1024):
+            part = asked[k : k + 1024]
+            for m in range(0, len(own), 1024):
+                i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[own[m : m + 1024]][None, :]) <= RADIUS)
+                keep = part[i] != own[m + j]
+                if keep.any():
+                    out.append((part[i[keep]], own[m + j[keep]]))
         return
-    vp_pairs(at[inner], fp, out)
-    vp_pairs(at[outer], fp, out)
-    _cross(at[inner & (d > split - RADIUS)], at[outer & (d <= split + RADIUS)], fp, out)
-
-
-def vp_brute(at: np.ndarray, k: int, fp: np.ndarray, out: list) -> None:
-    part = at[k : k + 512]
-    i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[at[k:]][None, :]) <= RADIUS)
-    keep = i < j
-    if keep.any():
-        out.append((part[i[keep]], at[k:][j[keep]]))
+    to = np.bitwise_count(fp[asked] ^ fp[own[0]]).astype(int)
+    vp_pairs(own[d <= split], asked[to <= split + RADIUS], fp, out)
+    vp_pairs(own[d > split], asked[to > split - RADIUS], fp, out)
 
 
 def forest(n: int, pairs: list) -> np.ndarray:
@@ -119,48 +107,30 @@ def forest(n: int, pairs: list) -> np.ndarray:
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each run of equal keys: (shard, tiles, side, fp) rows sorted by shard and tiles."""
-
-    def links(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs: list = []
-        if side[0] == side[-1] == 0:
-            vp_pairs(np.arange(len(fp)), fp, pairs)
-        else:
-            _cross(np.flatnonzero(side == 1), np.flatnonzero(side == 2), fp, pairs)
-        root = forest(len(fp), pairs)
-        kept = np.flatnonzero(root != np.arange(len(fp)))
-        return fp[root[kept]], fp[kept]
-
-    held: list[pa.RecordBatch] = []
+    """Spanning links of each run of equal keys: (key, home, fp) rows sorted by key."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        shard, tiles, side, fp = (table.column(k).to_numpy() for k in range(4))
-        fp = fp.astype(np.int64).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (tiles[1:] != tiles[:-1])]))
-        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
-        found = []
-        # Small shards at once: compare each row with the one d places on, while that is in the shard.
-        last = np.repeat(starts + sizes, sizes)
-        small = np.repeat((sizes <= 32) & (side[starts] == 0), sizes)
-        rows = np.flatnonzero(small)
-        for d in range(1, 32):
-            rows = rows[rows + d < last[rows]]
-            if not len(rows):
-                break
-            hit = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]) <= RADIUS]
-            found.append((fp[hit], fp[hit + d]))
-        for s, n in zip(starts[~((sizes <= 32) & (side[starts] == 0))], sizes[~((sizes <= 32) & (side[starts] == 0))]):
-            found.append(links(side[s : s + n], fp[s : s + n]))
+        key, home, fp = table.column(0).to_numpy(), table.column(1).to_numpy().astype(bool), table.column(2).to_numpy().astype(np.int64).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        found: list = []
+        for s, e in zip(starts, [*starts[1:], len(fp)]):
+            pairs: list = []
+            vp_pairs(s + np.flatnonzero(home[s:e]), np.arange(s, e), fp, pairs)
+            if pairs:
+                root = s + forest(e - s, [(a - s, b - s) for a, b in pairs])
+                kept = np.flatnonzero(root != np.arange(s, e))
+                found.append((fp[root[kept]], fp[s + kept]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows < 50_000:
+        if sum(b.num_rows for b in held) < 50_000:
             continue
-        shard, tiles = table.column(0).to_numpy(), table.column(1).to_numpy()
-        cut = int(np.flatnonzero((shard == shard[-1]) & (tiles == tiles[-1]))[0])  # the last run may go on
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(0).to_numpy()
+        cut = int(np.flatnonzero(key == key[-1])[0])  # the last run may go on
         if cut:
             yield flush(table.slice(0, cut))
         held = table.slice(cut).to_batches()
@@ -171,55 +141,69 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- Routing ----------------------------------------------------------------------------------
 
 
-def vantage_points(bits: int) -> list[int]:
-    """Fixed, evenly mixed points: multiples of an odd constant near 2^64 / golden ratio."""
-    return [0] + [(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits) for k in range(1, VANTAGE_POINTS)]
+def vantage_points(first: int, n: int) -> list[int]:
+    """Fixed, evenly mixed points of 32 bits: multiples of an odd constant near 2^64 / golden ratio."""
+    return [(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32 for k in range(first + 1, first + n + 1)]
+
 
+def half(tree: int) -> Column:
+    return F.shiftrightunsigned("fp", 32) if tree == 0 else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
 
-def _routes(rows: DataFrame, width: int) -> DataFrame:
-    """Four rows for each: the shard in the tree of each quarter of code's ``width`` bits, and the other bits."""
-    part = width // 4
 
-    def turned(r: int) -> Column:
-        if r == 0:
-            return F.col("code")
-        x = F.shiftleft("code", r).bitwiseOR(F.shiftrightunsigned("code", width - r))
-        return x if width == 64 else x.bitwiseAND(F.lit((1 << width) - 1))
+def levels_for(rows: DataFrame, first: int, n: int) -> list[list[tuple[int, int]]]:
+    """For each tree, the vantage point of each level and the median of the rows' distances to it."""
+    points = vantage_points(first, n)
+    medians = [F.percentile_approx(F.when(F.col("tree") == t, F.bit_count(half(t).bitwiseXOR(F.lit(v)))), 0.5) for t in (0, 1) for v in points]
+    found = rows.filter("home").agg(*[m.alias(f"m{k}") for k, m in enumerate(medians)]).first()
+    return [[(v, 16 if found[t * n + k] is None else int(found[t * n + k])) for k, v in enumerate(points)] for t in (0, 1)]
 
-    def route(q: int) -> Column:
-        x = turned(part * q)
-        own = F.shiftrightunsigned(x, width - part)
-        rings = [F.bit_count(own.bitwiseXOR(F.lit(v).cast("long"))) for v in vantage_points(part)]
-        return F.struct(F.xxhash64("shard", F.lit(q), *rings).alias("shard"), x.bitwiseAND(F.lit((1 << (width - part)) - 1)).alias("code"))
 
-    routed = rows.select("fp", F.explode(F.array(*[route(q) for q in range(4)])).alias("r"))
-    return routed.select("fp", "r.shard", "r.code")
+def routed(rows: DataFrame, levels: list[list[tuple[int, int]]]) -> DataFrame:
+    """Each row (tree, shard, home, fp) in the shards below its own that its ball of radius 1 meets; at home, if it was, in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 5000):
+                b = whole.slice(k, 5000)
+                tree, shard, home, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+                code = np.where(tree == 0, fp.view(np.uint64) >> np.uint64(32), fp.view(np.uint64) & np.uint64(0xFFFFFFFF))
+                row, home = np.arange(len(fp)), home.astype(bool)
+                for level in range(len(levels[0])):
+                    v, t = (np.array([own[level][x] for own in levels], np.uint64)[tree] for x in (0, 1))
+                    d, t = np.bitwise_count(code ^ v).astype(int)[row], t.astype(int)[row]
+                    inner, outer = d <= t + 1, d >= t
+                    shard, home = np.concatenate([2 * shard[inner], 2 * shard[outer] + 1]), np.concatenate([(home & (d <= t))[inner], (home & (d > t))[outer]])
+                    row = np.concatenate([row[inner], row[outer]])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[row], pa.int32()), pa.array(shard, pa.int64()), pa.array(home), pa.array(fp[row], pa.int64())], names=["tree", "shard", "home", "fp"])
+
+    return rows.select("tree", "shard", "home", "fp").mapInArrow(run, "tree int, shard long, home boolean, fp long")
 
 
 def links(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints fp that differ in at most RADIUS bits."""
-    rows = fps.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("code"))
-    found = None
-    for width in (64, 48, 36):
-        rows = _routes(rows, width)
-        large = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > leaf), "large-shards")
-        if large.isEmpty():
+    rows = fps.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("tree"), F.lit(1).cast("long").alias("shard"), F.lit(True).alias("home"), "fp")
+    most, first, found = fps.count(), 0, None
+    keyed = lambda x, *tile: x.select(F.xxhash64("tree", "shard", *tile).alias("key"), "home", "fp")
+    for _ in range(3):
+        if most > leaf:
+            n = max(1, math.ceil(math.log2(most / leaf)))
+            rows, first = materialize(routed(rows, levels_for(rows, first, n)), "routed"), first + n
+        sizes = rows.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("int")).alias("n")).filter(F.col("n") > 4 * leaf)
+        large = materialize(sizes, "large-shards")
+        most = large.agg(F.max("n")).first()[0]
+        if most is None:
             some, rows = rows, None
         else:
-            rows = materialize(rows.join(large, "shard", "left"), "routed")
+            rows = materialize(rows.join(large, ["tree", "shard"], "left"), "with-sizes")
             some, rows = rows.filter("n is null"), rows.filter("n is not null")
-        some = some.select("shard", F.lit(0).cast("long").alias("tiles"), F.lit(0).alias("side"), "fp")
-        found = some if found is None else found.unionByName(some)
+        found = keyed(some) if found is None else found.unionByName(keyed(some))
         if rows is None:
             break
     if rows is not None:
         k = F.ceil(F.col("n") / leaf).cast("int")
-        tile = F.pmod(F.xxhash64("fp"), k).cast("int")
-        pairs = rows.select("shard", "fp", tile.alias("t"), F.explode(F.sequence(F.lit(0), k - 1)).alias("u"))
-        lo, hi = F.least("t", "u"), F.greatest("t", "u")
-        side = F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2)
-        found = found.unionByName(pairs.select("shard", (lo * F.lit(1 << 31).cast("long") + hi + 1).alias("tiles"), side.alias("side"), "fp"))
-    dealt = found.repartition("shard", "tiles").sortWithinPartitions("shard", "tiles")
+        tiles = rows.select("tree", "shard", "home", "fp", F.pmod(F.xxhash64("fp"), k).alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("tile"))
+        found = found.unionByName(keyed(tiles.withColumn("home", F.col("home") & (F.col("own") == F.col("tile"))), F.col("tile") + 1))
+    dealt = found.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_shard_links, "a long, b long").distinct()
 
 
@@ -281,8 +265,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, leaf: int = LEAF) -> DataFr
 
 
 def deduplicate(docs: DataFrame, words: int = 3, leaf: int = LEAF) -> DataFrame:
-    """One row of docs from each component, with all its columns."""
-    kept = near_duplicates(docs, words, leaf).filter("keep").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
-    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_own_hash") == F.col("_keep_hash"))
-    return own.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_own_hash"]).drop("_own_hash")
+    """One row of docs from each component, with all its columns: the first in order of doc_id (nulls first) and text hash.
+
+    Of rows that agree in both, the one with the smallest hash of all columns stays. Null texts
+    count as empty; an empty table gives no rows. Columns may have any names.
+    """
+    own, keep_id, keep_hash, row = unused(docs.columns, "own_hash", "keep_id", "keep_hash", "row")
+    kept = near_duplicates(docs, words, leaf).filter("keep").select(F.col("doc_id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_hash))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "variant") else F.to_json(f"`{f.name}`") for f in docs.schema])
+    first = hashed.join(kept, match, "left_semi").groupBy("doc_id", own).agg(F.min_by(F.struct(*columns), whole).alias(row))
+    return first.select(*[F.col(row)[c].alias(c) for c in docs.columns])

@@ -386,8 +386,17 @@ def test_vantage_trees_lose_no_link(spark, leaf):
     got = [root.get(int(x), int(x)) for x in fp.view(np.int64)]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
     pairs: list = []
-    simhash.vp_pairs(np.arange(len(fp)), fp, pairs)
-    assert sum(len(p[0]) for p in pairs) == (len(i) - len(fp)) // 2
+    simhash.vp_pairs(np.arange(len(fp)), np.arange(len(fp)), fp, pairs)
+    assert sum(len(p[0]) for p in pairs) == len(i) - len(fp)
+    # Every row is at home in one branch of each tree; all pairs meet where one of them is; branches are pruned.
+    trees = rows.selectExpr("explode(array(0, 1)) tree", "1L shard", "true home", "fp")
+    branches = defaultdict(set)
+    for r in simhash.routed(trees, simhash.levels_for(trees, 0, 6)).collect():
+        branches[r["tree"], r["shard"]].add((r["fp"], r["home"]))
+    sent = [x for rs in branches.values() for x in rs]
+    assert len({k for k in branches}) > 40 and sum(h for _, h in sent) == 2 * len(fp) < len(sent) < 2 * len(fp) * 64 // 4
+    met = {frozenset((a, b)) for rs in branches.values() for a, h in rs if h for b, _ in rs if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert len(met) == (len(i) - len(fp)) // 2
 
 
 # --- Neighbours -------------------------------------------------------------------------------
