@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 DECAY = 0.7
 GAP = 3
 SHARPEN = (3, 10)
-LEAST = 0.2
+LEAST = 0.3
 LONGEST = 24
 STRETCH = 50
 FOLDS = 3
@@ -49,11 +49,11 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
 
 #: A worker's store of shares, kept from task to task of one model.
-_SHARES: dict[int, dict[str, float]] = {}
+_SHARES: dict[int, tuple[dict[str, float], dict[str, float]]] = {}
 
 
-def sentences_of(text: str) -> Iterator[set[str]]:
-    """The segments of each sentence, lower-cased: words, pairs of fragments of at most four characters, and letters spelled out one by one.
+def sentences_of(text: str, usual: frozenset[str] = frozenset()) -> Iterator[set[str]]:
+    """The segments of each sentence, lower-cased: words, pairs of fragments of at most four characters that aren't both usual words, and letters spelled out one by one.
 
     Sentences end at line ends and at marks before white space; one of more than STRETCH words is cut into stretches.
     """
@@ -63,7 +63,7 @@ def sentences_of(text: str) -> Iterator[set[str]]:
             part = words[k : k + STRETCH]
             own = set(part)
             if len(part) > 1:
-                own.update([f"{x} {y}" for x, y in zip(part, part[1:]) if len(x) < 5 and len(y) < 5])
+                own.update([f"{x} {y}" for x, y in zip(part, part[1:]) if len(x) < 5 and len(y) < 5 and not (x in usual and y in usual)])
                 if min(map(len, part)) == 1:
                     own.update(m[0].replace(" ", "") for m in _SPELLED.finditer(" ".join(part)))
             yield own
@@ -91,13 +91,13 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def triples(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, triple and value of the normalised feature vectors of tokens (of at most LONGEST characters, so that the table stays narrow)."""
-    width = max([3, *map(len, tokens)])
-    raw = np.zeros((len(tokens), width), np.int64)
-    for k, t in enumerate(tokens):
-        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        raw[k, : len(points)] = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 27 + points % 5)
+def occurrences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, triple and value of each place of a subsequence in tokens (of at most LONGEST characters, so that the table stays narrow)."""
+    size = np.array([len(t) for t in tokens])
+    width = max(3, int(size.max(initial=0)))
+    raw = np.zeros((len(tokens), width), np.int32)
+    points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw[np.arange(width)[None, :] < size[:, None]] = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 27 + points % 5)
     rows, keys, values = [], [], []
     for d in range(1, GAP + 1):
         for e in range(1, GAP + 1):
@@ -110,8 +110,14 @@ def triples(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             values.append(np.full(len(at[0]), DECAY ** (d + e - 2)))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    both, where = np.unique(np.concatenate(rows) * SIZE + np.concatenate(keys), return_inverse=True)
-    value = np.bincount(where, np.concatenate(values))
+    return np.concatenate(rows), np.concatenate(keys).astype(np.int64), np.concatenate(values)
+
+
+def triples(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, triple and value of the normalised feature vectors of tokens."""
+    row, key, value = occurrences(tokens)
+    both, where = np.unique(row * SIZE + key, return_inverse=True)
+    value = np.bincount(where, value, len(both))
     row, key = both // SIZE, both % SIZE
     norm = np.sqrt(np.bincount(row, value**2, len(tokens)))
     return row, key, value / norm[row]
@@ -150,12 +156,22 @@ class Landmarks:
 
     def near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token, landmark and kernel value of the pairs from LEAST on, in the order of tokens."""
-        row, key, value = triples(tokens)
+        row, key, value = occurrences(tokens)
+        # A vector is at least as long as if its repeated triples were apart: few tokens need the exact length.
+        bound = np.sqrt(np.bincount(row, value**2, len(tokens)))
+        some = self.counts[key] > 0
+        row, key, value = row[some], key[some], value[some]
         n = self.counts[key]
         at = np.repeat(self.starts[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
         sums = np.bincount(np.repeat(row, n) * self.n + self.column[at], np.repeat(value, n) * self.value[at], len(tokens) * self.n)
-        hit = np.flatnonzero(sums >= LEAST)
-        return hit // self.n, hit % self.n, sums[hit]
+        hit = np.flatnonzero(sums.reshape(len(tokens), self.n) >= LEAST * np.maximum(bound, 1e-9)[:, None])
+        row, which = np.unique(hit // self.n, return_inverse=True)
+        own, key, value = occurrences([tokens[k] for k in row])
+        both, where = np.unique(own * SIZE + key, return_inverse=True)
+        norm = np.sqrt(np.bincount(both // SIZE, np.bincount(where, value, len(both)) ** 2, len(row)))
+        exact = sums[hit] / norm[which]
+        keep = exact >= LEAST
+        return (hit // self.n)[keep], (hit % self.n)[keep], exact[keep]
 
     def kernel(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segment, column and value: for each power a column a landmark; the values of a long segment's windows stand one by one."""
@@ -174,24 +190,32 @@ class Model:
     bias: float
     a: float = 1.0
     b: float = 0.0
+    usual: frozenset[str] = frozenset()
     cache: dict[str, float] = field(default_factory=dict, repr=False)
+    older: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "older": {}}
 
     def shares(self, segments: list[str]) -> np.ndarray:
         out = np.zeros(len(segments))
-        for k in range(0, len(segments), 4000):
-            part = segments[k : k + 4000]
-            row, column, value = self.landmarks.kernel(part)
-            out[k : k + len(part)] = np.bincount(row, value * self.beta[column], len(part))
+        by = sorted(range(len(segments)), key=lambda k: len(segments[k]))  # tables of one width
+        for k in range(0, len(by), 4000):
+            part = by[k : k + 4000]
+            row, column, value = self.landmarks.kernel([segments[x] for x in part])
+            out[part] = np.bincount(row, value * self.beta[column], len(part))
         return out
 
-    def learn(self, segments: Iterable[str], most: int = 400_000) -> None:
-        """Keep the shares of these segments; the store is emptied once it has ``most``."""
+    def learn(self, segments: Iterable[str], most: int = 250_000) -> None:
+        """Keep the shares of these segments. Once the store has ``most`` it begins a new generation, and keeps one older."""
         if len(self.cache) > most:
+            self.older.clear()
+            self.older.update(self.cache)
             self.cache.clear()
-        missing = {w: bare(w) for w in set(segments).difference(self.cache)}
+        fresh = set(segments).difference(self.cache)
+        known = fresh.intersection(self.older)
+        self.cache.update(zip(known, map(self.older.__getitem__, known)))
+        missing = {w: bare(w) for w in fresh - known}
         words = list(set(missing.values()).difference(self.cache))
         self.cache.update(zip(words, self.shares(words).tolist()))
         self.cache.update([(w, self.cache[b]) for w, b in missing.items()])
@@ -204,7 +228,7 @@ class Model:
             while k + n < len(texts) and (not n or chars + len(texts[k + n]) < 2_000_000):
                 chars += len(texts[k + n])
                 n += 1
-            own = [list(sentences_of(t)) for t in texts[k : k + n]]
+            own = [list(sentences_of(t, self.usual)) for t in texts[k : k + n]]
             self.learn(set().union(*(s for ss in own for s in ss)))
             share = self.cache.__getitem__
             out[k : k + n] = [max([sum(map(share, s)) for s in ss], default=0.0) + self.bias for ss in own]
@@ -232,7 +256,7 @@ def disguised(word: str, rng: np.random.Generator) -> str:
 Rows = tuple[np.ndarray, np.ndarray, float, float]
 
 
-def svm(parts: list[Rows], w: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+def svm(parts: list[Rows], w: np.ndarray, ridge: float = 1.0, steps: int = 15) -> np.ndarray:
     """Squared-hinge machine by Newton steps from w on the rows inside the margin.
 
     Each part has features (the last one is 1), the rows of them that count, their label and the weight of each.
@@ -246,7 +270,7 @@ def svm(parts: list[Rows], w: np.ndarray, ridge: float = 1.0, steps: int = 40) -
                 gram += c * (a.T @ a)
                 target += c * y * a.sum(0)
         new = np.linalg.solve(gram, target)
-        if np.abs(new - w).max() < 1e-4:
+        if np.abs(new - w).max() < 1e-3:
             break
         w = new
     return w
@@ -256,9 +280,17 @@ Sentence = Sequence[str]
 Document = list[Sentence]
 
 
-def document(text: str) -> Document:
+def document(text: str, usual: frozenset[str] = frozenset()) -> Document:
     """The sentences of a training text; equal segments share one string."""
-    return [tuple(map(sys.intern, sorted(s))) for s in sentences_of(text)]
+    return [tuple(map(sys.intern, sorted(s))) for s in sentences_of(text, usual)]
+
+
+def usual_words(texts: Iterable[str]) -> frozenset[str]:
+    """Words of at most four characters that stand in one of fifty texts at least."""
+    seen, n = Counter(), 0
+    for n, t in enumerate(texts, 1):
+        seen.update({w for w in t.lower().split() if len(w) < 5})
+    return frozenset(w for w, k in seen.items() if 50 * k >= n)
 
 
 def distinct_documents(docs: list[Document]) -> list[Document]:
@@ -284,7 +316,7 @@ def telling(toxic: list[Document], clean: list[Document]) -> tuple[dict[str, flo
 class Sentences:
     """The sentences of a sample in the landmarks' feature space, and machines fitted on a part of its documents."""
 
-    def __init__(self, toxic: list[Document], clean: list[Document], landmarks: int, seed: int):
+    def __init__(self, toxic: list[Document], clean: list[Document], landmarks: int, negatives: int, seed: int):
         self.rng = np.random.default_rng(seed)
         self.ratio, often = telling(toxic, clean)
         common = sorted({bare(w) for d in clean for s in d for w in s} - set(often))
@@ -307,7 +339,13 @@ class Sentences:
         self.bad = [s for d in toxic for s in d]
         self.home = np.repeat(np.arange(len(toxic)), [len(d) for d in toxic])
         self.home_good = np.repeat(np.arange(len(clean)), [len(d) for d in clean])
-        self.x_bad, self.x_good = self.mapped(self.bad), self.mapped([s for d in clean for s in d])
+        good = [s for d in clean for s in d]
+        self.x_bad, self.x_good = self.mapped(self.bad), self.mapped(good)
+        # The clean sentences fitted on: half of them those that look worst, the others any.
+        looks = np.array([max([self.ratio.get(bare(w), -9.0) for w in s], default=-9.0) for s in good])
+        worst = np.argsort(-looks, kind="stable")[: negatives // 2]
+        others = np.setdiff1d(np.arange(len(good)), worst)
+        self.fitted = np.sort(np.concatenate([worst, self.rng.permutation(others)[: negatives - len(worst)]]))
 
     def mapped(self, sentences: list[Sentence]) -> np.ndarray:
         """Nystroem features of sentences, and a one. The kernel values of each distinct segment are computed once."""
@@ -326,7 +364,7 @@ class Sentences:
 
     def machine(self, own_toxic: np.ndarray, own_clean: np.ndarray, rounds: int) -> np.ndarray:
         """Weights, the bias last, from the documents that the two masks name."""
-        own, good = np.flatnonzero(own_toxic[self.home]), np.flatnonzero(own_clean[self.home_good])
+        own, good = np.flatnonzero(own_toxic[self.home]), self.fitted[own_clean[self.home_good[self.fitted]]]
         home = self.home[own]
         margin = np.array([max([self.ratio.get(bare(w), 0.0) for w in self.bad[k]], default=0.0) for k in own])
         w = np.zeros(self.x_good.shape[1])
@@ -354,15 +392,19 @@ class Sentences:
         return Model(self.marks, self.root @ w[:-1], float(w[-1]))
 
 
-def fit(toxic: list[Document], clean: list[Document], *, odds: float | None = None, landmarks: int = 256, rounds: int = 3, seed: int = 11) -> Model:
-    """A calibrated model from toxic and clean documents; ``odds``: how many clean ones there are for a toxic one, if not as given."""
-    odds = odds or len(clean) / max(1, len(toxic))
-    toxic, clean = distinct_documents([d for d in toxic if d]), distinct_documents([d for d in clean if d])
+def fit(bad: list[str], good: list[str], *, odds: float | None = None, landmarks: int = 256, negatives: int = 12_000, rounds: int = 3, seed: int = 11) -> Model:
+    """A calibrated model from toxic and clean texts; ``odds``: how many clean ones there are for a toxic one, if not as given.
+
+    At most ``negatives`` of the clean sentences are fitted on; all of them count in the calibration.
+    """
+    odds = odds or len(good) / max(1, len(bad))
+    usual = usual_words(good)
+    toxic, clean = (distinct_documents([d for d in (document(t, usual) for t in texts) if d]) for texts in (bad, good))
     if not toxic or not clean:
         # Nothing tells the classes apart: the score is the rate of toxic documents.
         rate = (len(toxic) + 0.5) / (len(toxic) * (1 + odds) + 1) if toxic else 0.5 / (len(clean) + 1)
         return Model(Landmarks.of(["none"]), np.zeros(len(SHARPEN)), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    data = Sentences(toxic, clean, landmarks, seed)
+    data = Sentences(toxic, clean, landmarks, negatives, seed)
     folds = min(FOLDS, len(toxic), len(clean))
     fold_of = np.arange(len(toxic)) % folds, np.arange(len(clean)) % folds
     top = np.full(len(toxic), -np.inf), np.full(len(clean), -np.inf)
@@ -374,6 +416,7 @@ def fit(toxic: list[Document], clean: list[Document], *, odds: float | None = No
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     weight = np.where(y > 0, 1.0, odds * len(toxic) / len(clean))
     model = data.model(data.machine(*(np.ones(len(f), bool) for f in fold_of), rounds))
+    model.usual = usual
     model.a, model.b = platt(np.tanh(np.concatenate(top)), y, weight)
     return model
 
@@ -393,12 +436,12 @@ def platt(top: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, fl
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 1000) -> Model:
     """A model from labelled documents whose crc32(doc_id as text) mod 5 isn't 0.
 
     ``most`` bounds the sample: at most so many toxic and so many clean doc_ids, in the order of a hash of the doc_id,
-    with their distinct texts, the first 4 of a doc_id that repeats. Of contradicting labels toxic counts. Their whole
-    texts are cut into sentences on the executors and fitted on the driver.
+    with their distinct texts, the first 4 of a doc_id that repeats. Of contradicting labels toxic counts. Their
+    texts come to the driver whole.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     marked = marked.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
@@ -410,7 +453,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 1500) -> Model:
     first = each.withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("h"))).filter("r <= 4")
     own: tuple[list, list] = ([], [])
     for row in first.orderBy("_id", "h").toLocalIterator():
-        own[row["_toxic"] == 1].append(document(row["text"]))
+        own[row["_toxic"] == 1].append(row["text"])
     return fit(own[1], own[0], odds=count.get(False, 0) / max(1, count.get(True, 0)) or None)
 
 
@@ -426,7 +469,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _SHARES:
             _SHARES.clear()
-        model.cache = _SHARES.setdefault(number, model.cache)
+        model.cache, model.older = _SHARES.setdefault(number, (model.cache, model.older))
         for b in batches:
             tops = [np.zeros(0)]
             for k in range(0, b.num_rows, 1000):
