@@ -138,17 +138,20 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     last = F.col("pos") == F.greatest(F.size("w") - k + 1, F.lit(0))
     hits = hashed.join(F.broadcast(probes), "h").filter(same & (F.col("gram").isNotNull() | last))
     hits = hits.select("doc_id", "row", F.when(F.col("gram").isNull(), F.size("w")).alias("n"), "template", "label", "exact", "grams", "pos", "at")
-    diagonals = hits.groupBy("row", "doc_id", "template", "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n").alias("n"), F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_list("at").alias("places"))
+    diagonals = hits.groupBy("row", "doc_id", "template", "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_list("at").alias("places"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     # An exact phrase needs all votes on its own diagonal; other templates merge with the diagonal before.
     near = (~F.col("exact")) & (F.col("diagonal") - F.lag("diagonal").over(order) <= shift)
     marked = diagonals.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
-    merged = marked.groupBy("row", "doc_id", "template", "label", "exact", "grams", "cluster").agg(
-        F.max("n").alias("n"), F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), (F.max(F.col("diagonal") + F.col("hi")) + k).alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered")
+    # A run of neighbours is cut into bands of 4 * shift diagonals, so that repeated phrases can't chain without end.
+    band = F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("row", "template", "cluster"))) / (4 * shift))
+    merged = marked.withColumn("band", band).groupBy("row", "doc_id", "template", "label", "exact", "grams", "cluster", "band").agg(
+        F.max("n").alias("n"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), (F.max(F.col("diagonal") + F.col("hi")) + k).alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered")
     )
-    score = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    # Votes elect the diagonals; what counts in the end is how many positions of the template they cover, each once.
+    score = F.col("covered") / F.col("grams")
     # Short notices must stand whole: one word may name another license or version.
-    good = F.when(F.col("exact") | (F.col("grams") < 10), F.col("votes") >= F.col("grams")).otherwise(score >= least)
+    good = F.when(F.col("exact") | (F.col("grams") < 10), F.col("covered") >= F.col("grams")).otherwise(score >= least)
     span = F.when(F.col("template").isNotNull() & good, F.struct("label", "exact", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), score.alias("score")))
     part = F.when(~F.col("exact") & (F.col("grams") >= 10) & ~good, F.struct(*[F.col(c).cast("long").alias(c) for c in ("first", "end", "lo", "hi", "covered")]))
     each = merged.groupBy("row", "doc_id", "template", "label", "exact", "grams").agg(F.max("n").alias("n"), F.collect_list(span).alias("spans"), F.collect_list(part).alias("parts"))

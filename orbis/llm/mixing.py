@@ -99,45 +99,50 @@ def schedule(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return slots.select("b.phase", (F.col("chunk").cast("long") * CHUNK + F.col("k")).alias("slot"), F.get("names", F.col("b.i")).alias("source"), "b.nth", "b.left")
 
 
-def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows of docs, with all columns, and _source, _block, _slot, _phase and _in_block.
+def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, most_sources: int = 10_000) -> DataFrame:
+    """All rows of docs, as a struct ``row`` of their columns, whatever these are called, with source, block, in_block, slot and phase.
 
-    Ordering by (_slot, _in_block) gives the mix. Rows of block j of a source are its rows j *
+    Ordering by (slot, in_block) gives the mix. Rows of block j of a source are its rows j *
     block_rows and on in the order of a hash of doc_id and text; only a source's last block may be short.
     Target weights are ``weights``, where a source that isn't named gets the smallest, or else the
     sources' row counts to ``power``. Null sources count as the empty name. In the first phase
     all sources are at their target; no row is dropped, and none repeated, in any.
     A hot source is ranked in parallel: by counts of hash buckets of some thousand rows, then in each bucket.
+    Equal rows are ranked in any order; an empty table gives no rows. The schedule's state holds one entry a
+    source, so more than ``most_sources`` are refused.
     """
-    own = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    counts = materialize(own.groupBy("_source").agg(F.count("*").alias("n")), "sources")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    counts = materialize(own.groupBy("source").agg(F.count("*").alias("n")), "sources")
+    if (n := counts.count()) > most_sources:
+        raise ValueError(f"{n} sources, more than {most_sources}: name a column with fewer values, or raise most_sources")
     if weights:
         named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        weight = F.coalesce(F.get(F.array(named), F.lit(0))[F.col("_source")], F.lit(float(min(weights.values()))))
+        weight = F.coalesce(F.get(F.array(named), F.lit(0))[F.col("source")], F.lit(float(min(weights.values()))))
     else:
         weight = F.pow("n", F.lit(power))
-    places = materialize(schedule(counts.select(F.col("_source").alias("source"), "n", weight.alias("w")), block_rows), "places")
+    places = materialize(schedule(counts.select("source", "n", weight.alias("w")), block_rows), "places")
     return _placed(own, counts, places, block_rows)
 
 
 def _placed(own: DataFrame, counts: DataFrame, places: DataFrame, block_rows: int) -> DataFrame:
     # Buckets of about 2000 rows of a source, in the order of the hash's upper bits.
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / 2000)).cast("long")
-    bits = F.shiftrightunsigned("_hash", 33)
-    keyed = own.join(counts, "_source").withColumn("_bucket", F.floor(bits * buckets / F.lit(1 << 31)).cast("long")).drop("n")
-    sizes = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("_size"))
-    ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_source", "_bucket", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")) - 1
-    ranked = keyed.withColumn("_rank", rank).join(starts, ["_source", "_bucket"]).withColumn("_rank", F.col("_start") + F.col("_rank"))
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long")).withColumn("_in_block", (F.col("_rank") % block_rows).cast("int"))
+    bits = F.shiftrightunsigned("hash", 33)
+    keyed = own.join(F.broadcast(counts), "source").withColumn("bucket", F.floor(bits * buckets / F.lit(1 << 31)).cast("long")).drop("n")
+    sizes = keyed.groupBy("source", "bucket").agg(F.count("*").alias("size"))
+    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash", F.col("row")["doc_id"])) - 1
+    ranked = keyed.withColumn("rank", rank).join(starts, ["source", "bucket"]).withColumn("rank", F.col("start") + F.col("rank"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long")).withColumn("in_block", (F.col("rank") % block_rows).cast("int"))
     first = F.col("blocks") - F.col("left") + F.col("nth")
-    blocks = places.join(counts.select(F.col("_source").alias("source"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")), "source")
-    blocks = blocks.select(F.col("source").alias("_source"), first.alias("_block"), F.col("slot").alias("_slot"), F.col("phase").alias("_phase"))
-    return ranked.join(checked_broadcast(blocks, places.count()), ["_source", "_block"]).drop("_hash", "_bucket", "_start", "_rank")
+    blocks = places.join(counts.select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")), "source")
+    blocks = blocks.select("source", first.alias("block"), "slot", "phase")
+    return ranked.join(checked_broadcast(blocks, places.count()), ["source", "block"]).select("row", "source", "block", "in_block", "slot", "phase")
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with docs' columns, dealt and sorted in the order of the mix: files follow each other in it."""
     placed = mix(docs, **options)
-    return placed.repartitionByRange("_slot", "_in_block").sortWithinPartitions("_slot", "_in_block").select(*docs.columns)
+    sorted_rows = placed.repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block")
+    return sorted_rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -79,13 +79,34 @@ _CHAIN = re.compile(r"[(+]?[0-9](?:(?:[ ()./-]|\[\.\]|\(\.\)){0,3}[0-9])++")
 _LEFT = re.compile(r"([0-9]+)([^0-9A-Za-z]{1,4})$")
 _RIGHT = re.compile(r"([^0-9A-Za-z]{1,4})([0-9]+)")
 _AT = re.compile(r"@|[(\[{] ?at ?[)\]}]| at ", re.I)
-_BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[(\[{]?\b(?:dot|DOT)\b[)\]}]? ?[A-Za-z0-9_%+-]+)? ?$")
-_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]+(?:(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| dot | DOT |\.)[A-Za-z0-9-]+)+")
+_DOT_BEFORE = re.compile(r" ?[(\[{]? ?(?:dot|DOT) ?[)\]}]? ?$")
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]++(?:(?: ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| dot | DOT |\.)[A-Za-z0-9-]++)++")
 #: Words beside a span that speak for or against each kind.
 FOR = {"email": ("mail", "contact", "write", "reach", "address", "correo"), "ip": ("ip", "server", "host", "address", "login"), "card": ("card", "visa", "credit", "pay", "karte", "carte"), "phone": ("call", "phone", "tel", "mobile", "fax", "cell", "contact", "whatsapp")}
 AGAINST = ("order", "invoice", "version", "isbn", "page", "date", "serial", "ticket", "chapter", "section", "build", "commit", "hash", "ratio", "total", "year", "release")
 
 
+def local_part(text: str, at: int) -> int | None:
+    """Where the local part of a spelled-out address begins that ends at ``at``, a blank left out: a word, or two with a dot in letters between."""
+
+    def word(end: int) -> int:
+        start = end
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < end and not text[start].isalnum():
+            start += 1
+        return start
+
+    end = at - (at > 0 and text[at - 1] == " ")
+    start = word(end)
+    if start == end:
+        return None
+    dot = _DOT_BEFORE.search(text, max(0, start - 8), start)
+    if dot and (first := word(dot.start())) < dot.start():
+        return first
+    return start
+
+
 def candidates(text: str, taken: Taken | None = None) -> Iterator[Span]:
     if _DIGIT.search(text):
         for m in _CHAIN.finditer(text):
@@ -95,7 +116,7 @@ def candidates(text: str, taken: Taken | None = None) -> Iterator[Span]:
                 for j in range(i, len(groups)):
                     e = groups[j][1]
                     n += e - groups[j][0]
-                    if n > 19 or e - lead > 48 or taken and not taken.free(s, e):
+                    if n > 19 or taken and not taken.free(s, e):
                         break
                     if 7 <= n <= 15:
                         yield "phone", lead, e
@@ -104,10 +125,10 @@ def candidates(text: str, taken: Taken | None = None) -> Iterator[Span]:
                     if j - i == 3 and n <= 12:
                         yield "ip", s, e
     for m in _AT.finditer(text):
-        left = _BEFORE_AT.search(text, max(0, m.start() - 72), m.start())
-        right = _AFTER_AT.match(text, m.end(), m.end() + 120)
-        if left and right:
-            yield "email", left.start(), right.end()
+        right = _AFTER_AT.match(text, m.end())
+        left = local_part(text, m.start()) if right else None
+        if left is not None:
+            yield "email", left, right.end()
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:

@@ -37,8 +37,7 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.mixing import mix
 
-    found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_in_block").alias("in_block"), F.col("_slot").alias("slot"), F.col("_phase").alias("phase"))
+    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "source", "block", "in_block", "slot", "phase")
 
 
 def op5_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return found.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in counts], F.col("_kept").alias("kept"))
+    return found.select("row.doc_id", *[F.col(f"q.{c}").alias(c) for c in counts], "kept")
 
 
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,16 +210,30 @@ def test_pfair_deviation_and_wholeness(spark):
 
 
 def test_mix(spark, docs, empty):
+    from pyspark.sql.functions import lit
+
     from orbis.llm.mixing import mix, mixed_order
 
     got = mix(docs, block_rows=2).collect()
-    assert Counter(r["text"] for r in got) == Counter(r["text"] for r in docs.collect())
-    size, blocks = Counter((r["_source"], r["_block"]) for r in got), defaultdict(set)
+    assert Counter(r["row"]["text"] for r in got) == Counter(r["text"] for r in docs.collect())
+    size, blocks = Counter((r["source"], r["block"]) for r in got), defaultdict(set)
     for r in got:
-        blocks[r["_slot"]].add((r["_source"], r["_block"]))
+        blocks[r["slot"]].add((r["source"], r["block"]))
     assert max(size.values()) <= 2 and all(len(b) == 1 for b in blocks.values()) and sorted(blocks) == list(range(len(size)))
     assert mixed_order(docs).columns == docs.columns and mixed_order(docs).count() == docs.count()
     assert mix(docs, weights={"s0": 3, "s1": 1}, block_rows=2).count() == docs.count() and mix(empty).count() == 0
+    with pytest.raises(ValueError):
+        mix(docs, most_sources=2)
+    # Helper columns don't clash with those of the table, and none is lost.
+    odd = docs
+    for c in ("n", "hash", "_hash", "slot", "_slot", "rank_", "start", "size", "block", "in_block", "phase", "blocks", "_q", "q", "stratum", "kept", "good", "own_hash", "_own_hash"):
+        odd = odd.withColumn(c, lit(7))
+    from orbis.llm.quality import judge
+    from orbis.llm.simhash import deduplicate
+
+    marks = docs.selectExpr("doc_id", "1 quality", "0 toxic").filter("doc_id is not null").distinct()
+    assert mixed_order(odd).columns == odd.columns and Counter(map(tuple, mixed_order(odd).collect())) == Counter(map(tuple, odd.collect()))
+    assert judge(odd, marks).select("row.*").columns == odd.columns and deduplicate(odd).columns == odd.columns and deduplicate(odd).count() == deduplicate(docs).count()
 
 
 # --- Chat -------------------------------------------------------------------------------------
@@ -304,7 +318,7 @@ def test_quality_counts(spark, docs, empty):
     from orbis.llm.quality import judge, keep_good, with_features
 
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    for r in with_features(docs).collect():
+    for r in with_features(docs).collect():  # a column _q
         text = r["text"] or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
         g = list(zip(w, w[1:], w[2:]))
@@ -331,8 +345,9 @@ def test_binomial_tail_and_risk(spark):
     texts = [" ".join("w%d" % x + ("#" * 9 if k % 5 == 0 else "") for x in rng.integers(0, 10**6, 60)) for k in range(3000)]
     docs = table(spark, texts)
     marks = spark.createDataFrame([(k, int(k % 5 != 0), 0) for k in range(3000)], "doc_id long, quality int, toxic int")
-    found = {r["rule"]: r for r in thresholds(docs.withColumn("lang", F.lit("en")), marks, risk=0.03).collect()}
-    assert found["symbol_share"]["k"] == 0 and found["symbol_share"]["bad"] > 500
+    (found,) = thresholds(docs.withColumn("lang", F.lit("en")), marks, risk=0.03).collect()
+    assert found["k"] == 0 and found["bad"] > 500 and found["cutoffs"]["symbol_share"] > 5 and found["cutoffs"]["short_words"] is None
+    assert 2000 < found["n"] < 2400 and found["p"] == pytest.approx(0.97 ** found["n"], rel=1e-6)
 
 
 # --- Near-duplicates --------------------------------------------------------------------------

@@ -1,5 +1,8 @@
 """Results over whole tables where a bound, a unit or a greedy match once cut them."""
 
+import math
+from collections import Counter
+
 import pytest
 
 
@@ -8,23 +11,25 @@ def test_thresholds_from_all_labelled_rows(spark):
 
     from orbis.llm.quality import judge, quantiles, thresholds
 
-    # 3000 good de rows suffice for a cutoff, a sample of 20 000 of all 27 400 rows has about 2200.
+    # Thresholds need about 440 good rows in each of four strata; all of them count.
     words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(55)), lambda i: F.concat(F.lit("w"), i.cast("string"))))
-    docs = spark.range(27_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3400, "de").otherwise("en").alias("lang"), (F.col("id") % 17 == 0).alias("bad"))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when((F.col("id") < 500) | (F.col("id") % 3 == 0) & (F.col("id") >= 9000), "de").when((F.col("id") < 900) | (F.col("id") % 3 == 1) & (F.col("id") >= 9000), "fr").otherwise("en").alias("lang"), (F.col("id") % 17 == 0).alias("bad"))
     docs = docs.withColumn("text", F.concat(words, F.when(F.col("bad"), " ########").otherwise(" w0")))
-    labels = docs.select("doc_id", (~F.col("bad")).cast("int").alias("quality"))
-    found = {(r["stratum"], r["rule"]): r for r in thresholds(docs, labels).collect()}
-    assert found["de", "symbol_share"]["n"] == 3200 and found["de", "symbol_share"]["k"] == 0 and found["de", "symbol_share"]["bad"] == 200
-    kept = judge(docs, labels, columns=["doc_id", "bad"])
-    assert {(r["bad"], r["_kept"]) for r in kept.select("bad", "_kept").distinct().collect()} == {(True, False), (False, True)}
+    labels = docs.filter("doc_id < 9000").select("doc_id", (~F.col("bad")).cast("int").alias("quality"))
+    found = {r["stratum"]: r for r in thresholds(docs, labels).collect()}
+    held = Counter((r["lang"], r["bad"], r["design"]) for r in docs.withColumn("design", F.pmod(F.xxhash64("doc_id"), F.lit(20)) == 0).filter("doc_id < 9000").collect())
+    assert set(found) == {"de", "en"} and all(r["k"] == 0 and r["n"] == held[s, False, False] and r["bad"] == held[s, True, False] + held[s, True, True] for s, r in found.items())
+    kept = judge(docs, labels, columns=["doc_id", "lang", "bad"])
+    assert {(r["bad"], r["kept"]) for r in kept.filter("row.lang <> 'fr'").select("row.bad", "kept").distinct().collect()} == {(True, False), (False, True)}
+    assert kept.filter("row.lang = 'fr' and not kept").count() == 0  # too few for the risk
 
     values = spark.range(500).select(F.lit("s").alias("stratum"), (F.col("id") % 2).cast("string").alias("rule"), F.floor(F.sqrt("id")).cast("double").alias("x"))
-    shares = [0.0, 0.3, 0.5, 0.77, 0.991, 1.0]
-    got = {}
+    shares, got = [0.004, 0.3, 0.5, 0.77, 1.0], {}
     for r in quantiles(values, shares).collect():
-        got.setdefault(r["rule"], set()).add(round(r["cutoff"], 9))
-    want = values.groupBy("rule").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()
-    assert got == {r["rule"]: {round(x, 9) for x in r["q"]} for r in want}
+        got.setdefault(r["rule"], {})[r["step"]] = r["cutoff"]
+    for rule in ("0", "1"):
+        xs = sorted((float(int(k**0.5)) for k in range(500) if str(k % 2) == rule), reverse=True)
+        assert got[rule] == {j: xs[max(1, math.ceil(s * len(xs))) - 1] for j, s in enumerate(shares)}
 
 
 @pytest.mark.parametrize("weights", [[0.9, 0.1], [0.91] + [0.01] * 9, [0.5] + [0.5 / 19] * 19, [3**0.5, 2**0.5, 1.0, 0.001]])
