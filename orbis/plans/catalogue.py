@@ -222,8 +222,9 @@ def cap_contains(spark, sf):
 # --- Triangles and edges --------------------------------------------------------------------------
 
 _girard = f"greatest(0.0, {Q.angle(Q.cross(va, vb), Q.cross(va, vc))} - {Q.angle(Q.cross(va, vb), Q.cross(vb, vc))} + {Q.angle(Q.cross(vb, vc), Q.cross(va, vc))})"
+# Area by the half perimeter, another formula than the Column's.
 _tri = f"""u AS (SELECT *, {Q.angle(vb, vc)} AS sa, {Q.angle(vc, va)} AS sb, {Q.angle(va, vb)} AS sc, {_girard} AS gi FROM t), w AS (SELECT *, 0.5 * (sa + sb + sc) AS s FROM u),
-    ar AS (SELECT *, CASE WHEN s >= 3e-4 AND s - greatest(sa, sb, sc) < 1e-2 * s * s * s * s * s AND s - greatest(sa, sb, sc) < 0.1 * gi THEN gi ELSE 4 * atan(sqrt(greatest(0.0, tan(0.5 * s) * tan(0.5 * (s - sa)) * tan(0.5 * (s - sb)) * tan(0.5 * (s - sc))))) END AS area FROM w)"""
+    ar AS (SELECT *, 4 * atan(sqrt(greatest(0.0, tan(0.5 * s) * tan(0.5 * (s - sa)) * tan(0.5 * (s - sb)) * tan(0.5 * (s - sc))))) AS area FROM w)"""
 
 
 @query(f"{TR}, {_tri} SELECT id, {Q.r('area', 5)} AS area, {Q.r('gi', 5)} AS girard, sign({Q.dot(vc, Q.cross(va, vb))})::INT AS orientation FROM ar")

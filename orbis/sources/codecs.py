@@ -17,7 +17,7 @@ Encoders take nulls to null. Decoders take malformed bytes to null.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,32 +126,31 @@ def get_integers(r: Reader, width: int = 8) -> np.ndarray:
 # --- Cells ----------------------------------------------------------------------------------------
 
 
-def _base_of(low: int, high: int, n: int, shift: int) -> tuple[int, int, int]:
-    """Leading bytes of the smallest cell to subtract: their number and value, and the highest bit of a difference, for the fewest bytes."""
-
-    def plan(count: int) -> tuple[int, int, int, int]:
-        base = low >> 64 - 8 * count << 64 - 8 * count
-        top = max(0, (high - base >> shift).bit_length() - 1)
-        return count + n * (top // 8 + 1), count, base, top
-
-    return min(map(plan, range(8)))[1:]
+def _forms(low: int, high: int, ored: int, anded: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Bytes, shift, base bytes and base of every form the format allows for n cells with these least and greatest ids and bits."""
+    for shift in range(MOST_SHIFT + 2):
+        mark = 1 << shift - 1 if shift % 2 else 0
+        below = (1 << shift) - 1
+        if ored & below != mark or mark & ~anded:
+            continue  # a bit that the shift would lose, or no common marker
+        for count in range(8):
+            base = (low >> 64 - 8 * count << 64 - 8 * count) + mark
+            if base <= low and base & below == mark:
+                width = max(1, ((high - base >> shift).bit_length() + 7) // 8)
+                yield (shift > 3 and shift % 2) + count + n * width, shift, count, base
 
 
 def put_cells(cells: np.ndarray) -> bytes:
-    """Cells in any order; sorted ones of a small region take few bytes each.
+    """Cells in any order, in the shortest form; those of a small region take few bytes each.
 
     The first byte has the number of base bytes (3 bits) and the shift's code (5 bits): half the
     shift if that is even, 29 and 30 for shifts 1 and 3, else 31, with half the shift in the next byte.
     An odd shift says that all cells are of one level, and stands for the marker bit below it.
     """
     ids = np.asarray(cells, np.int64).view(np.uint64)
-    low, high, bits = (int(ids.min()), int(ids.max()), int(np.bitwise_or.reduce(ids))) if len(ids) else (0, 0, 0)
     shift = count = base = 0
-    if bits:
-        shift = min(MOST_SHIFT, (bits & -bits).bit_length() - 1 & ~1)
-        one_level = bool(int(np.bitwise_and.reduce(ids)) >> shift & 1)
-        count, base, top = _base_of(low, high, len(ids), shift + one_level)
-        shift += one_level and top % 8 == 7
+    if len(ids):
+        _, shift, count, base = min(_forms(int(ids.min()), int(ids.max()), int(np.bitwise_or.reduce(ids)), int(np.bitwise_and.reduce(ids)), len(ids)))
     half = shift // 2
     code = half if shift % 2 == 0 else min(31, half + 29)
     head = bytes([code << 3 | count]) + (bytes([half]) if code == 31 else b"")
