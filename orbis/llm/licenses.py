@@ -142,10 +142,11 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     # An exact phrase needs all votes on its own diagonal; other templates merge with the diagonal before.
     near = (~F.col("exact")) & (F.col("diagonal") - F.lag("diagonal").over(order) <= shift)
-    marked = diagonals.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("cluster", F.sum("new").over(order))
+    marked = diagonals.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
     # A run of neighbours is cut into bands of 4 * shift diagonals, so that repeated phrases can't chain without end.
-    band = F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("row", "template", "cluster"))) / (4 * shift))
-    merged = marked.withColumn("band", band).groupBy("row", "doc_id", "template", "label", "exact", "grams", "cluster", "band").agg(
+    begin = F.max(F.when(F.col("new") == 1, F.col("diagonal"))).over(order)
+    banded = marked.select("*", F.sum("new").over(order).alias("cluster"), F.floor((F.col("diagonal") - begin) / (4 * shift)).alias("band"))
+    merged = banded.groupBy("row", "doc_id", "template", "label", "exact", "grams", "cluster", "band").agg(
         F.max("n").alias("n"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), (F.max(F.col("diagonal") + F.col("hi")) + k).alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered")
     )
     # Votes elect the diagonals; what counts in the end is how many positions of the template they cover, each once.
