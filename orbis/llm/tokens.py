@@ -101,7 +101,7 @@ class WordEncoder:
     DOUBLED = ("  ", " \n", "\n ", "\n\n")
     UNUSUAL = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
         import re
 
