@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbis.functions import cellid as C
+from orbis.functions import cells as G
+from orbis.session import materialize
 
 
 def levels_of(cells: DataFrame, cell: str = "cell_id") -> list[int]:
@@ -61,3 +65,22 @@ def zones_join(points: DataFrame, zones: DataFrame, cell: str = "cell_id", cover
     parts = zones.withColumn("_c", F.explode(covering))
     keyed = with_ancestors(points, levels_of(parts, "_c"), cell, "_k")
     return keyed.join(parts, F.col("_k") == F.col("_c")).drop("_k", "_c")
+
+
+def cells_within(a: DataFrame, b: DataFrame, radians: float, left: str = "a_cell", right: str = "b_cell") -> DataFrame:
+    """All pairs of rows whose cells are at most an angle apart, with their squared chord l2; names of columns must differ.
+
+    Each cell of a is entered at itself or its ancestor at a level whose neighbourhood holds a disc of that radius about
+    each of its points, and at that one's neighbours, nine keys at most: a cell of b within the angle overlaps
+    one of them. Above the width of a face all six faces are the keys.
+    """
+    near = C.metric_value("min_width", 0) >= radians
+    level = C.max_level_for("min_width", radians) if near else 0
+    own = C.parent(F.col(left), F.least(C.level(F.col(left)), F.lit(level)))
+    if near:
+        keys = F.array_union(F.array(own), C.all_neighbors(own, C.level(own)))
+    else:
+        keys = F.array(*[C.from_face_pos_level(F.lit(f), F.lit(0).cast("long"), 0) for f in range(6)])
+    keyed = materialize(a.withColumn("_near", F.explode(keys)), "near-cells")
+    pairs = overlap_join(keyed, b, "_near", right).drop("_near").distinct()
+    return pairs.withColumn("l2", G.distance_to_cell(F.col(left), F.col(right))).filter(F.col("l2") <= 4 * math.sin(min(radians, math.pi) / 2) ** 2)

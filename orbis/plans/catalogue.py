@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbis.functions import bounds as B
 from orbis.functions import cellid as C
+from orbis.functions import cells as G
 from orbis.functions import clipping as L
 from orbis.functions import points as P
 from orbis.functions import shapes as H
@@ -637,6 +638,77 @@ def edge_crossings(spark, sf):
     return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id").filter("left_edge < right_edge")
 
 
+# --- Distances of cells and rectangles --------------------------------------------------------------
+
+_CELL3 = f"WITH RECURSIVE {Q.triple()}, ta AS (SELECT id, \"ax\" AS x, \"ay\" AS y, \"az\" AS z FROM t), {Q.cells('ta', 3)}, {Q.corners('cells', 3, 'co')}"
+_opposite = tuple(f"(-{x})" for x in vb)
+
+
+@query(f"{_CELL3} SELECT id, {Q.r(Q.cell_point_l2('co', vb), 9)} AS l2, {Q.r('4 - ' + Q.cell_point_l2('co', _opposite), 9)} AS far, {Q.cell_point_l2('co', vb)} = 0 AS has FROM co JOIN t USING (id)")
+def cell_point_distance(spark, sf):
+    """From each point's cell, a large one, to another point: nearest and furthest."""
+    rows = materialize(triples(spark, sf).select("id", C.parent(C.from_point(a), 3).alias("cell_id"), F.col("b")), "cells")
+    return rows.select("id", rd(G.distance_to_point(cell, b), 9).alias("l2"), rd(G.max_distance_to_point(cell, b), 9).alias("far"), G.contains_point(cell, b).alias("has"))
+
+
+_edge_near = "least(" + ", ".join([Q.cell_point_l2("co", vb), Q.cell_point_l2("co", vc)] + [Q.edge_l2(Q.corner("co", k), vb, vc) for k in range(4)]) + ")"
+_cuts = " OR ".join(f"(sign({Q.dot(vb, Q.cross(x, y))}) <> sign({Q.dot(vc, Q.cross(x, y))}) AND sign({Q.dot(x, Q.cross(vb, vc))}) <> sign({Q.dot(y, Q.cross(vb, vc))}) AND sign({Q.dot(vb, Q.cross(x, y))}) = sign({Q.dot(y, Q.cross(vb, vc))}))" for x, y in [(Q.corner("co", k), Q.corner("co", (k + 1) % 4)) for k in range(4)])
+
+
+@query(f"{_CELL3} SELECT id, {Q.r(f'CASE WHEN {_cuts} THEN 0.0 ELSE {_edge_near} END', 9)} AS l2 FROM co JOIN t USING (id)")
+def cell_edge_distance(spark, sf):
+    """From each point's cell to an edge elsewhere."""
+    rows = materialize(triples(spark, sf).select("id", C.parent(C.from_point(a), 3).alias("cell_id"), "b", "c"), "cells")
+    return rows.select("id", rd(G.distance_to_edge(cell, F.col("b"), F.col("c")), 9).alias("l2"))
+
+
+@query(f"{_CELL3} SELECT id, {Q.r('greatest(' + ', '.join(Q.l2(Q.corner('co', k), Q.corner('co', (k + 2) % 4)) for k in range(2)) + ')', 9)} AS diagonal, true AS holds FROM co")
+def cell_cap_bound(spark, sf):
+    """The cap of each cell holds its corners, and is no wider than its diagonal."""
+    rows = materialize(triples(spark, sf).select("id", C.parent(C.from_point(a), 3).alias("cell_id")), "cells")
+    v = materialize(rows.select("id", C.vertices(cell).alias("v"), G.cap_bound(cell).alias("cap")), "caps")
+    diagonal = F.greatest(*[P.chord(F.col("v")[k], F.col("v")[k + 2]) for k in (0, 1)])
+    inside = F.forall("v", lambda q: P.chord(F.col("cap.axis"), q) <= F.col("cap.l2"))
+    return v.select("id", rd(diagonal, 9).alias("diagonal"), (inside & (F.col("cap.l2") <= diagonal)).alias("holds"))
+
+
+_pairs32 = ", ".join([Q.edge_l2(Q.corner("p", k), Q.corner("q", m), Q.corner("q", (m + 1) % 4)) for k in range(4) for m in range(4)] + [Q.edge_l2(Q.corner("q", k), Q.corner("p", m), Q.corner("p", (m + 1) % 4)) for k in range(4) for m in range(4)])
+_cells_sql = f"WITH RECURSIVE {Q.SUPP}, {Q.CUST}, {Q.cells('su', 7, 'sc')}, {Q.corners('sc', 7, 'p')}, {Q.cells('cu', 9, 'cc')}, {Q.corners('cc', 9, 'q')}"
+_TEN = 4 * math.sin(0.05) ** 2
+
+
+@query(f"{_cells_sql}, d AS (SELECT p.id AS supp, q.id AS cust, p.cell_id AS a_cell, q.cell_id AS b_cell, CASE WHEN {Q.rmin('p.cell_id')} <= {Q.rmax('q.cell_id')} AND {Q.rmin('q.cell_id')} <= {Q.rmax('p.cell_id')} THEN 0.0 ELSE least({_pairs32}) END AS l2 FROM p, q) SELECT supp, cust, a_cell, b_cell, {Q.r('l2', 9)} AS l2 FROM d WHERE l2 <= {_TEN!r}")
+def join_cells_within(spark, sf):
+    """Cells of suppliers and, finer, of customers at most 0.1 radians apart."""
+    x = S.with_cells(T.supplier_points(spark, sf)).select("supp", C.parent(cell, 7).alias("a_cell"))
+    y = S.with_cells(T.customer_points(spark, sf)).select("cust", C.parent(cell, 9).alias("b_cell"))
+    found = J.cells_within(materialize(x, "left"), materialize(y, "right"), 0.1)
+    return found.select("supp", "cust", "a_cell", "b_cell", rd(F.col("l2"), 9).alias("l2"))
+
+
+_R = "rc AS (SELECT r_regionkey::BIGINT AS rect, radians(-60 + 20 * r_regionkey) AS la, radians(-45 + 20 * r_regionkey) AS lb, radians(-150 + 60 * r_regionkey) AS ga, radians(-100 + 60 * r_regionkey) AS gb FROM region)"
+_at = lambda t, la, ln: (f"(cos({t}.{ln}) * cos({t}.{la}))", f"(sin({t}.{ln}) * cos({t}.{la}))", f"sin({t}.{la})")
+_side = lambda t, ln: (_at(t, "la", ln), _at(t, "lb", ln))
+_from_l2 = lambda e: f"2 * asin(least(1.0, 0.5 * sqrt({e})))"
+_rect_pt = "least(" + ", ".join(Q.edge_l2(("ev.x", "ev.y", "ev.z"), *_side("rc", g)) for g in ("ga", "gb")) + ")"
+
+
+@query(f"WITH {Q.EV}, {_R} SELECT id, rect, {Q.r(f'CASE WHEN lng BETWEEN ga AND gb THEN greatest(la - lat, lat - lb, 0.0) ELSE {_from_l2(_rect_pt)} END')} AS radians FROM ev, rc")
+def rect_point_distance(spark, sf):
+    """From rectangles to points; the SQL measures to the sides as edges in space."""
+    rows = T.event_points(spark, sf).select("id", "ll").crossJoin(F.broadcast(T.rects(spark, sf)))  # five rectangles
+    return rows.select("id", "rect", rd(B.rect_distance_to(F.col("r"), F.col("ll"))).alias("radians"))
+
+
+_rect_pairs = "least(" + ", ".join(Q.edge_l2(_at(s, la, g), *_side(t, h)) for s, t in (("p", "q"), ("q", "p")) for la in ("la", "lb") for g in ("ga", "gb") for h in ("ga", "gb")) + ")"
+
+
+@query(f"WITH {_R} SELECT p.rect AS rect, q.rect AS other, {Q.r(f'CASE WHEN p.ga <= q.gb AND q.ga <= p.gb THEN greatest(p.la - q.lb, q.la - p.lb, 0.0) ELSE {_from_l2(_rect_pairs)} END')} AS radians, p.rect = q.rect AS same FROM rc AS p, rc AS q")
+def rect_distance(spark, sf):
+    x, y = T.rects(spark, sf), T.rects(spark, sf).select(F.col("rect").alias("other"), F.col("r").alias("s"))
+    return x.crossJoin(F.broadcast(y)).select("rect", "other", rd(B.rect_distance(F.col("r"), F.col("s"))).alias("radians"), B.rect_approx_equals(F.col("r"), F.col("s")).alias("same"))
+
+
 # --- Density, clusters, hull ----------------------------------------------------------------------
 
 _TREE = f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 6)}, tree AS (SELECT c AS cell_id, count(*)::BIGINT AS weight FROM (SELECT unnest([cell_id, " + ", ".join(Q.parent("cell_id", l) for l in range(6)) + "]) AS c FROM cells) GROUP BY c)"
