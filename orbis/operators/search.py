@@ -124,9 +124,11 @@ def edges_within(points: DataFrame, edges: DataFrame, radians: float, point_id:
     return near.join(right, "_k").select(point_id, edge_id, _point_edge_l2("_q", "a", "b").alias("l2")).filter(F.col("l2") < l2_of(radians))
 
 
-def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str, by: str | None = None) -> DataFrame:
+def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str, by: str | None = None, touching: bool = False) -> DataFrame:
     """a_id, b_id of all pairs of edges that cross inside, each once: of all edges, or of those that agree in ``by``.
 
+    With touching also pairs that share a vertex, told apart by a column ``shared``.
+
     Edges are entered at the cells of a level that they pass.
     """
     own = [by] if by else []
@@ -140,8 +142,11 @@ def crossing_edges(a: DataFrame, b: DataFrame, level: int, a_id: str, b_id: str,
 
     left = expanded(keyed(a, a_id), "_c", level, "_k").select(a_id, *own, "a", "b", "_k").distinct()
     right = keyed(b, b_id).select(b_id, *own, F.col("a").alias("c"), F.col("b").alias("d"), F.col("_c").alias("_k"))
-    hit = left.join(right, ["_k", *own]).filter(P.edges_cross(F.col("a"), F.col("b"), F.col("c"), F.col("d")) == 1)
-    return hit.select(a_id, b_id).distinct()
+    sign = P.edges_cross(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    hit = left.join(right, ["_k", *own]).select(a_id, b_id, sign.alias("s"))
+    if touching:
+        return hit.filter("s >= 0").select(a_id, b_id, (F.col("s") == 0).alias("shared")).distinct()
+    return hit.filter("s = 1").select(a_id, b_id).distinct()
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, k: int, point_id: str, edge_id: str, *, max_radians: float, start_radians: float | None = None) -> DataFrame:

@@ -335,13 +335,20 @@ def cell_edge_neighbors(spark, sf):
     return event_cells(spark, sf, 12).select("id", F.posexplode(C.edge_neighbors(cell)).alias("k", "neighbor"))
 
 
-@query()
+_mid = [Q.uv_of(f"(((({c} >> 10) << 10) + 512) / 1073741824::DOUBLE)") for c in "ij"]
+
+
+@query(f"{L20}, m AS (SELECT id, f, {_mid[0]} AS u, {_mid[1]} AS v FROM cells_w WHERE k = 29), n AS (SELECT id, {', '.join(f'{e} AS {c}' for e, c in zip(Q.on_face('u', 'v'), 'xyz'))} FROM m) SELECT id, {Q.r('degrees(atan2(z, sqrt(x * x + y * y)))')} AS lat, {Q.r('degrees(atan2(y, x))')} AS lng FROM n")
 def cell_center(spark, sf):
     rows = event_cells(spark, sf, 20).withColumn("ll", P.to_latlng(C.to_point(cell)))
     return rows.select("id", rd(F.degrees("ll.lat")).alias("lat"), rd(F.degrees("ll.lng")).alias("lng"))
 
 
-@query()
+_low = {c: f"(({c} >> 18) << 18)" for c in "ij"}
+_high = Q.uv_of(f"(({_low['j']} + 262144) / 1073741824::DOUBLE)")
+
+
+@query(f"WITH RECURSIVE {Q.EV}, {Q.cells('ev', 12)} SELECT id, f::INT AS face, {_low['i']}::INT AS i, {_low['j']}::INT AS j, 12 AS level, o AS orientation, {Q.r(Q.uv_of('(' + _low['i'] + ' / 1073741824::DOUBLE)'), 9)} AS u_lo, {Q.r(_high, 9)} AS v_hi FROM cells_w WHERE k = 17")
 def cell_bounds(spark, sf):
     rows = event_cells(spark, sf, 12).withColumn("d", C.decoded(cell))
     return rows.select("id", "d.face", "d.i", "d.j", "d.level", "d.orientation", rd(F.col("d.u_lo"), 9).alias("u_lo"), rd(F.col("d.v_hi"), 9).alias("v_hi"))
@@ -594,7 +601,14 @@ def polyline_simplify(spark, sf):
     return rows.select("user_id", F.size("chain").alias("n"), F.size("s").alias("kept"))
 
 
-@query()
+_dir = Q.cross(Q.cross(_prev, ("x", "y", "z")), _prev)
+_half = tuple(f"({p} * cos(goal - before) + {d} / {Q.norm(_dir)} * sin(goal - before))" for p, d in zip(_prev, _dir))
+
+
+@query(f"""{_seg}, l AS (SELECT *, {Q.angle(_prev, ('x', 'y', 'z'))} AS len FROM s WHERE px IS NOT NULL),
+    m AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY ts, id) AS after, 0.5 * sum(len) OVER (PARTITION BY user_id) AS goal FROM l), h AS (SELECT *, after - len AS before FROM m),
+    p AS (SELECT user_id, {_half[0]} AS hx, {_half[1]} AS hy, {_half[2]} AS hz FROM h WHERE before < goal AND goal <= after)
+    SELECT user_id, {Q.r('degrees(atan2(hz, sqrt(hx * hx + hy * hy)))')} AS lat, {Q.r('degrees(atan2(hy, hx))')} AS lng FROM p""")
 def polyline_interpolate(spark, sf):
     rows = T.tracks(spark, sf).withColumn("m", P.to_latlng(H.polyline_interpolate(F.col("chain"), 0.5)))
     return rows.select("user_id", rd(F.degrees("m.lat")).alias("lat"), rd(F.degrees("m.lng")).alias("lng"))
@@ -638,6 +652,18 @@ def edge_crossings(spark, sf):
     return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id").filter("left_edge < right_edge")
 
 
+_shared = " OR ".join(f"({' AND '.join(f'{p} = {q}' for p, q in zip(x, y))})" for x in (_ea, _eb) for y in (_fa, _fb))
+_inside = f"({_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)})"
+
+
+@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge, ({_shared}) AS shared FROM e, e AS f WHERE e.user_id = f.user_id AND e.edge < f.edge AND ({_shared} OR {_inside})")
+def edge_crossings_all(spark, sf):
+    """All pairs of edges of a track that cross inside or share a vertex."""
+    edges = materialize(track_edges(spark, sf), "edges")
+    left, right = (edges.withColumnRenamed("edge", n) for n in ("left_edge", "right_edge"))
+    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id", touching=True).filter("left_edge < right_edge")
+
+
 # --- Distances of cells and rectangles --------------------------------------------------------------
 
 _CELL3 = f"WITH RECURSIVE {Q.triple()}, ta AS (SELECT id, \"ax\" AS x, \"ay\" AS y, \"az\" AS z FROM t), {Q.cells('ta', 3)}, {Q.corners('cells', 3, 'co')}"

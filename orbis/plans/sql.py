@@ -113,15 +113,23 @@ def edge_l2(x: V, a: V, b: V) -> str:
     return f"CASE WHEN {dot(n, n)} > 0 AND {dot(cross(n, a), x)} > 0 AND {dot(cross(b, n), x)} > 0 THEN least({ends}, pow({height}, 2) + pow(1 - sqrt(greatest(0.0, 1 - pow({height}, 2))), 2)) ELSE {ends} END"
 
 
+def uv_of(st: str) -> str:
+    return f"CASE WHEN {st} >= 0.5 THEN (4 * {st} * {st} - 1) / 3 ELSE (1 - 4 * (1 - {st}) * (1 - {st})) / 3 END"
+
+
+def on_face(u: str, v: str) -> V:
+    """x, y, z of (u, v) on the face f, not normalised."""
+    by_face = lambda *es: "CASE f " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(es[:5])) + f" ELSE {es[5]} END"
+    return by_face("1", f"-{u}", f"-{u}", "-1", v, v), by_face(u, "1", f"-{v}", f"-{v}", "-1", u), by_face(v, v, "1", f"-{u}", f"-{u}", "-1")
+
+
 def corners(source: str, level: int, out: str, keep: str = "") -> str:
     """CTE ``out`` (id, cell_id, c0x .. c3z): the corners of the cells of ``cells(..., out=source)``, counter-clockwise."""
     s = 30 - level
-    uv = lambda e: f"CASE WHEN {e} >= 0.5 THEN (4 * {e} * {e} - 1) / 3 ELSE (1 - 4 * (1 - {e}) * (1 - {e})) / 3 END"
-    at = {f"{n}{k}": uv(f"((({c} >> {s}) + {k}) << {s})::DOUBLE / 1073741824") for n, c in (("u", "i"), ("v", "j")) for k in (0, 1)}
-    by_face = lambda *es: "CASE f " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(es[:5])) + f" ELSE {es[5]} END"
+    at = {f"{n}{k}": uv_of(f"((({c} >> {s}) + {k}) << {s})::DOUBLE / 1073741824") for n, c in (("u", "i"), ("v", "j")) for k in (0, 1)}
     raw, unit = [], []
     for k, (u, v) in enumerate((("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1"))):
-        raw += [f"{by_face('1', f'-{u}', f'-{u}', '-1', v, v)} AS r{k}x", f"{by_face(u, '1', f'-{v}', f'-{v}', '-1', u)} AS r{k}y", f"{by_face(v, v, '1', f'-{u}', f'-{u}', '-1')} AS r{k}z"]
+        raw += [f"{e} AS r{k}{c}" for e, c in zip(on_face(u, v), "xyz")]
         unit += [f"r{k}{c} / sqrt(r{k}x * r{k}x + r{k}y * r{k}y + r{k}z * r{k}z) AS c{k}{c}" for c in "xyz"]
     ends = ", ".join(f"{e} AS {n}" for n, e in at.items())
     return f"{out}_e AS (SELECT id, f, {ends} FROM {source}_w WHERE k = 29), {out}_r AS (SELECT id, {', '.join(raw)} FROM {out}_e), {out} AS (SELECT r.id, cell_id, {', '.join(unit)} FROM {out}_r AS r JOIN {source} USING (id))"
