@@ -102,9 +102,11 @@ class WordEncoder:
     UNUSUAL = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
     def __init__(self, path: str, most: int = 400_000):
+        import gc
         import os
         import re
 
+        gc.set_threshold(200_000, 20, 100)  # the store's strings hold no cycles, and make collections long
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel

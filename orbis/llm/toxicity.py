@@ -89,33 +89,47 @@ def _codes() -> np.ndarray:
 
 
 CODES = _codes()
+#: Which keys are triples of three letters.
+WHOLE = (np.arange(SIZE) >= 1024) & (np.arange(SIZE) // 32 % 32 > 0) & (np.arange(SIZE) % 32 > 0)
 
 
-def occurrences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, triple and value of each place of a subsequence in tokens (of at most LONGEST characters, so that the table stays narrow)."""
-    size = np.array([len(t) for t in tokens])
+def letters_of(tokens: list[str]) -> np.ndarray:
+    """Letter codes of tokens (of at most LONGEST characters, so that the table stays narrow), 0 for gaps and after the end."""
+    size = np.array([len(t) for t in tokens], np.int64)
     width = max(3, int(size.max(initial=0)))
     raw = np.zeros((len(tokens), width), np.int32)
     points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
     raw[np.arange(width)[None, :] < size[:, None]] = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 27 + points % 5)
-    rows, keys, values = [], [], []
+    return raw
+
+
+def places(raw: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """For each pair of gaps the triple that begins at each letter, and its value. Places with a gap in the triple have a key with a zero digit."""
+    width = raw.shape[1]
     for d in range(1, GAP + 1):
+        pair = raw[:, : width - d] * 1024 + raw[:, d:] * 32
         for e in range(1, GAP + 1):
-            if d + e >= width:
-                continue
-            a, b, c = raw[:, : width - d - e], raw[:, d : width - e], raw[:, d + e :]
-            at = np.nonzero((a > 0) & (b > 0) & (c > 0))
-            rows.append(at[0])
-            keys.append((a[at] * 32 + b[at]) * 32 + c[at])
-            values.append(np.full(len(at[0]), DECAY ** (d + e - 2)))
+            if d + e < width:
+                yield pair[:, : width - d - e] + raw[:, d + e :], DECAY ** (d + e - 2)
+
+
+def occurrences(tokens: list[str], kept: np.ndarray = WHOLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, triple and value of each place of a subsequence whose triple is kept, and for each row the sum of squared values of all places."""
+    rows, keys, values, total = [], [], [], np.zeros(len(tokens))
+    for key, value in places(letters_of(tokens)):
+        total += WHOLE[key].sum(1) * value**2
+        at = np.nonzero(kept[key])
+        rows.append(at[0])
+        keys.append(key[at])
+        values.append(np.full(len(at[0]), value))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(keys).astype(np.int64), np.concatenate(values)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), total
+    return np.concatenate(rows), np.concatenate(keys).astype(np.int64), np.concatenate(values), total
 
 
 def triples(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, triple and value of the normalised feature vectors of tokens."""
-    row, key, value = occurrences(tokens)
+    row, key, value, _ = occurrences(tokens)
     both, where = np.unique(row * SIZE + key, return_inverse=True)
     value = np.bincount(where, value, len(both))
     row, key = both // SIZE, both % SIZE
@@ -156,17 +170,15 @@ class Landmarks:
 
     def near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token, landmark and kernel value of the pairs from LEAST on, in the order of tokens."""
-        row, key, value = occurrences(tokens)
+        row, key, value, total = occurrences(tokens, self.counts > 0)
         # A vector is at least as long as if its repeated triples were apart: few tokens need the exact length.
-        bound = np.sqrt(np.bincount(row, value**2, len(tokens)))
-        some = self.counts[key] > 0
-        row, key, value = row[some], key[some], value[some]
+        bound = np.sqrt(total)
         n = self.counts[key]
         at = np.repeat(self.starts[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
         sums = np.bincount(np.repeat(row, n) * self.n + self.column[at], np.repeat(value, n) * self.value[at], len(tokens) * self.n)
         hit = np.flatnonzero(sums.reshape(len(tokens), self.n) >= LEAST * np.maximum(bound, 1e-9)[:, None])
         row, which = np.unique(hit // self.n, return_inverse=True)
-        own, key, value = occurrences([tokens[k] for k in row])
+        own, key, value, _ = occurrences([tokens[k] for k in row])
         both, where = np.unique(own * SIZE + key, return_inverse=True)
         norm = np.sqrt(np.bincount(both // SIZE, np.bincount(where, value, len(both)) ** 2, len(row)))
         exact = sums[hit] / norm[which]
@@ -200,8 +212,8 @@ class Model:
     def shares(self, segments: list[str]) -> np.ndarray:
         out = np.zeros(len(segments))
         by = sorted(range(len(segments)), key=lambda k: len(segments[k]))  # tables of one width
-        for k in range(0, len(by), 4000):
-            part = by[k : k + 4000]
+        for k in range(0, len(by), 800):
+            part = by[k : k + 800]
             row, column, value = self.landmarks.kernel([segments[x] for x in part])
             out[part] = np.bincount(row, value * self.beta[column], len(part))
         return out
@@ -392,7 +404,7 @@ class Sentences:
         return Model(self.marks, self.root @ w[:-1], float(w[-1]))
 
 
-def fit(bad: list[str], good: list[str], *, odds: float | None = None, landmarks: int = 256, negatives: int = 12_000, rounds: int = 3, seed: int = 11) -> Model:
+def fit(bad: list[str], good: list[str], *, odds: float | None = None, landmarks: int = 192, negatives: int = 12_000, rounds: int = 3, seed: int = 11) -> Model:
     """A calibrated model from toxic and clean texts; ``odds``: how many clean ones there are for a toxic one, if not as given.
 
     At most ``negatives`` of the clean sentences are fitted on; all of them count in the calibration.
