@@ -99,8 +99,8 @@ def schedule(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return slots.select("b.phase", (F.col("chunk").cast("long") * CHUNK + F.col("k")).alias("slot"), F.get("names", F.col("b.i")).alias("source"), "b.nth", "b.left")
 
 
-def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, most_sources: int = 10_000) -> DataFrame:
-    """All rows of docs, as a struct ``row`` of their columns, whatever these are called, with source, block, in_block, slot and phase.
+def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, most_sources: int = 10_000, columns: list[str] | None = None) -> DataFrame:
+    """All rows of docs, as a struct ``row`` of their columns (or ``columns`` of them, doc_id among these), whatever these are called, with source, block, in_block, slot and phase.
 
     Ordering by (slot, in_block) gives the mix. Rows of block j of a source are its rows j *
     block_rows and on in the order of a hash of doc_id and text; only a source's last block may be short.
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
     Equal rows are ranked in any order; an empty table gives no rows. The schedule's state holds one entry a
     source, so more than ``most_sources`` are refused.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     counts = materialize(own.groupBy("source").agg(F.count("*").alias("n")), "sources")
     if (n := counts.count()) > most_sources:
         raise ValueError(f"{n} sources, more than {most_sources}: name a column with fewer values, or raise most_sources")

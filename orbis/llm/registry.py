@@ -37,7 +37,7 @@ def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbis.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "source", "block", "in_block", "slot", "phase")
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("row.doc_id", "source", "block", "in_block", "slot", "phase")
 
 
 def op5_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
