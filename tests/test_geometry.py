@@ -192,3 +192,9 @@ def test_rectangle_of_points_half_a_turn_apart(spark):
     x, y = half_turn()
     for r in (B.rect_from_points(x, y), B.rect_from_points(y, x)):
         assert value(spark, r["lng_lo"], r["lng_hi"]) == (-math.pi / 2, math.pi / 2)
+
+
+def test_interval_of_longitudes_half_a_turn_apart(spark):
+    x, y = half_turn()
+    for s in (B.s1_pair(x["lng"], y["lng"]), B.s1_pair(y["lng"], x["lng"])):
+        assert value(spark, B.s1_length(s), B.s1_contains(s, 0.0), B.s1_contains(s, 3.0)) == (math.pi, True, False)
