@@ -649,19 +649,19 @@ def edge_crossings(spark, sf):
     """All pairs of edges of a track that cross inside."""
     edges = materialize(track_edges(spark, sf), "edges")
     left, right = (edges.withColumnRenamed("edge", n) for n in ("left_edge", "right_edge"))
-    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id").filter("left_edge < right_edge")
+    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id", ordered=True)
 
 
 _shared = " OR ".join(f"({' AND '.join(f'{p} = {q}' for p, q in zip(x, y))})" for x in (_ea, _eb) for y in (_fa, _fb))
-_inside = f"({_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)})"
+_crosses = f"({_sgn(_ea, _fa, _eb)} <> 0 AND {_sgn(_ea, _fa, _eb)} = {_sgn(_fa, _eb, _fb)} AND {_sgn(_fa, _eb, _fb)} = {_sgn(_eb, _fb, _ea)} AND {_sgn(_eb, _fb, _ea)} = {_sgn(_fb, _ea, _fa)})"
 
 
-@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge, ({_shared}) AS shared FROM e, e AS f WHERE e.user_id = f.user_id AND e.edge < f.edge AND ({_shared} OR {_inside})")
+@query(f"{_EDGES} SELECT e.edge AS left_edge, f.edge AS right_edge, ({_shared}) AS shared FROM e, e AS f WHERE e.user_id = f.user_id AND e.edge < f.edge AND ({_shared} OR {_crosses})")
 def edge_crossings_all(spark, sf):
     """All pairs of edges of a track that cross inside or share a vertex."""
     edges = materialize(track_edges(spark, sf), "edges")
     left, right = (edges.withColumnRenamed("edge", n) for n in ("left_edge", "right_edge"))
-    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id", touching=True).filter("left_edge < right_edge")
+    return S.crossing_edges(left, right, 9, "left_edge", "right_edge", by="user_id", touching=True, ordered=True)
 
 
 # --- Distances of cells and rectangles --------------------------------------------------------------

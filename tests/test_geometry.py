@@ -10,6 +10,7 @@ from orbis.functions import points as P
 from orbis.functions import shapes as H
 from orbis.operators import density as D
 from orbis.operators import joins as J
+from orbis.operators import kernels as K
 from orbis.operators import regions as R
 from orbis.operators import search as S
 from orbis.operators import unions as U
@@ -198,3 +199,23 @@ def test_interval_of_longitudes_half_a_turn_apart(spark):
     x, y = half_turn()
     for s in (B.s1_pair(x["lng"], y["lng"]), B.s1_pair(y["lng"], x["lng"])):
         assert value(spark, B.s1_length(s), B.s1_contains(s, 0.0), B.s1_contains(s, 3.0)) == (math.pi, True, False)
+
+
+def test_crossings_within_tracks_take_no_cells(spark):
+    """Edges of a track meet by one join on the track: no keys along them, and no pair in two places."""
+    rng = np.random.default_rng(3)
+    ends = rng.normal(0, 0.3, (60, 2, 3)) + [1, 0, 0]
+    ends /= np.linalg.norm(ends, axis=2, keepdims=True)
+    ends[7, 0] = ends[4, 1]  # same track
+    rows = [(k, k % 3, *[tuple(map(float, p)) for p in e]) for k, e in enumerate(ends)]
+    point = "struct<x:double,y:double,z:double>"
+    edges = spark.createDataFrame(rows, f"edge long, track long, a {point}, b {point}")
+    left, right = (edges.withColumnRenamed("edge", n) for n in ("e", "f"))
+    found = S.crossing_edges(left, right, 9, "e", "f", by="track", touching=True, ordered=True)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    cross = lambda e, f: bool(K.crossing(*ends[e], *ends[f]) == 1)
+    wanted = [(e, f, (e, f) == (4, 7)) for e in range(60) for f in range(e + 1, 60) if e % 3 == f % 3 and (cross(e, f) or (e, f) == (4, 7))]
+    assert sorted(map(tuple, found.collect())) == wanted
+    inside = S.crossing_edges(left, right, 9, "e", "f", by="track", ordered=True)
+    assert sorted(map(tuple, inside.collect())) == [(e, f) for e, f, shared in wanted if not shared]
+    assert inside.count() < S.crossing_edges(left, right, 5, "e", "f", ordered=True).count()
