@@ -175,3 +175,31 @@ def test_feature_density(spark):
     got = {r["cell_id"]: r["weight"] for r in D.feature_density(spark.createDataFrame(rows, "f int, cell_id long, w long"), "f", 4, "w").collect()}
     assert got[at(4)] == got[at(3)] == got[at(2)] == got[at(0)] == 8 and len(got) == 16 + 4 + 3
     assert sorted(got.values()) == [3] * 18 + [8] * 5
+
+
+@pytest.mark.parametrize("radius", [0.003, 0.03])
+def test_tiles_in_parts_equal_brute_force(spark, monkeypatch, radius):
+    """Small tiles dealt out in parts: every pair once, and with k no more than k of each point leave a part."""
+    from orbis.operators import tiles
+
+    for name, value in (("POINTS_A_TILE", 5), ("MOST_POINTS", 7), ("MOST_EDGES", 9), ("BLOCK", 64)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    p = unit(rng.normal(0, 0.02, (150, 3)) + [0.7, 0.7, 0.1])  # about an edge of the cube
+    p[:30] = p[0]
+    ends = unit(p[rng.integers(0, 150, 40)][:, None] + rng.normal(0, 0.05, (40, 2, 3)) * [[[0], [1]]])
+    ends[0, 1] = ends[0, 0]  # no length
+    ends[1] = unit(np.array([[1, -0.9, 0.1], [-0.9, 1, 0.1]]))  # far over other faces
+    point = "struct<x:double,y:double,z:double>"
+    xyz = lambda v: tuple(map(float, v))
+    pts = S.with_cells(spark.createDataFrame([(k, xyz(x)) for k, x in enumerate(p)], f"pt long, p {point}"))
+    edges = spark.createDataFrame([(k, xyz(a), xyz(b)) for k, (a, b) in enumerate(ends)], f"edge long, a {point}, b {point}")
+    d = np.stack([K.point_edge_l2(p, a, b) for a, b in ends], 1)
+    wanted = {(i, j) for i, j in zip(*map(lambda x: x.tolist(), np.nonzero(d < S.l2_of(radius))))}
+    found = [(r["pt"], r["edge"]) for r in S.edges_within(pts, edges, radius, "pt", "edge").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+    near = {(r["pt"], r["rank"]): r["edge"] for r in S.nearest_edges(pts, edges, 2, "pt", "edge", max_radians=radius).collect()}
+    assert near == {(i, n + 1): j for i in range(150) for n, j in enumerate(sorted((j for j in range(40) if (i, j) in wanted), key=lambda j: (d[i, j], j))[:2])}
+    near = {(r["edge"], r["rank"]): r["pt"] for r in S.nearest_points_to_edges(edges, pts, 3, "edge", "pt", max_radians=radius).collect()}
+    assert near == {(j, n + 1): i for j in range(40) for n, i in enumerate(sorted((i for i in range(150) if (i, j) in wanted), key=lambda i: (d[i, j], i))[:3])}
