@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orbis.functions import arrow as W
 from orbis.functions import points as P
 from orbis.functions import types
 from orbis.functions.points import let
@@ -149,10 +151,10 @@ def edge_pair_distance_l2(a: pd.DataFrame, b: pd.DataFrame, c: pd.DataFrame, d:
     return pd.Series(K.edge_pair_l2(*(x.to_numpy(float) for x in (a, b, c, d))))
 
 
-@F.pandas_udf(types.POINTS)
-def simplify(chain: pd.Series, tolerance: pd.Series) -> pd.Series:
+@F.arrow_udf(types.POINTS)
+def simplify(chain: pa.Array, tolerance: pa.Array) -> pa.Array:
     """Vertices of a subsequence within an angular tolerance of the polyline."""
-    return pd.Series([_points(_chain(c)[K.subsample(_chain(c), t)]) for c, t in zip(chain, tolerance)])
+    return W.points_of([None if c is None else c[K.subsample(c, t)] for c, t in zip(W.chains(chain), tolerance.to_pylist())])
 
 
 @F.pandas_udf(types.T.ArrayType(types.T.StringType()))
@@ -200,9 +202,9 @@ polygon_contains_polygon, polygon_intersects, polygon_equals = (_related(k) for
 
 
 def _parts(inside: bool):
-    @F.pandas_udf(types.LOOPS)
-    def run(chain: pd.Series, loops: pd.Series) -> pd.Series:
-        return pd.Series([[_points(c) for c in A.polyline_parts(_chain(x), _loops(y), inside)] for x, y in zip(chain, loops)])
+    @F.arrow_udf(types.LOOPS)
+    def run(chain: pa.Array, loops: pa.Array) -> pa.Array:
+        return W.shapes_of([None if x is None or y is None else A.polyline_parts(x, y, inside) for x, y in zip(W.chains(chain), W.shapes(loops))])
 
     return run
 
@@ -218,9 +220,9 @@ def link_edges(edges: pd.Series) -> pd.Series:
 
 
 def _snapped(move, at: int, closed: bool):
-    @F.pandas_udf(types.POINTS)
-    def run(chain: pd.Series) -> pd.Series:
-        return pd.Series([_points(move(_chain(c), at, closed)) for c in chain])
+    @F.arrow_udf(types.POINTS)
+    def run(chain: pa.Array) -> pa.Array:
+        return W.points_of([None if c is None else move(c, at, closed) for c in W.chains(chain)])
 
     return run
 

@@ -203,3 +203,44 @@ def test_tiles_in_parts_equal_brute_force(spark, monkeypatch, radius):
     assert near == {(i, n + 1): j for i in range(150) for n, j in enumerate(sorted((j for j in range(40) if (i, j) in wanted), key=lambda j: (d[i, j], j))[:2])}
     near = {(r["edge"], r["rank"]): r["pt"] for r in S.nearest_points_to_edges(edges, pts, 3, "edge", "pt", max_radians=radius).collect()}
     assert near == {(j, n + 1): i for j in range(40) for n, i in enumerate(sorted((i for i in range(150) if (i, j) in wanted), key=lambda i: (d[i, j], i))[:3])}
+
+
+def test_chains_between_arrow_and_numpy():
+    """Nulls, empty chains and slices survive; a chain is a view of its batch, not an object for each point."""
+    import pyarrow as pa
+
+    from orbis.functions import arrow as W
+
+    point = pa.struct([(k, pa.float64()) for k in "xyz"])
+    p = lambda *xs: [{"x": float(x), "y": x + 0.5, "z": -float(x)} for x in xs]
+    lists = [p(1, 2), None, [], p(3), p(4, 5, 6)]
+    column = pa.array(lists, pa.list_(point))
+    for part, want in ((column, lists), (column.slice(2), lists[2:]), (column.slice(1, 3), lists[1:4]), (column.slice(5), [])):
+        rows = W.chains(part)
+        assert [None if r is None else [dict(zip("xyz", x)) for x in r.tolist()] for r in rows] == want
+        assert W.points_of(rows).cast(pa.list_(point)).to_pylist() == want
+    rows = W.chains(column)
+    assert rows[0].base is rows[4].base and rows[0].base.shape == (6, 3)
+    nested = pa.array([[p(1), []], None, [], [p(2, 3)]], pa.list_(pa.list_(point)))
+    for part in (nested, nested.slice(1), nested.slice(3)):
+        assert W.shapes_of(W.shapes(part)).to_pylist() == part.to_pylist()
+
+
+def test_polygon_kernels_judge_points_and_edges_together(monkeypatch):
+    """One call for a whole polyline, not one an edge; blocks give the same."""
+    from orbis.operators import areas as A
+
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    chain = unit(rng.normal(0, 0.3, (80, 3)) + [1, 0, 0])
+    t = np.linspace(0, 2 * math.pi, 7)[:-1]
+    loops = [unit(np.stack([np.ones(6), 0.2 * np.cos(t), 0.2 * np.sin(t)], 1))]
+    chain[5], chain[9] = loops[0][2], unit(loops[0][0] + loops[0][1])
+    calls, crossing = [], K.crossing
+    monkeypatch.setattr(K, "crossing", lambda *x: calls.append(1) or crossing(*x))
+    whole = [A.polyline_parts(chain, loops, inside) for inside in (True, False)]
+    assert len(calls) <= 6
+    monkeypatch.setattr(K, "PAIRS", 1)
+    for inside, parts in zip((True, False), whole):
+        again = A.polyline_parts(chain, loops, inside)
+        assert len(again) == len(parts) > 3 and all(np.array_equal(x, y) for x, y in zip(again, parts))
