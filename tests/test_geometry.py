@@ -219,3 +219,42 @@ def test_crossings_within_tracks_take_no_cells(spark):
     inside = S.crossing_edges(left, right, 9, "e", "f", by="track", ordered=True)
     assert sorted(map(tuple, inside.collect())) == [(e, f) for e, f, shared in wanted if not shared]
     assert inside.count() < S.crossing_edges(left, right, 5, "e", "f", ordered=True).count()
+
+
+def test_far_queries_measure_few_points(spark):
+    """Queries far from all points, one of them at the pole, where many are about as far: cells rule out the rest."""
+    q, qx = points(spark, 40, 5, "q")
+    p, px = points(spark, 3000, 6, "id")
+    p, q, keep = p.filter("p.z > 0"), q.filter("p.z < -0.2"), px[:, 2] > 0
+    pairs = S._downwards(q, p, 3, "q", "id", 5)
+    assert pairs.count() < q.count() * keep.sum() / 5
+    wanted = {(i, n + 1, int(j)) for i in np.flatnonzero(qx[:, 2] < -0.2).tolist() for n, j in enumerate(sorted(np.flatnonzero(keep), key=lambda j: ((qx[i] - px[j]) ** 2).sum())[:3])}
+    assert {(r["q"], r["rank"], r["id"]) for r in S.nearest(q, p, 3, "q", "id").collect()} == wanted
+    assert S.nearest(q, p.filter("id < 0"), 3, "q", "id").count() == 0
+    few = p.filter(F.col("id").isin([int(j) for j in np.flatnonzero(keep)[:2]]))
+    assert S.nearest(q, few, 3, "q", "id").count() == 2 * q.count()
+
+
+def test_nearest_with_a_limit_grows_to_it(spark, monkeypatch):
+    """Queries with k points close by don't meet all points within the limit."""
+    q, qx = points(spark, 30, 5, "q")
+    p, px = points(spark, 3000, 6, "id")
+    asked, within = [], S.pairs_within
+    monkeypatch.setattr(S, "pairs_within", lambda left, *x, **y: asked.append(left.count()) or within(left, *x, **y))
+    got = {(r["q"], r["rank"], r["id"]) for r in S.nearest(q, p, 2, "q", "id", max_radians=0.5).collect()}
+    l2 = ((qx[:, None] - px) ** 2).sum(2)
+    assert got == {(i, n + 1, int(j)) for i in range(30) for n, j in enumerate(np.argsort(l2[i])[:2]) if l2[i, j] < S.l2_of(0.5)}
+    assert sum(asked) < 15
+
+
+def test_term_join_of_points_needs_no_distinct(spark):
+    """Each pair once, with the columns of both sides, and no aggregation of pairs."""
+    p, _ = points(spark, 400, 6, "id")
+    options = {"min_level": 2, "max_level": 8, "level_mod": 2}
+    stored = p.select("id", "p", R.index_terms(F.array(C.parent(F.col("cell_id"), 8)), points_only=True, **options).alias("terms"))
+    caps = p.filter("id < 20").select(F.col("id").alias("cap"), R.cap_covering(P.latitude(F.col("p")), P.longitude(F.col("p")), F.lit(0.3), max_cells=12, **options).alias("c"))
+    asked = caps.select("cap", R.query_terms(F.col("c"), points_only=True, **options).alias("terms"))
+    found = R.term_join_points(stored, asked)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["id"], r["cap"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in R.term_join(stored, asked, "id", "cap").collect()}
