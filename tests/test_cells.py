@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbis.functions import cellid as C
+from orbis.operators import joins as J
 
 
 def random_points(n, seed=1):
@@ -92,3 +93,19 @@ def test_nulls_give_nulls(spark):
     df = spark.createDataFrame([(None, None)], "p struct<x:double,y:double,z:double>, c long")
     r = one(df, C.from_point(F.col("p")), C.to_point(F.col("c")), C.level(F.col("c")), C.parent(F.col("c"), 3), C.to_token(F.col("c")), C.decoded(F.col("c")))
     assert list(r) == [None] * 6
+
+
+def test_few_cell_pairs_are_measured(spark, monkeypatch):
+    """Bounding caps rule out most of the candidates of nine large cells, and none that is within the angle."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 3))
+    ids = C.from_xyz(*(x / np.linalg.norm(x, axis=1, keepdims=True)).T)
+    a = spark.createDataFrame([(int(v),) for v in C.parent_np(ids[:300], 7)], "a_cell long").distinct()
+    b = spark.createDataFrame([(int(v),) for v in C.parent_np(ids[300:], 9)], "b_cell long").distinct()
+    found = {tuple(r)[:2] for r in J.cells_within(a, b, 0.1).select("a_cell", "b_cell").collect()}
+    monkeypatch.setattr(J.G, "distance_to_cell", lambda *x: F.lit(0.0))
+    measured = {tuple(r)[:2] for r in J.cells_within(a, b, 0.1).select("a_cell", "b_cell").collect()}
+    p, q = (sorted({int(r[0]) for r in d.collect()}) for d in (a, b))
+    l2 = {(i, j): float(v) for i in p for j, v in zip(q, J.G.quad_pair_l2(np.repeat(C.vertices_xyz(np.array([i])), len(q), 0), C.vertices_xyz(np.array(q))))}
+    assert found == {k for k, v in l2.items() if v <= 4 * np.sin(0.05) ** 2}
+    assert found <= measured and len(measured) < 2 * len(found)
