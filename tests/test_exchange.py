@@ -244,3 +244,19 @@ def test_polygon_kernels_judge_points_and_edges_together(monkeypatch):
     for inside, parts in zip((True, False), whole):
         again = A.polyline_parts(chain, loops, inside)
         assert len(again) == len(parts) > 3 and all(np.array_equal(x, y) for x, y in zip(again, parts))
+
+
+def test_tessellation_judges_probes_in_plain_floats(monkeypatch):
+    """As kernels.point_edge_l2() does, without a call of it for each piece."""
+    rng = np.random.default_rng(10)
+    cases = []
+    for _ in range(300):
+        p0, p1 = (x / np.linalg.norm(x) for x in rng.normal(size=(2, 3)) * [[1, 1, 0.3]])
+        mercator = bool(rng.integers(2))
+        q0, q1 = L._plane(p0, mercator, 180.0), L._plane(p1, mercator, 180.0)
+        probes = np.array([L._sphere(q0 + t * (q1 - q0), mercator, 180.0) for t in L.PROBES])
+        limit = float(np.median(K.point_edge_l2(probes, p0, p1))) * rng.uniform(0.5, 3)
+        cases.append((p0, p1, q0, q1, limit, mercator, bool((K.point_edge_l2(probes, p0, p1) <= limit).all())))
+    monkeypatch.setattr(K, "point_edge_l2", None)
+    found = [L._fits(*c[:-1], 180.0) for c in cases]
+    assert found == [c[-1] for c in cases] and 20 < sum(found) < 280
