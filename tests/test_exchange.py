@@ -260,3 +260,46 @@ def test_tessellation_judges_probes_in_plain_floats(monkeypatch):
     monkeypatch.setattr(K, "point_edge_l2", None)
     found = [L._fits(*c[:-1], 180.0) for c in cases]
     assert found == [c[-1] for c in cases] and 20 < sum(found) < 280
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_hausdorff_in_parts_of_tiles_equals_brute_force(spark, monkeypatch, clustered):
+    """Small tiles dealt out in parts, points of b doubled; clustered, most points of a have nothing within a tile's reach."""
+    from orbis.operators import search, tiles
+
+    for name, value in (("POINTS_A_TILE", 8), ("MOST_NEAR", 16), ("TRIES", 2)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    p, q = unit(rng.normal(size=(300, 3))), rng.normal(size=(200, 3))
+    q = unit(np.array([1.0, 2, 3]) + 0.05 * q if clustered else q)
+    q = np.concatenate([q, q[:50]])
+    table = lambda v, name: search.with_cells(spark.createDataFrame([(i, tuple(map(float, x))) for i, x in enumerate(v)], f"{name} long, p struct<x:double,y:double,z:double>"))
+    a, b = table(p, "i"), table(q, "j")
+    l2 = ((p[:, None] - q[None]) ** 2).sum(2)
+    assert search.directed_hausdorff(a, b, "i", "j").first()[0] == pytest.approx(l2.min(1).max(), abs=1e-14)
+    assert search.directed_hausdorff(b, a, "j", "i").first()[0] == pytest.approx(l2.min(0).max(), abs=1e-14)
+
+
+def test_hausdorff_of_dense_points_ranks_no_pairs(spark, monkeypatch):
+    """Points with another within a tile's reach are settled there: no disc is joined, and one row leaves a tile."""
+    from orbis.operators import search, tiles
+
+    rows = spark.range(4000).selectExpr("id i", "40 + id * 7919 % 10007 / 10007.0D lat", "-74 + id * 104729 % 10009 / 10009.0D lng")
+    points = search.with_cells(rows.select("i", P.point_degrees(F.col("lat"), F.col("lng")).alias("p")))
+    monkeypatch.setattr(search, "nearest", None)
+    others = points.withColumnRenamed("i", "j")
+    assert search.directed_hausdorff(points, others, "i", "j").first()[0] == 0
+    level = tiles.near_level(points)
+    assert level > 4
+    assert tiles.nearest_distances(points, others, "i", level).count() == points.select(C.parent(F.col("cell_id"), level)).distinct().count()
+
+
+def test_hausdorff_without_points(spark):
+    from orbis.operators import search
+
+    some = search.with_cells(spark.createDataFrame([(1, (1.0, 0.0, 0.0)), (2, None)], "i long, p struct<x:double,y:double,z:double>"))
+    others = some.withColumnRenamed("i", "j")
+    assert search.directed_hausdorff(some, others.limit(0), "i", "j").first()[0] is None
+    assert search.directed_hausdorff(some.limit(0), others, "i", "j").first()[0] is None
+    assert search.directed_hausdorff(some, others, "i", "j").first()[0] == 0
