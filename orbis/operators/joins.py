@@ -37,6 +37,32 @@ def overlap_join(a: DataFrame, b: DataFrame, left: str = "a_cell", right: str =
     return down.unionByName(up)
 
 
+#: Pairs of one cell beyond which its rows are dealt out in parts.
+MOST_PAIRS = 20_000_000
+
+
+def _merged(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a and b joined on a key by merging, in order of a's rows; the rows of a of a key with many pairs are dealt out, those of b come to all parts."""
+    n = F.ceil(F.least("_na", F.col("_na") * F.col("_nb") / MOST_PAIRS)).cast("int").alias("_n")
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").cast("double").alias(name))
+    large = materialize(count(a, "_na").join(count(b, "_nb"), key).select(key, n).filter("_n > 1"), "large-cells")
+    part = F.coalesce(F.pmod(F.xxhash64(*[c for c in a.columns if c != key]), F.col("_n")), F.lit(0)).cast("int")
+    dealt = a.join(F.broadcast(large), key, "left").withColumn("_s", part).drop("_n")
+    every = b.join(F.broadcast(large), key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return dealt.hint("merge").join(every, [key, "_s"]).drop(key, "_s")
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, left: str = "a_cell", right: str = "b_cell") -> DataFrame:
+    """overlap_join() for results much larger than the tables: pairs of a cell follow each other, so they are stored in few bytes.
+
+    Both halves are merge joins on the cell: the same rows of b stand beside each row of a, and columnar files hold runs
+    and repeats. A broadcast would leave pairs in the order of the streamed table, with other rows of b beside each row.
+    """
+    down = _merged(a.withColumn("_k", F.col(left)), with_ancestors(b, levels_of(a, left), right, "_k"), "_k")
+    up = _merged(with_ancestors(a, levels_of(b, right), left, "_k", proper=True), b.withColumn("_k", F.col(right)), "_k")
+    return down.unionByName(up)
+
+
 def semi_join(a: DataFrame, b: DataFrame, left: str = "a_cell", right: str = "b_cell", anti: bool = False) -> DataFrame:
     """Rows of a whose cell overlaps some cell of b (or none, if anti): two semi-joins on keys, no pairs."""
     below = b.select(F.explode(C.ancestors(F.col(right), levels_of(a, left))).alias("_k")).distinct()

@@ -370,7 +370,7 @@ def two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query(f"{_TWO} SELECT id, cust, a_cell, b_cell FROM x, y WHERE {_meets}")
 def join_exact(spark, sf):
     x, y = two_sides(spark, sf)
-    return J.overlap_join(x, y).select("id", "cust", "a_cell", "b_cell")
+    return J.overlap_pairs(x, y).select("id", "cust", "a_cell", "b_cell")
 
 
 @query(f"{_TWO} SELECT id, a_cell FROM x WHERE EXISTS (SELECT 1 FROM y WHERE {_meets})")

@@ -109,3 +109,22 @@ def test_few_cell_pairs_are_measured(spark, monkeypatch):
     l2 = {(i, j): float(v) for i in p for j, v in zip(q, J.G.quad_pair_l2(np.repeat(C.vertices_xyz(np.array([i])), len(q), 0), C.vertices_xyz(np.array(q))))}
     assert found == {k for k, v in l2.items() if v <= 4 * np.sin(0.05) ** 2}
     assert found <= measured and len(measured) < 2 * len(found)
+
+
+def test_pairs_of_large_cells_are_merged_in_parts(spark, monkeypatch):
+    """As overlap_join(), equal rows included, by merge joins; cells with many pairs dealt out, a row's partners beside each other."""
+    from collections import Counter
+
+    monkeypatch.setattr(J, "MOST_PAIRS", 50)
+    leaf = C.from_xyz(*random_points(400, 3).T)
+    cells = [int(C.parent_np(leaf[i : i + 1], (0, 2, 4, 30)[i % 4])[0]) for i in range(400)] + [None]
+    a = spark.createDataFrame([(i % 90, c) for i, c in enumerate(cells[:200] * 2)], "i long, a_cell long")
+    b = spark.createDataFrame([(i, c) for i, c in enumerate(cells[150:])], "j long, b_cell long")
+    found = J.overlap_pairs(a, b)
+    rows = [tuple(r) for r in found.collect()]
+    wanted = Counter(tuple(r) for r in J.overlap_join(a, b).select(found.columns).collect())
+    assert len(rows) > 1000 and Counter(rows) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    # Each row of a comes as runs in at most both halves and its parts, not once for each pair.
+    assert sum(x[:2] != y[:2] for x, y in zip(rows, rows[1:])) < len(rows) / 3
