@@ -128,3 +128,24 @@ def test_pairs_of_large_cells_are_merged_in_parts(spark, monkeypatch):
     assert plan.count("SortMergeJoin") >= 2
     # Each row of a comes as runs in at most both halves and its parts, not once for each pair.
     assert sum(x[:2] != y[:2] for x, y in zip(rows, rows[1:])) < len(rows) / 3
+
+
+def test_pairs_within_an_angle_are_merged_in_parts(spark, monkeypatch):
+    """Cells with many candidates are dealt out; each pair is found once, and points without a place meet nothing."""
+    from orbis.operators import search as S
+
+    monkeypatch.setattr(J, "MOST_PAIRS", 40)
+    v = random_points(300, 4)
+    v[100:200] = v[:1] + 0.02 * v[100:200]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    point = "struct<x:double,y:double,z:double>"
+    rows = [(i, tuple(map(float, x))) for i, x in enumerate(v)] + [(300, None)]
+    a, b = (S.with_cells(spark.createDataFrame(rows[k:], f"{n} long, p {point}")) for n, k in (("i", 0), ("j", 120)))
+    pairs = S.pairs_within(a, b, 0.05, "i", "j")
+    found = {(r["i"], r["j"]): r["l2"] for r in pairs.collect()}
+    l2 = ((v[:, None] - v[None]) ** 2).sum(2)
+    wanted = {(i, j) for i in range(300) for j in range(120, 300) if l2[i, j] < S.l2_of(0.05)}
+    assert len(wanted) > 2000 and set(found) == wanted and pairs.count() == len(wanted)
+    assert all(abs(found[k] - l2[k]) < 1e-15 for k in wanted)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
